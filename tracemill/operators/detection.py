@@ -10,25 +10,29 @@ from pyspark.sql import functions as F
 from tracemill.operators.intervals import BLOCK_S, bin_rows, containing_bins, epochize, invert
 from tracemill.operators.scan import running, value_blocks
 from tracemill.operators.signal import coarse_grain
+from tracemill.session import cut_lineage
 
 KEYS = ("patient_num",)
 ROOT_EPSILON = 2.0**-26  # square root of double precision
 
 
-def epoch_grid(signal: DataFrame, recordings: DataFrame, epoch_s: int, snippet_s: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Per key: start of the first and last epoch and their number."""
+def snippets_per_epoch(epoch_s: int, snippet_s: int) -> int:
     per = epoch_s // snippet_s
     if per * snippet_s != epoch_s:
         raise ValueError("an epoch must be a whole number of snippets")
-    length = signal.groupBy(*keys).agg((F.max("idx") + 1).alias("_n"))
-    grid = recordings.select(*keys, "start_s").join(length, list(keys))
-    bins = F.ceil(F.col("_n") / per).cast("bigint")
+    return per
+
+
+def epoch_grid(epochs: DataFrame, recordings: DataFrame, epoch_s: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Per key: start of the first and last epoch and their number."""
+    count = epochs.groupBy(*keys).agg((F.max("bin") + 1).alias("n_bins"))
+    grid = recordings.select(*keys, F.col("start_s").cast("double")).join(count, list(keys))
     return grid.select(
         *keys,
-        F.col("start_s").cast("double").alias("first_s"),
-        bins.alias("n_bins"),
-        F.col("start_s").cast("double").alias("start_s"),
-        (F.col("start_s") + (bins - 1) * float(epoch_s)).alias("stop_s"),
+        F.col("start_s").alias("first_s"),
+        "n_bins",
+        "start_s",
+        (F.col("start_s") + (F.col("n_bins") - 1) * float(epoch_s)).alias("stop_s"),
     )
 
 
@@ -61,9 +65,9 @@ def seizure_targets(
     The last epoch is never a non-target, since the bins of an interval that starts
     there are empty.
     """
-    grid = epoch_grid(signal, recordings, epoch_s, snippet_s, keys)
-    per = epoch_s // snippet_s
-    epochs = coarse_grain(signal, per, F.max, keys).filter(F.col("value").isNotNull())
+    epochs = cut_lineage(coarse_grain(signal, snippets_per_epoch(epoch_s, snippet_s), F.max, keys))
+    grid = epoch_grid(epochs, recordings, epoch_s, keys)
+    epochs = epochs.filter(F.col("value").isNotNull())
     truth = epochize(seizures, grid, epoch_s, keys, block_s)
     rest = invert(truth, grid, keys, block_s)
     hits = _epochs_of(truth, grid, epoch_s, keys).join(epochs, [*keys, "bin"])
@@ -93,7 +97,7 @@ def score_counts(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     counted = scores.groupBy(*keys, "score").agg(
         F.count_if("is_target").alias("n_tar"), F.count_if(~F.col("is_target")).alias("n_non")
     )
-    blocked = value_blocks(counted, keys, "score")
+    blocked = value_blocks(cut_lineage(counted), keys, "score")
     below = {"tar_below": ("sum", F.col("n_tar")), "non_below": ("sum", F.col("n_non"))}
     return running(blocked, keys, "_block", ["score"], below, inclusive=False).drop("_block")
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.operators.scan import running
+from tracemill.session import cut_lineage
 
 KEYS = ("patient_num",)
 BLOCK_S = 3600.0
@@ -48,6 +49,7 @@ def runs(
         .withColumn("_last", F.coalesce(F.lead("_i").over(order) != F.col("_i") + 1, F.lit(True)))
         .filter((F.col("_block") == F.floor(F.col("_i") / block_len)) & (F.col("_first") | F.col("_last")))
     )
+    edges = cut_lineage(edges.select(*keys, "_block", "_i", "_first", "_last"))
     opened = running(edges, keys, "_block", ["_i"], {"_on": ("max", F.when(F.col("_first"), F.col("_i")))})
     closed = opened.filter("_last").join(ends, list(keys))
     if not one_based:
@@ -78,7 +80,7 @@ def overlaps(first_off: Column, second_on: Column) -> Column:
 
 
 def _joined(df: DataFrame, keys: Sequence[str], block_s: float, nested: bool, levels: int) -> DataFrame:
-    base = df.groupBy(*keys, "on_s").agg(F.max("off_s").alias("off_s"))
+    base = cut_lineage(df.groupBy(*keys, "on_s").agg(F.max("off_s").alias("off_s")))
     kind = "max" if nested else "last"
     seen = running(
         _blocked(base, block_s), keys, "_block", ["on_s"],

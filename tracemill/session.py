@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,16 +24,19 @@ def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "tracemill
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder so that a lost executor replays nothing before it.
+    """Write `df` out once, so that nothing before it is planned or computed again.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`. Only a local
-    session without that setting gets a folder of its own.
+    Meant for reduced tables that a scan reads several times. The folder is the shared one
+    that the cluster names in `spark.checkpoint.dir`; only a local session without that
+    setting gets a folder of its own.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", ""):
-        sc = spark.sparkContext
-        if sc.getCheckpointDir() is None:
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not shared:
             if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            sc.setCheckpointDir(os.path.join(tempfile.mkdtemp(prefix="tracemill-"), "checkpoint"))
+                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+            shared = tempfile.mkdtemp(prefix="tracemill-")
+        sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
