@@ -89,6 +89,13 @@ def patient_targets(*args, keys: Sequence[str] = KEYS, **options) -> DataFrame:
 TARGETS: dict[str, Callable[..., DataFrame]] = {"seizure": seizure_targets, "patient": patient_targets}
 
 
+def counts_below(counted: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Add to `n_tar, n_non` per distinct score the numbers of both below it."""
+    blocked = value_blocks(cut_lineage(counted), keys, "score")
+    below = {"tar_below": ("sum", F.col("n_tar")), "non_below": ("sum", F.col("n_non"))}
+    return running(blocked, keys, "_block", ["score"], below, inclusive=False).drop("_block")
+
+
 def score_counts(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Targets and non-targets per distinct score, with the counts below it.
 
@@ -97,47 +104,48 @@ def score_counts(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     counted = scores.groupBy(*keys, "score").agg(
         F.count_if("is_target").alias("n_tar"), F.count_if(~F.col("is_target")).alias("n_non")
     )
-    blocked = value_blocks(cut_lineage(counted), keys, "score")
-    below = {"tar_below": ("sum", F.col("n_tar")), "non_below": ("sum", F.col("n_non"))}
-    return running(blocked, keys, "_block", ["score"], below, inclusive=False).drop("_block")
-
-
-def _totals(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return counts.groupBy(*keys).agg(F.sum("n_tar").alias("tar_all"), F.sum("n_non").alias("non_all"))
+    return counts_below(counted, keys)
 
 
 def _with_totals(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    totals = _totals(counts, keys)
+    totals = counts.groupBy(*keys).agg(F.sum("n_tar").alias("tar_all"), F.sum("n_non").alias("non_all"))
     if keys:
         return counts.join(totals, list(keys))
     both = totals.select(F.struct("tar_all", "non_all").alias("s")).scalar()
     return counts.withColumn("_s", both).select("*", "_s.tar_all", "_s.non_all").drop("_s")
 
 
-def roc(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """False-alarm and miss rates after rejecting scores up to each `theta`.
-
-    The first point, with theta NULL, rejects nothing.
-    """
-    counts = _with_totals(score_counts(scores, keys), keys)
+def curve_of(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    full = _with_totals(counts, keys)
     pfa = 1 - (F.col("non_below") + F.col("n_non")) / F.nullif("non_all", F.lit(0))
     pmiss = (F.col("tar_below") + F.col("n_tar")) / F.nullif("tar_all", F.lit(0))
-    points = counts.select(*keys, F.col("score").alias("theta"), pfa.alias("pfa"), pmiss.alias("pmiss"))
-    first = scores.select(*keys).distinct() if keys else scores.agg(F.count(F.lit(1)).alias("_n")).filter("_n > 0")
+    points = full.select(*keys, F.col("score").alias("theta"), pfa.alias("pfa"), pmiss.alias("pmiss"))
+    first = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 0")
     first = first.select(
         *keys, F.lit(None).cast("double").alias("theta"), F.lit(1.0).alias("pfa"), F.lit(0.0).alias("pmiss")
     )
     return first.unionByName(points)
 
 
-def auc(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Share of (target, non-target) pairs in the right order, ties counting half."""
-    counts = score_counts(scores, keys)
+def roc(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """False-alarm and miss rates after rejecting scores up to each `theta`.
+
+    The first point, with theta NULL, rejects nothing.
+    """
+    return curve_of(score_counts(scores, keys), keys)
+
+
+def area_of(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     wins = F.sum(F.col("n_tar") * (F.col("non_below") + F.col("n_non") / 2.0))
     pairs = F.sum("n_tar").cast("double") * F.sum("n_non")
     return counts.groupBy(*keys).agg((wins / F.nullif(pairs, F.lit(0.0))).alias("auc"))
 
 
+def auc(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Share of (target, non-target) pairs in the right order, ties counting half."""
+    return area_of(score_counts(scores, keys), keys)
+
+
 def tpr_at_fphr(curve: DataFrame, fphr: float, keys: Sequence[str] = (), epochs_per_hour: float = 60.0) -> DataFrame:
     """Hit rate at the lowest threshold with at most `fphr` false alarms an hour.
 
