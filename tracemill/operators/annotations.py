@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.scalar import DEFAULT_EVENT_KEYWORDS, contains_any, parse_duration, parse_grade, parse_start
-from tracemill.operators.intervals import BLOCK_S, buffered, collapse, discretize, event_bounds, merge, runs
+from tracemill.operators.intervals import buffered, collapse, discretize, event_bounds, merge, runs
 from tracemill.operators.signal import mark_covered
 
 KEYS = ("patient_num",)
@@ -32,7 +32,6 @@ def consensus_intervals(
     discretization_s: float | None,
     bounds: DataFrame,
     keys: Sequence[str] = KEYS,
-    block_s: float = BLOCK_S,
 ) -> DataFrame:
     """Runs of seconds marked by enough reviewers, snapped outward and merged."""
     flags = counts.select(*keys, F.col("sec").alias("idx"), (F.col("n") >= min_reviewers).alias("flag"))
@@ -40,7 +39,7 @@ def consensus_intervals(
     if discretization_s is not None:
         framed = found.join(bounds.select(*keys, "start_s", "stop_s"), list(keys))
         found = discretize(framed, discretization_s, F.col("start_s"), F.col("stop_s"))
-    return merge(found, keys, block_s)
+    return merge(found, keys)
 
 
 def relevant(events: DataFrame) -> DataFrame:
@@ -52,7 +51,6 @@ def keyword_intervals(
     events: DataFrame,
     keywords: Sequence[str] = DEFAULT_EVENT_KEYWORDS,
     keys: Sequence[str] = KEYS,
-    block_s: float = BLOCK_S,
 ) -> DataFrame:
     """Collapsed intervals of events with any label that contains any keyword.
 
@@ -60,7 +58,7 @@ def keyword_intervals(
     """
     hit = events.filter(F.exists("annotations", lambda a: contains_any(a, keywords)))
     bounds = hit.select(*keys, event_bounds(F.col("onset_s"), F.col("duration_s")).alias("b"))
-    return collapse(bounds.select(*keys, "b.on_s", "b.off_s"), keys, block_s)
+    return collapse(bounds.select(*keys, "b.on_s", "b.off_s"), keys)
 
 
 def artifact_intervals(
@@ -70,7 +68,6 @@ def artifact_intervals(
     discretization_s: float = 1.0,
     keys: Sequence[str] = KEYS,
     strict: bool = False,
-    block_s: float = BLOCK_S,
 ) -> DataFrame:
     """Artifact intervals of the excluded grades from free-text notes.
 
@@ -83,9 +80,9 @@ def artifact_intervals(
     bounds = kept.select(*keys, "start_s", "stop_s", buffered(start, length).alias("b"))
     bounds = bounds.select(*keys, "start_s", "stop_s", "b.on_s", "b.off_s")
     snapped = discretize(bounds, discretization_s, F.col("start_s"), F.col("stop_s"))
-    return collapse(snapped, keys, block_s, strict)
+    return collapse(snapped, keys, strict)
 
 
 def distinct_labels(events: DataFrame) -> DataFrame:
     """All annotation texts in lower case, each once."""
-    return events.select(F.lower(F.explode("annotations")).alias("label")).distinct()
+    return events.select(F.explode("annotations").alias("label")).select(F.lower("label").alias("label")).distinct()

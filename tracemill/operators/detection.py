@@ -7,8 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.operators.intervals import BLOCK_S, bin_rows, containing_bins, epochize, invert
-from tracemill.operators.scan import running, value_blocks
+from tracemill.operators.intervals import bin_rows, containing_bins, epochize, invert
+from tracemill.operators.scan import ordered_blocks, running
 from tracemill.operators.signal import coarse_grain
 from tracemill.session import cut_lineage
 
@@ -57,7 +57,6 @@ def seizure_targets(
     epoch_s: int,
     snippet_s: int,
     keys: Sequence[str] = KEYS,
-    block_s: float = BLOCK_S,
 ) -> DataFrame:
     """Scores with `is_target`: one per epochised seizure, one per epoch outside them.
 
@@ -68,8 +67,8 @@ def seizure_targets(
     epochs = cut_lineage(coarse_grain(signal, snippets_per_epoch(epoch_s, snippet_s), F.max, keys))
     grid = epoch_grid(epochs, recordings, epoch_s, keys)
     epochs = epochs.filter(F.col("value").isNotNull())
-    truth = epochize(seizures, grid, epoch_s, keys, block_s)
-    rest = invert(truth, grid, keys, block_s)
+    truth = epochize(seizures, grid, epoch_s, keys)
+    rest = invert(truth, grid, keys)
     hits = _epochs_of(truth, grid, epoch_s, keys).join(epochs, [*keys, "bin"])
     targets = hits.groupBy(*keys, "on_s").agg(F.max("value").alias("score"))
     quiet = _epochs_of(rest, grid, epoch_s, keys).join(epochs, [*keys, "bin"])
@@ -91,7 +90,7 @@ TARGETS: dict[str, Callable[..., DataFrame]] = {"seizure": seizure_targets, "pat
 
 def counts_below(counted: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Add to `n_tar, n_non` per distinct score the numbers of both below it."""
-    blocked = value_blocks(cut_lineage(counted), keys, "score")
+    blocked = ordered_blocks(counted, keys, ["score"])
     below = {"tar_below": ("sum", F.col("n_tar")), "non_below": ("sum", F.col("n_non"))}
     return running(blocked, keys, "_block", ["score"], below, inclusive=False).drop("_block")
 

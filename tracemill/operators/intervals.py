@@ -11,16 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.operators.scan import running
-from tracemill.session import cut_lineage
+from tracemill.operators.scan import ordered_blocks, running
 
 KEYS = ("patient_num",)
 BLOCK_S = 3600.0
-FIRST_BLOCK, LAST_BLOCK = -(2**40), 2**40
-
-
-def _blocked(df: DataFrame, block_s: float) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col("on_s") / block_s))
 
 
 def runs(
@@ -49,7 +43,7 @@ def runs(
         .withColumn("_last", F.coalesce(F.lead("_i").over(order) != F.col("_i") + 1, F.lit(True)))
         .filter((F.col("_block") == F.floor(F.col("_i") / block_len)) & (F.col("_first") | F.col("_last")))
     )
-    edges = cut_lineage(edges.select(*keys, "_block", "_i", "_first", "_last"))
+    edges = ordered_blocks(edges.select(*keys, "_i", "_first", "_last"), keys, ["_i"])
     opened = running(edges, keys, "_block", ["_i"], {"_on": ("max", F.when(F.col("_first"), F.col("_i")))})
     closed = opened.filter("_last").join(ends, list(keys))
     if not one_based:
@@ -79,26 +73,20 @@ def overlaps(first_off: Column, second_on: Column) -> Column:
     return second_on <= first_off
 
 
-def _joined(df: DataFrame, keys: Sequence[str], block_s: float, nested: bool, levels: int) -> DataFrame:
-    base = cut_lineage(df.groupBy(*keys, "on_s").agg(F.max("off_s").alias("off_s")))
+def _joined(df: DataFrame, keys: Sequence[str], nested: bool) -> DataFrame:
+    base = df.groupBy(*keys, "on_s").agg(F.max("off_s").alias("off_s"))
+    base = ordered_blocks(base, keys, ["on_s"])
     kind = "max" if nested else "last"
-    seen = running(
-        _blocked(base, block_s), keys, "_block", ["on_s"],
-        {"_seen": (kind, F.col("off_s"))}, inclusive=False, levels=levels,
-    )
+    seen = running(base, keys, "_block", ["on_s"], {"_seen": (kind, F.col("off_s"))}, inclusive=False)
     opens = F.col("_seen").isNull() | ~overlaps(F.col("_seen"), F.col("on_s"))
-    islands = running(
-        seen, keys, "_block", ["on_s"],
-        {"_island": ("max", F.when(opens, F.col("on_s")))}, levels=levels,
-    )
+    island = {"_island": ("max", F.when(opens, F.col("on_s")))}
+    islands = running(seen, keys, "_block", ["on_s"], island)
     off = F.max("off_s") if nested else F.max_by("off_s", "on_s")
     merged = islands.groupBy(*keys, "_island").agg(off.alias("off_s"))
     return merged.select(*keys, F.col("_island").alias("on_s"), "off_s")
 
 
-def collapse(
-    df: DataFrame, keys: Sequence[str] = KEYS, block_s: float = BLOCK_S, strict: bool = False, levels: int = 1
-) -> DataFrame:
+def collapse(df: DataFrame, keys: Sequence[str] = KEYS, strict: bool = False) -> DataFrame:
     """Join overlapping or touching intervals, ending each at the *latest starting* member.
 
     An interval nested in another therefore shortens the result. The running end is
@@ -106,46 +94,38 @@ def collapse(
     `strict=True` takes the furthest end instead, as `merge` does.
     """
     if strict:
-        return merge(df, keys, block_s, levels)
+        return merge(df, keys)
     sentinel = (F.col("on_s") == -1.0) & (F.col("off_s") == -1.0)
-    return _joined(df, keys, block_s, nested=False, levels=levels).filter(~sentinel)
+    return _joined(df, keys, nested=False).filter(~sentinel)
 
 
-def merge(df: DataFrame, keys: Sequence[str] = KEYS, block_s: float = BLOCK_S, levels: int = 1) -> DataFrame:
+def merge(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Union of the intervals of each key as disjoint intervals; touching ones join."""
-    return _joined(df, keys, block_s, nested=True, levels=levels)
+    return _joined(df, keys, nested=True)
 
 
-def merge_sets(
-    first: DataFrame, second: DataFrame, keys: Sequence[str] = KEYS, block_s: float = BLOCK_S
-) -> DataFrame:
+def merge_sets(first: DataFrame, second: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     cols = [*keys, "on_s", "off_s"]
-    return merge(first.select(*cols).unionByName(second.select(*cols)), keys, block_s)
+    return merge(first.select(*cols).unionByName(second.select(*cols)), keys)
 
 
-def invert(
-    df: DataFrame, bounds: DataFrame, keys: Sequence[str] = KEYS, block_s: float = BLOCK_S, levels: int = 1
-) -> DataFrame:
+def invert(df: DataFrame, bounds: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Gaps of ordered, disjoint intervals inside each key's [start_s, stop_s].
 
-    The two ends enter as rows of their own, in blocks before and after all others.
+    The two ends enter as rows of their own, before and after all others.
     """
-    number = "double"
-    start = bounds.select(
-        *keys, F.lit(FIRST_BLOCK).cast("bigint").alias("_block"), F.lit(None).cast(number).alias("on_s"),
-        F.col("start_s").cast(number).alias("off_s"),
-    )
-    stop = bounds.select(
-        *keys, F.lit(LAST_BLOCK).cast("bigint").alias("_block"), F.col("stop_s").cast(number).alias("on_s"),
-        F.lit(None).cast(number).alias("off_s"),
-    )
-    body = _blocked(df, block_s).select(
-        *keys, F.col("_block").cast("bigint"), F.col("on_s").cast(number), F.col("off_s").cast(number)
-    )
-    rows = start.unionByName(body).unionByName(stop)
-    seen = running(
-        rows, keys, "_block", ["on_s"], {"_seen": ("last", F.col("off_s"))}, inclusive=False, levels=levels
-    )
+
+    def rows(df: DataFrame, rank: int, on: Column, off: Column) -> DataFrame:
+        return df.select(
+            *keys, F.lit(rank).alias("_rank"), on.cast("double").alias("on_s"), off.cast("double").alias("off_s")
+        )
+
+    start = rows(bounds, 0, F.lit(None), F.col("start_s"))
+    body = rows(df, 1, F.col("on_s"), F.col("off_s"))
+    stop = rows(bounds, 2, F.col("stop_s"), F.lit(None))
+    order = ["_rank", "on_s"]
+    blocked = ordered_blocks(start.unionByName(body).unionByName(stop), keys, order)
+    seen = running(blocked, keys, "_block", order, {"_seen": ("last", F.col("off_s"))}, inclusive=False)
     return seen.filter(F.col("on_s") - F.col("_seen") > 0).select(
         *keys, F.col("_seen").alias("on_s"), F.col("on_s").alias("off_s")
     )
@@ -179,7 +159,7 @@ def discretize(
 
 
 def epochize(
-    df: DataFrame, bounds: DataFrame, epoch_s: float, keys: Sequence[str] = KEYS, block_s: float = BLOCK_S
+    df: DataFrame, bounds: DataFrame, epoch_s: float, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """Widen by one epoch to each side, clip to the key's bounds, snap to epochs, merge."""
     framed = df.join(bounds.select(*keys, "start_s", "stop_s"), list(keys))
@@ -189,7 +169,7 @@ def epochize(
             "off_s": F.least(F.col("off_s") + epoch_s, F.col("stop_s")),
         }
     )
-    return merge(discretize(framed, epoch_s, F.col("start_s"), F.col("stop_s")), keys, block_s)
+    return merge(discretize(framed, epoch_s, F.col("start_s"), F.col("stop_s")), keys)
 
 
 def containing_bins(
@@ -243,7 +223,6 @@ def control_bounds(
     recordings: DataFrame,
     min_dist_s: float,
     keys: Sequence[str] = KEYS,
-    block_s: float = BLOCK_S,
 ) -> DataFrame:
     """Stretches of [0, duration] free of artifacts and `min_dist_s` away from seizures."""
     edge = recordings.select(*keys, F.lit(0.0).alias("start_s"), F.col("duration_s").alias("stop_s"))
@@ -257,19 +236,18 @@ def control_bounds(
         F.greatest("on_s", "start_s").alias("on_s"),
         F.least("off_s", "stop_s").alias("off_s"),
     )
-    return invert(merge(busy, keys, block_s), edge, keys, block_s)
+    return invert(merge(busy, keys), edge, keys)
 
 
 def control_bounds_with_artifacts(
-    seizures: DataFrame, recordings: DataFrame, keys: Sequence[str] = KEYS, block_s: float = BLOCK_S
+    seizures: DataFrame, recordings: DataFrame, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """Stretches between seizures, pairing the sorted ends with the sorted starts by rank."""
 
     def ranked(points: DataFrame) -> DataFrame:
         # equal points share a row, so one crowded instant stays one row
         counted = points.groupBy(*keys, "p").agg(F.count(F.lit(1)).alias("n"))
-        counted = counted.withColumn("_block", F.floor(F.col("p") / block_s))
-        summed = running(counted, keys, "_block", ["p"], {"_upto": ("sum", F.col("n"))})
+        summed = running(ordered_blocks(counted, keys, ["p"]), keys, "_block", ["p"], {"_upto": ("sum", F.col("n"))})
         ranks = F.explode(F.sequence(F.col("_upto") - F.col("n") + 1, F.col("_upto")))
         return summed.select(*keys, "p", ranks.alias("_rank"))
 

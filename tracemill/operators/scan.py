@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SUPER_BLOCK = 4096
+from tracemill.session import cut_lineage
 
 Outputs = Mapping[str, tuple[str, Column]]
 
@@ -35,12 +35,10 @@ def running(
     order: Sequence[str],
     outputs: Outputs,
     inclusive: bool = True,
-    levels: int = 1,
 ) -> DataFrame:
     """Add running `sum`, `max`, `min` or `last` (latest non-NULL) columns.
 
-    `block` is an integer column that never decreases along `order`. With `levels=2` the
-    block totals are themselves scanned in groups of `SUPER_BLOCK` blocks.
+    `block` is an integer column that never decreases along `order`.
     """
     frame = Window.partitionBy(*keys, block).orderBy(*order)
     frame = frame.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
@@ -55,23 +53,15 @@ def running(
             totals.append(_AGGREGATE[kind](value).alias(f"_t_{name}"))
         carried[f"_c_{name}"] = (kind, F.col(f"_t_{name}"))
     blocks = df.groupBy(*keys, block).agg(*totals)
-    if levels > 1:
-        blocks = blocks.withColumn("_super", F.floor(F.col(block) / SUPER_BLOCK))
-        carry = running(blocks, keys, "_super", [block], carried, False, levels - 1)
-    else:
-        across = Window.partitionBy(*keys).orderBy(block)
-        across = across.rowsBetween(Window.unboundedPreceding, -1)
-        carry = blocks.select(
-            *keys,
-            block,
-            *(
-                (F.last(v, ignorenulls=True) if kind == "last" else _AGGREGATE[kind](v))
-                .over(across)
-                .alias(name)
-                for name, (kind, v) in carried.items()
-            ),
-        )
-    carry = carry.select(*keys, block, *carried)
+    across = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    carry = blocks.select(
+        *keys,
+        block,
+        *(
+            (F.last(v, ignorenulls=True) if kind == "last" else _AGGREGATE[kind](v)).over(across).alias(name)
+            for name, (kind, v) in carried.items()
+        ),
+    )
     joined = df.withColumns(local).join(carry, [*keys, block])
     merged = {
         name: _combine(kind, F.col(f"_c_{name}"), F.col(f"_l_{name}"))
@@ -80,31 +70,11 @@ def running(
     return joined.withColumns(merged).drop(*local, *carried)
 
 
-def _position(value: Column, bounds: Column) -> Column:
-    """How many of the sorted `bounds` are at or below `value`, by a two-step search."""
-    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(bounds))).cast("int"))
-    heads = F.filter(bounds, lambda b, i: (i % step) == 0)
-    head = F.size(F.filter(heads, lambda b: b <= value))
-    rest = F.slice(bounds, (head - 1) * step + 1, step)
-    return F.when(head == 0, F.lit(0)).otherwise(
-        (head - 1) * step + F.size(F.filter(rest, lambda b: b <= value))
-    )
-
-
-def value_blocks(
-    df: DataFrame, keys: Sequence[str], value: str, out: str = "_block", buckets: int = 256
-) -> DataFrame:
-    """Number rows by approximate quantile of `value` within `keys`.
+def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Number contiguous stretches of (keys, order) of about equal size as `_block`.
 
-    The numbering is monotone in `value`, so exactness of what is scanned over it never
-    depends on the quantiles; they only balance the blocks.
+    The rows are range-partitioned and written out, which fixes the numbering; a key with
+    very many rows spans many blocks, whatever its values look like.
     """
-    shares = [i / buckets for i in range(1, buckets)]
-    quantiles = F.percentile_approx(value, shares, 4 * buckets)
-    if keys:
-        bounds = df.groupBy(*keys).agg(F.array_distinct(quantiles).alias("_bounds"))
-        placed = df.join(bounds, list(keys))
-    else:
-        bounds = df.agg(F.array_distinct(quantiles).alias("_bounds"))
-        placed = df.withColumn("_bounds", bounds.scalar())
-    return placed.withColumn(out, _position(F.col(value), F.col("_bounds")).cast("long")).drop("_bounds")
+    ranged = df.repartitionByRange(*keys, *order)
+    return cut_lineage(ranged.withColumn("_block", F.spark_partition_id().cast("bigint")))

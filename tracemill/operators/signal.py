@@ -70,7 +70,7 @@ def mark_covered(
     The intervals are first merged, so a sample meets at most one piece and the left join
     on (key, time bucket) adds no rows.
     """
-    pieces = cover(merge(intervals, keys, block_s), keys, block_s)
+    pieces = cover(merge(intervals, keys), keys, block_s)
     pieces = pieces.select(*keys, "bucket", "on_s", "off_s")
     left = signal.withColumn("bucket", F.floor(F.col(t) / block_s))
     match = [left[k] == pieces[k] for k in keys]

@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.scalar import significance
 from tracemill.functions.special import kolmogorov_tail, two_sided_normal
-from tracemill.operators.scan import running, value_blocks
-from tracemill.session import cut_lineage
+from tracemill.operators.scan import ordered_blocks, running
 
 GRID_POINTS = 2048
 GRID_MARGIN = 4.0  # bandwidths beyond the data on each side
@@ -39,9 +38,8 @@ def ranked_values(samples: DataFrame, keys: Sequence[str], value: str, case: str
     counted = present.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(
         F.count_if(F.col(case)).alias("n1"), F.count_if(~F.col(case)).alias("n0")
     )
-    counted = cut_lineage(counted)
     sums = {"upto1": ("sum", F.col("n1")), "upto0": ("sum", F.col("n0"))}
-    return running(value_blocks(counted, keys, "v"), keys, "_block", ["v"], sums).drop("_block")
+    return running(ordered_blocks(counted, keys, ["v"]), keys, "_block", ["v"], sums).drop("_block")
 
 
 def _sizes(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -98,8 +96,7 @@ def quantiles(samples: DataFrame, keys: Sequence[str], shares: Sequence[float],
     """Exact quantiles with linear interpolation, one column `q{i}` per share."""
     present = samples.filter(F.col(value).isNotNull())
     counted = present.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    counted = cut_lineage(counted)
-    ranked = running(value_blocks(counted, keys, "v"), keys, "_block", ["v"], {"upto": ("sum", F.col("n"))})
+    ranked = running(ordered_blocks(counted, keys, ["v"]), keys, "_block", ["v"], {"upto": ("sum", F.col("n"))})
     sizes = ranked.groupBy(*keys).agg(F.sum("n").alias("_m"))
     if keys:
         placed = ranked.join(sizes, list(keys))

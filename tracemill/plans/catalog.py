@@ -6,6 +6,7 @@ from tracemill.plans import (  # noqa: F401
     detection_queries,
     interval_queries,
     signal_queries,
+    statistics_queries,
 )
 from tracemill.plans.registry import ORACLES, QUERIES
 from tracemill.plans.signal_queries import flagship

@@ -89,7 +89,6 @@ def event_scores(spark: SparkSession, sf_dir: str, target: str = "seizure", revi
         views.event_recordings(spark, sf_dir),
         EPOCH,
         1,
-        block_s=16.0,
     )
 
 
@@ -250,7 +249,6 @@ def det_clinician(spark, sf_dir):
         seizures(spark, sf_dir, 3),
         views.event_recordings(spark, sf_dir),
         EPOCH,
-        block_s=16.0,
     )
     curve = detection.roc(scores)
     return curve.select(*[rounded(c).alias(c) for c in ("theta", "pfa", "pmiss")])

@@ -55,7 +55,6 @@ def clinician_scores(
     epoch_s: int,
     target: str = "seizure",
     keys: Sequence[str] = KEYS,
-    block_s: float = intervals.BLOCK_S,
 ) -> DataFrame:
     """Scores of the human baseline: 1 where any reviewer marks a second.
 
@@ -67,8 +66,8 @@ def clinician_scores(
     last = recordings.select(
         *keys, F.col("start_s").cast("double"), (F.col("start_s") + F.col("duration_s") - 1).alias("stop_s")
     )
-    truth = intervals.epochize(seizures, last, epoch_s, keys, block_s)
-    return detection.TARGETS[target](marked, truth, recordings, epoch_s, 1, keys=keys, block_s=block_s)
+    truth = intervals.epochize(seizures, last, epoch_s, keys)
+    return detection.TARGETS[target](marked, truth, recordings, epoch_s, 1, keys=keys)
 
 
 def epoch_samples(
@@ -92,12 +91,12 @@ def epoch_samples(
         F.col("start_s").cast("double"),
         (F.col("start_s") + F.col("duration_s") - snippet_s).alias("stop_s"),
     )
-    wide = intervals.epochize(seizures, ends, epoch_s, keys, block_s)
-    wide_artifacts = intervals.epochize(artifacts, ends, epoch_s, keys, block_s)
-    busy = intervals.merge_sets(wide, wide_artifacts, keys, block_s)
+    wide = intervals.epochize(seizures, ends, epoch_s, keys)
+    wide_artifacts = intervals.epochize(artifacts, ends, epoch_s, keys)
+    busy = intervals.merge_sets(wide, wide_artifacts, keys)
     whole = recordings.select(*keys, F.lit(0.0).alias("start_s"), F.col("duration_s").alias("stop_s"))
     seizing = seizures.select(*keys).distinct()
-    free = intervals.invert(busy, whole.join(seizing, list(keys), "left_semi"), keys, block_s)
+    free = intervals.invert(busy, whole.join(seizing, list(keys), "left_semi"), keys)
     timed = signal.join(recordings.select(*keys, "start_s"), list(keys))
     timed = timed.withColumn("t", F.col("start_s") + F.col("idx") * float(snippet_s)).drop("start_s")
     marked = mark_covered(timed, intervals.shifted(free), "_control", keys, "t", block_s)

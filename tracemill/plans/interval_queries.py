@@ -13,7 +13,6 @@ from tracemill.plans.registry import query
 from tracemill.plans.views import invert_sql, merge_sql, runs_sql, with_views
 
 BOUNDS = ("patient_num", "on_s", "off_s")
-DAY_BLOCK = 64.0  # days per block of the order intervals
 
 
 def _runs(at_least: int, name: str = "runs") -> str:
@@ -98,12 +97,12 @@ grp AS (
 SELECT patient_num, min(on_s) AS on_s, arg_max(off_s, (on_s, off_s)) AS off_s FROM grp GROUP BY patient_num, g""",
 )
 def iv_collapse(spark, sf_dir):
-    return intervals.collapse(views.order_intervals(spark, sf_dir), block_s=DAY_BLOCK)
+    return intervals.collapse(views.order_intervals(spark, sf_dir))
 
 
 @query("iv_merge", with_views("orders", merge_sql("merged", "oi")) + "SELECT patient_num, on_s, off_s FROM merged")
 def iv_merge(spark, sf_dir):
-    return intervals.merge(views.order_intervals(spark, sf_dir), block_s=DAY_BLOCK)
+    return intervals.merge(views.order_intervals(spark, sf_dir))
 
 
 @query(
@@ -116,7 +115,7 @@ def iv_merge(spark, sf_dir):
 )
 def iv_merge_sets(spark, sf_dir):
     bad = intervals.runs(views.artifact_flags(spark, sf_dir))
-    return intervals.merge_sets(seizures(spark, sf_dir), bad, block_s=16.0)
+    return intervals.merge_sets(seizures(spark, sf_dir), bad)
 
 
 @query(
@@ -129,10 +128,10 @@ def iv_merge_sets(spark, sf_dir):
     + "SELECT patient_num, on_s, off_s FROM gaps",
 )
 def iv_invert(spark, sf_dir):
-    merged = intervals.merge(views.order_intervals(spark, sf_dir), block_s=DAY_BLOCK)
+    merged = intervals.merge(views.order_intervals(spark, sf_dir))
     ends = views.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("patient_num")).distinct()
     ends = ends.select("patient_num", F.lit(0.0).alias("start_s"), F.lit(2500.0).alias("stop_s"))
-    return intervals.invert(merged, ends, block_s=DAY_BLOCK)
+    return intervals.invert(merged, ends)
 
 
 @query(
@@ -185,7 +184,7 @@ snap_{name} AS (
     + "SELECT patient_num, on_s, off_s FROM epoched",
 )
 def iv_epochize(spark, sf_dir):
-    return intervals.epochize(seizures(spark, sf_dir, 3), event_ends(spark, sf_dir), 4, block_s=16.0)
+    return intervals.epochize(seizures(spark, sf_dir, 3), event_ends(spark, sf_dir), 4)
 
 
 _BINS = """
@@ -252,7 +251,6 @@ def controls(spark, sf_dir):
         intervals.runs(views.artifact_flags(spark, sf_dir)),
         views.event_recordings(spark, sf_dir),
         1,
-        block_s=16.0,
     )
 
 
@@ -307,7 +305,7 @@ SELECT patient_num, channel, idx, EXISTS (
 )
 def iv_mask_control(spark, sf_dir):
     free = intervals.control_bounds_with_artifacts(
-        seizures(spark, sf_dir), views.event_recordings(spark, sf_dir), block_s=16.0
+        seizures(spark, sf_dir), views.event_recordings(spark, sf_dir)
     )
     timed = views.event_signal(spark, sf_dir).withColumn("t", F.col("idx").cast("double"))
     held = intervals.shifted(free, 1)
