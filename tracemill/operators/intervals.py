@@ -158,10 +158,8 @@ def discretize(
     return df.withColumns({"on_s": on.cast("double"), "off_s": off.cast("double")})
 
 
-def epochize(
-    df: DataFrame, bounds: DataFrame, epoch_s: float, keys: Sequence[str] = KEYS
-) -> DataFrame:
-    """Widen by one epoch to each side, clip to the key's bounds, snap to epochs, merge."""
+def epoch_pieces(df: DataFrame, bounds: DataFrame, epoch_s: float, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Widen by one epoch to each side, clip to the key's bounds, snap outward to epochs."""
     framed = df.join(bounds.select(*keys, "start_s", "stop_s"), list(keys))
     framed = framed.withColumns(
         {
@@ -169,7 +167,13 @@ def epochize(
             "off_s": F.least(F.col("off_s") + epoch_s, F.col("stop_s")),
         }
     )
-    return merge(discretize(framed, epoch_s, F.col("start_s"), F.col("stop_s")), keys)
+    snapped = discretize(framed, epoch_s, F.col("start_s"), F.col("stop_s"))
+    return snapped.select(*keys, "on_s", "off_s")
+
+
+def epochize(df: DataFrame, bounds: DataFrame, epoch_s: float, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Disjoint epoch-aligned intervals around the given ones."""
+    return merge(epoch_pieces(df, bounds, epoch_s, keys), keys)
 
 
 def containing_bins(

@@ -64,13 +64,14 @@ def mark_covered(
     keys: Sequence[str] = KEYS,
     t: str = "t",
     block_s: float = BLOCK_S,
+    disjoint: bool = False,
 ) -> DataFrame:
     """Boolean column telling whether `on <= t < off` holds for any interval of the key.
 
-    The intervals are first merged, so a sample meets at most one piece and the left join
-    on (key, time bucket) adds no rows.
+    The intervals are first merged, unless known to be `disjoint`, so a sample meets at
+    most one piece and the left join on (key, time bucket) adds no rows.
     """
-    pieces = cover(merge(intervals, keys), keys, block_s)
+    pieces = cover(intervals if disjoint else merge(intervals, keys), keys, block_s)
     pieces = pieces.select(*keys, "bucket", "on_s", "off_s")
     left = signal.withColumn("bucket", F.floor(F.col(t) / block_s))
     match = [left[k] == pieces[k] for k in keys]
@@ -92,9 +93,10 @@ def mask_covered(
     keys: Sequence[str] = KEYS,
     t: str = "t",
     block_s: float = BLOCK_S,
+    disjoint: bool = False,
 ) -> DataFrame:
     """Set `value` to NULL inside the intervals (all channels of the key)."""
-    marked = mark_covered(signal, intervals, "_hit", keys, t, block_s)
+    marked = mark_covered(signal, intervals, "_hit", keys, t, block_s, disjoint)
     return marked.withColumn("value", F.when(~F.col("_hit"), F.col("value"))).drop("_hit")
 
 

@@ -12,7 +12,16 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracemill.functions.scalar import motif_name
-from tracemill.operators import tricorr_kernel as kernel
+from tracemill.operators.tricorr_kernel import (
+    MEASURES,
+    N_CLASSES,
+    contributions,
+    normal_variance_per_cell,
+    pair_lag_sums,
+    marginal_sums,
+    shuffled,
+    snippet_seed,
+)
 from tracemill.operators.signal import snippets
 
 KEYS = ("patient_num",)
@@ -64,7 +73,7 @@ def _map_snippets(
                 kept = rows_at[~gaps]
                 if len(kept):
                     x = stack[~gaps].reshape(-1, int(channels), int(length))
-                    seeds = [kernel.snippet_seed(seed, repr(names[r])) for r in kept]
+                    seeds = [snippet_seed(seed, repr(names[r])) for r in kept]
                     results[kept] = compute(x, seeds).reshape(len(kept), width)
             values = pa.ListArray.from_arrays(
                 pa.array(np.arange(batch.num_rows + 1) * width, pa.int32()),
@@ -107,16 +116,17 @@ def contributions_of(
     per_cell: bool = False,
 ) -> DataFrame:
     """As `class_contributions`, on rows that already hold whole snippets."""
-    if measure not in kernel.MEASURES:
-        raise KeyError(measure)
+    _, post, _ = MEASURES[measure]
+    # computed once here, not in every task
+    variance = normal_variance_per_cell(lag_extents) if post == "over_std" else None
 
     def compute(x: np.ndarray, seeds: list[int]) -> np.ndarray:
-        out = kernel.contributions(x, seeds, measure, lag_extents, boundary)
+        out = contributions(x, seeds, measure, lag_extents, boundary, variance)
         return out / (x.shape[1] * x.shape[2]) if per_cell else out
 
-    wide = _map_snippets(rows, [*keys, "snippet"], compute, kernel.N_CLASSES, seed)
-    classes = F.sequence(F.lit(1), F.lit(kernel.N_CLASSES))
-    filled = F.coalesce("out", F.array_repeat(F.lit(None).cast("double"), kernel.N_CLASSES))
+    wide = _map_snippets(rows, [*keys, "snippet"], compute, N_CLASSES, seed)
+    classes = F.sequence(F.lit(1), F.lit(N_CLASSES))
+    filled = F.coalesce("out", F.array_repeat(F.lit(None).cast("double"), N_CLASSES))
     return wide.select(
         *keys,
         F.col("snippet").alias("idx"),
@@ -124,8 +134,8 @@ def contributions_of(
     )
 
 
-def named_classes(contributions: DataFrame) -> DataFrame:
-    return contributions.withColumn("motif", motif_name("channel"))
+def named_classes(classes: DataFrame) -> DataFrame:
+    return classes.withColumn("motif", motif_name("channel"))
 
 
 def lag_kernel(
@@ -135,7 +145,7 @@ def lag_kernel(
     width = 2 * reach_b + 1
 
     def compute(x: np.ndarray, seeds: list[int]) -> np.ndarray:
-        return kernel.lag_kernel(x, reach_a, reach_b, lag_channels)
+        return pair_lag_sums(x, reach_a, reach_b, lag_channels)
 
     wide = _map_snippets(rows, [*keys, "snippet"], compute, width * width)
     return wide.select(*keys, "snippet", F.posexplode("out").alias("_at", "value")).select(
@@ -165,11 +175,11 @@ def lag_marginals(
     width = (2 * first + 1, 2 * second + 1)
 
     def compute(x: np.ndarray, seeds: list[int]) -> np.ndarray:
-        actual = kernel.lag_marginals(x, lag_extents)[which]
+        actual = marginal_sums(x, lag_extents)[which]
         if not shuffles:
             return actual
         noise = sum(
-            kernel.lag_marginals(kernel._shuffled(x, seeds, i), lag_extents)[which] for i in range(shuffles)
+            marginal_sums(shuffled(x, seeds, i), lag_extents)[which] for i in range(shuffles)
         )
         return actual / (noise / shuffles)
 

@@ -199,7 +199,7 @@ def snippet_seed(seed: int, identity: str) -> int:
     return (seed << 32) ^ zlib.crc32(identity.encode())
 
 
-def _shuffled(x: np.ndarray, seeds: list[int], draw: int) -> np.ndarray:
+def shuffled(x: np.ndarray, seeds: list[int], draw: int) -> np.ndarray:
     out = np.empty_like(x)
     for i, seed in enumerate(seeds):
         out[i] = np.random.default_rng([seed, draw]).permutation(x[i].ravel()).reshape(x[i].shape)
@@ -207,25 +207,33 @@ def _shuffled(x: np.ndarray, seeds: list[int], draw: int) -> np.ndarray:
 
 
 def contributions(
-    x: np.ndarray, seeds: list[int], measure: str, lag_extents: tuple[int, int], boundary: str
+    x: np.ndarray,
+    seeds: list[int],
+    measure: str,
+    lag_extents: tuple[int, int],
+    boundary: str,
+    variance: np.ndarray | None = None,
 ) -> np.ndarray:
-    """Class contributions of each snippet under a named measure."""
+    """Class contributions of each snippet under a named measure.
+
+    `variance` is `normal_variance_per_cell(lag_extents)`, for measures that divide by it.
+    """
     pre, post, shuffles = MEASURES[measure]
     x = PREPROCESS[pre](x)
     actual = class_sums(x, lag_extents, boundary)
     if shuffles:
-        noise = sum(class_sums(_shuffled(x, seeds, i), lag_extents, boundary) for i in range(shuffles)) / shuffles
+        noise = sum(class_sums(shuffled(x, seeds, i), lag_extents, boundary) for i in range(shuffles)) / shuffles
     if post == "over_noise":
         return actual / noise - 1
     if post == "minus_noise":
         return actual - noise
     if post == "over_std":
         cells = x.shape[1] * x.shape[2]
-        return actual / np.sqrt(normal_variance_per_cell(lag_extents) * cells)
+        return actual / np.sqrt(variance * cells)
     return actual
 
 
-def lag_kernel(x: np.ndarray, reach_a: int, reach_b: int, lag_channels: bool) -> np.ndarray:
+def pair_lag_sums(x: np.ndarray, reach_a: int, reach_b: int, lag_channels: bool) -> np.ndarray:
     """Correlation at each pair of time lags, over base points whose lags stay inside.
 
     With `lag_channels` the channel lags are summed over as well; without, they only
@@ -242,7 +250,7 @@ def lag_kernel(x: np.ndarray, reach_a: int, reach_b: int, lag_channels: bool) ->
     return out if lag_channels else out * width_a**2
 
 
-def lag_marginals(x: np.ndarray, lag_extents: tuple[int, int]) -> dict[str, np.ndarray]:
+def marginal_sums(x: np.ndarray, lag_extents: tuple[int, int]) -> dict[str, np.ndarray]:
     """Zero-padded triple correlation summed over the other lags.
 
     `time` is over (t1, t2), `space` over (n1, n2) and `space_time` over (n1, t1).

@@ -84,23 +84,25 @@ def epoch_samples(
     """Signal values inside seizures against those in the control stretches.
 
     Controls lie outside the *epochised* seizures and artifacts, the seizure mask uses the
-    raw intervals. Recordings without enough present seizure values are left out.
+    raw intervals, which must be disjoint. Recordings without enough present seizure values are left out.
     """
     ends = recordings.select(
         *keys,
         F.col("start_s").cast("double"),
         (F.col("start_s") + F.col("duration_s") - snippet_s).alias("stop_s"),
     )
-    wide = intervals.epochize(seizures, ends, epoch_s, keys)
-    wide_artifacts = intervals.epochize(artifacts, ends, epoch_s, keys)
-    busy = intervals.merge_sets(wide, wide_artifacts, keys)
+    busy = intervals.merge_sets(
+        intervals.epoch_pieces(seizures, ends, epoch_s, keys),
+        intervals.epoch_pieces(artifacts, ends, epoch_s, keys),
+        keys,
+    )
     whole = recordings.select(*keys, F.lit(0.0).alias("start_s"), F.col("duration_s").alias("stop_s"))
     seizing = seizures.select(*keys).distinct()
     free = intervals.invert(busy, whole.join(seizing, list(keys), "left_semi"), keys)
     timed = signal.join(recordings.select(*keys, "start_s"), list(keys))
     timed = timed.withColumn("t", F.col("start_s") + F.col("idx") * float(snippet_s)).drop("start_s")
-    marked = mark_covered(timed, intervals.shifted(free), "_control", keys, "t", block_s)
-    marked = mark_covered(marked, intervals.shifted(seizures), "is_seizure", keys, "t", block_s)
+    marked = mark_covered(timed, intervals.shifted(free), "_control", keys, "t", block_s, disjoint=True)
+    marked = mark_covered(marked, intervals.shifted(seizures), "is_seizure", keys, "t", block_s, disjoint=True)
     used = marked.filter(F.col("_control") | F.col("is_seizure")).drop("t")
     # a sample in both stretches would belong to both sides
     both = used.filter(F.col("_control") & F.col("is_seizure")).withColumn("is_seizure", F.lit(False))

@@ -282,7 +282,7 @@ def iv_mask_seizure(spark, sf_dir):
     """Snippet mask `on <= t + 1 < off`, any interval."""
     timed = views.event_signal(spark, sf_dir).withColumn("t", F.col("idx").cast("double"))
     held = intervals.shifted(seizures(spark, sf_dir))
-    return annotations.mark(timed, held, "hit", block_s=16.0).select("patient_num", "channel", "idx", "hit")
+    return annotations.mark(timed, held, "hit", block_s=16.0, disjoint=True).select("patient_num", "channel", "idx", "hit")
 
 
 _MASK_CONTROL = """
@@ -309,7 +309,7 @@ def iv_mask_control(spark, sf_dir):
     )
     timed = views.event_signal(spark, sf_dir).withColumn("t", F.col("idx").cast("double"))
     held = intervals.shifted(free, 1)
-    return annotations.mark(timed, held, "hit", block_s=16.0).select("patient_num", "channel", "idx", "hit")
+    return annotations.mark(timed, held, "hit", block_s=16.0, disjoint=True).select("patient_num", "channel", "idx", "hit")
 
 
 _EVENTS = """

@@ -233,7 +233,7 @@ def sig_artifact_mask(spark, sf_dir):
     """Samples inside 1-based artifact runs, compared on plain times as published."""
     bad = intervals.runs(views.artifact_flags(spark, sf_dir))
     timed = signal.with_time(views.event_signal(spark, sf_dir), views.event_recordings(spark, sf_dir))
-    return _shown(signal.mask_covered(timed, bad, block_s=16.0), *CELL)
+    return _shown(signal.mask_covered(timed, bad, block_s=16.0, disjoint=True), *CELL)
 
 
 @query(

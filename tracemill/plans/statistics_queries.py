@@ -123,7 +123,7 @@ def _width(alias: str) -> str:
       ELSE least({alias}.sd, {alias}.iqr) END) * pow({alias}.n, -0.2) END"""
 
 
-def _kde_sql(source: str, keys: str) -> str:
+def _kde_sql(source: str, keys: str, points: int = POINTS) -> str:
     """Expressions for both densities of each group on the group's periodic grid."""
     moments = """count(*) AS n, coalesce(stddev_samp(value), 0.0) AS sd, min(value) AS lo, max(value) AS hi,
     (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34 AS iqr"""
@@ -131,7 +131,7 @@ def _kde_sql(source: str, keys: str) -> str:
 kd AS (SELECT * FROM {source} WHERE value IS NOT NULL),
 pool AS (SELECT {keys}, {moments} FROM kd GROUP BY ALL),
 grid AS (
-  SELECT {keys}, p.lo - 4.0 * {_width("p")} AS x0, (p.hi - p.lo + 2 * 4.0 * {_width("p")}) / {POINTS - 1} AS step FROM pool p),
+  SELECT {keys}, p.lo - 4.0 * {_width("p")} AS x0, (p.hi - p.lo + 2 * 4.0 * {_width("p")}) / {points - 1} AS step FROM pool p),
 side AS (SELECT {keys}, is_seizure, n, {_width("s")} AS h
   FROM (SELECT {keys}, is_seizure, {moments} FROM kd GROUP BY ALL) s),
 cells AS (
@@ -144,10 +144,10 @@ cells AS (
   GROUP BY ALL),
 dens AS (
   SELECT {keys}, is_seizure, g.i, any_value(x0) + g.i * any_value(step) AS x,
-    sum(w * ({" + ".join(f"exp(-0.5 * pow((g.i - cell + {k * POINTS}) * step / h, 2))" for k in (-1, 0, 1))}))
+    sum(w * ({" + ".join(f"exp(-0.5 * pow((g.i - cell + {k * points}) * step / h, 2))" for k in (-1, 0, 1))}))
       / (any_value(n) * any_value(h) * sqrt(2 * pi())) AS density
   FROM cells JOIN side USING ({keys}, is_seizure) JOIN grid USING ({keys})
-  CROSS JOIN (SELECT unnest(range(0, {POINTS})) AS i) g
+  CROSS JOIN (SELECT unnest(range(0, {points})) AS i) g
   GROUP BY {keys}, is_seizure, g.i),
 prob AS (SELECT *, density / sum(density) OVER (PARTITION BY {keys}, is_seizure) AS p FROM dens),
 js AS (
@@ -202,7 +202,7 @@ samples AS (
     SELECT 1 FROM free r WHERE r.patient_num = s.patient_num AND r.on_s <= s.idx + 1 AND s.idx + 1 < r.off_s)),
 enough AS (
   SELECT patient_num FROM samples GROUP BY 1
-  HAVING count(*) FILTER (WHERE is_seizure) >= 5 * 3 AND count(*) FILTER (WHERE NOT is_seizure) > 0),
+  HAVING count(*) FILTER (WHERE is_seizure) >= 5 * 10 AND count(*) FILTER (WHERE NOT is_seizure) > 0),
 held AS (SELECT * FROM samples SEMI JOIN enough USING (patient_num))""",
 ]
 
@@ -214,24 +214,24 @@ def comparison_samples(spark, sf_dir):
         intervals.runs(views.artifact_flags(spark, sf_dir)),
         views.event_recordings(spark, sf_dir),
         epoch_s=2,
-        min_snippets=3,
+        min_snippets=10,
         block_s=16.0,
     )
 
 
 @query(
     "st_epoch_differences",
-    with_views(*_DIFFERENCES, _ks_sql("held", "patient_num, channel"), _kde_sql("held", "patient_num, channel"))
+    with_views(*_DIFFERENCES, _ks_sql("held", "patient_num, channel"), _kde_sql("held", "patient_num, channel", 2048))
     + f"""
-SELECT patient_num, channel, round(js, 5) AS js, round(p, 6) AS p, d_mu, d_sigma FROM js
+SELECT patient_num, channel, round(js, 4) AS js, round(p, 6) AS p, d_mu, d_sigma FROM js
 JOIN ks USING (patient_num, channel)
 JOIN ({_delta_sql("held", "patient_num, channel")}) USING (patient_num, channel)""",
 )
 def st_epoch_differences(spark, sf_dir):
     """Seizure against control per patient and channel: JS, KS p, shifts of mean and spread."""
-    found = epoch_differences(comparison_samples(spark, sf_dir), points=POINTS)
+    found = epoch_differences(comparison_samples(spark, sf_dir))
     return found.select(
-        "patient_num", "channel", rounded("js", 5).alias("js"),
+        "patient_num", "channel", rounded("js", 4).alias("js"),
         *[rounded(c).alias(c) for c in ("p", "d_mu", "d_sigma")],
     )
 
