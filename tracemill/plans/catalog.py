@@ -7,6 +7,7 @@ from tracemill.plans import (  # noqa: F401
     interval_queries,
     signal_queries,
     statistics_queries,
+    streaming_queries,
     table_queries,
     tricorr_queries,
 )

@@ -23,14 +23,11 @@ def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "tracemill
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` out once, so that nothing before it is planned or computed again.
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables, named by `spark.checkpoint.dir`.
 
-    Meant for reduced tables that a scan reads several times. The folder is the shared one
-    that the cluster names in `spark.checkpoint.dir`; only a local session without that
-    setting gets a folder of its own.
+    Only a local session without that setting gets a folder of its own.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -39,4 +36,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
             shared = tempfile.mkdtemp(prefix="tracemill-")
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` out once, so that nothing before it is planned or computed again.
+
+    Meant for reduced tables that a scan reads several times.
+    """
+    scratch_folder(df.sparkSession)
     return df.checkpoint(eager=True)
