@@ -47,13 +47,13 @@ def tricorr_stem(
 SIGNAL_STEMS = {"tricorr": tricorr_stem, "aEEG": amplitude_stem}
 
 
-def signal_stem(signal_type: str, **params) -> str:
+def signal_stem(signal_type: str, /, **params) -> str:
     if signal_type not in SIGNAL_STEMS:
         raise ValueError(f"unsupported signal type: {signal_type}")
     return SIGNAL_STEMS[signal_type](**params)
 
 
-def differences_stem(signal_type: str, *, min_reviewers_per_seizure, standardization, **params) -> str:
+def differences_stem(signal_type: str, /, *, min_reviewers_per_seizure, standardization, **params) -> str:
     return f"epochdiff{signal_stem(signal_type, **params)}nrev{min_reviewers_per_seizure}_std{standardization}_"
 
 
@@ -65,6 +65,6 @@ def reduction_text(reduction: str, *, rolling_window_s, n_signals_used=None, **_
     raise ValueError(f"unsupported reduction type: {reduction}")
 
 
-def detection_stem(signal_type: str, reduction: str, *, epoch_s, calculate_targets_fn, **params) -> str:
+def detection_stem(signal_type: str, reduction: str, /, *, epoch_s, calculate_targets_fn, **params) -> str:
     tail = f"{function_text(calculate_targets_fn)}_epoch{epoch_s}_{reduction_text(reduction, **params)}_"
     return f"nedetect{reduction}{differences_stem(signal_type, **params)}{tail}"

@@ -14,27 +14,28 @@ from tracemill.operators.signal import poison_blocks
 
 def save(df: DataFrame, path: str, stem: str, session: str) -> None:
     """Add a session's result under its stem. Sessions sort by time, as ISO stamps do."""
-    tagged = df.withColumns({"stem": F.lit(stem), "session": F.lit(session)})
+    # the prefix keeps Spark from reading the folder name as a date
+    tagged = df.withColumns({"stem": F.lit(stem), "session": F.lit(f"at-{session}")})
     tagged.write.mode("append").partitionBy("stem", "session").parquet(path)
 
 
 def load_latest(spark: SparkSession, path: str, prefix: str) -> DataFrame | None:
     """Rows of the newest session among stems that start with `prefix`, or None.
 
-    Stem and session are partition columns: the search reads no data and the result scans
-    one folder.
+    Stem and session are partition columns: the search reads no data columns and the
+    result scans one folder.
     """
     try:
-        cached = spark.read.option("recursiveFileLookup", "false").parquet(path)
+        cached = spark.read.parquet(path)
     except AnalysisException:
         return None
     if "stem" not in cached.columns:
         return None
     matching = cached.filter(F.col("stem").startswith(prefix))
-    newest = matching.agg(F.max(F.struct(F.col("session").cast("string"), "stem")).alias("m")).select("m.*").first()
+    newest = matching.agg(F.max(F.struct("session", "stem")).alias("m")).select("m.*").first()
     if newest is None or newest["stem"] is None:
         return None
-    chosen = (F.col("stem") == newest["stem"]) & (F.col("session").cast("string") == newest["session"])
+    chosen = (F.col("stem") == newest["stem"]) & (F.col("session") == newest["session"])
     return cached.filter(chosen).drop("stem", "session")
 
 
