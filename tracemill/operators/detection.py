@@ -169,13 +169,17 @@ def threshold_range(signal: DataFrame, keys: Sequence[str] = (), value: str = "v
     )
 
 
-def roc_sweep(scores: DataFrame, n_thetas: int = 100, keys: Sequence[str] = KEYS) -> DataFrame:
+def roc_sweep(
+    scores: DataFrame, n_thetas: int = 100, keys: Sequence[str] = KEYS, signal: DataFrame | None = None
+) -> DataFrame:
     """ROC counts at `n_thetas` evenly spaced thresholds per key.
 
+    The thresholds span the values of `signal`, or of the scores where none is given.
+
     Every score is placed once, at the last threshold it reaches, and the counts are
     summed from the top; nothing is compared with all thresholds.
     """
-    edges = threshold_range(scores, keys, "score")
+    edges = threshold_range(scores, keys, "score") if signal is None else threshold_range(signal, keys)
     edges = edges.withColumn("_step", (F.col("theta_max") - F.col("theta_min")) / (n_thetas - 1))
     placed = scores.filter(F.col("score").isNotNull()).join(edges, list(keys))
 

@@ -145,7 +145,7 @@ def map_blocks(
     hi = F.floor((i + before) / block_len)
     spread = signal.withColumn("_block", F.explode(F.sequence(lo, hi)))
     blocks = spread.groupBy(*keys, "_block").agg(
-        F.array_sort(F.collect_list(F.struct("idx", value))).alias("_cells"),
+        F.sort_array(F.collect_list(F.struct("idx", value))).alias("_cells"),
         F.max("idx").cast("bigint").alias("_top"),
     )
     start = (F.col("_block") * block_len).cast("bigint")
@@ -197,7 +197,10 @@ def clean_channels(
     keys: Sequence[str] = KEYS,
     block_len: int | None = None,
 ) -> DataFrame:
-    """Centre, band-pass, band-stop around mains (both zero-phase) and scale to unit spread."""
+    """Band-pass, band-stop around mains (both zero-phase) and scale to unit spread.
+
+    A constant passes the first filter as zero, so the signal needs no centring.
+    """
     half = mains_bandwidth / 2
     band = impulse_response(2, "bandpass", (low, high), fs)
     notch = impulse_response(6, "bandstop", (mains_hz - half, mains_hz + half), fs)
@@ -211,10 +214,8 @@ def clean_channels(
             x = zero_phase(wide, response)[lead : lead + len(x)]
         return x
 
-    level = signal.groupBy(*keys).agg(F.avg("value").alias("_mean"))
-    centred = signal.join(level, list(keys)).withColumn("value", F.col("value") - F.col("_mean")).drop("_mean")
     size = block_len or 4 * reach
-    clean = map_blocks(centred, size, reach, reach, filtered, keys)
+    clean = map_blocks(signal, size, reach, reach, filtered, keys)
     spread = clean.groupBy(*keys).agg(F.stddev_samp("value").alias("_sd"))
     scaled = F.col("value") / F.nullif("_sd", F.lit(0.0))
     return clean.join(spread, list(keys)).withColumn("value", scaled).drop("_sd")
@@ -274,7 +275,7 @@ def margins(
     """
     picks = {"lower": int(lower * window), "upper": int(upper * window)}
     binned = envelopes.groupBy(*keys, F.floor(F.col("idx") / window).alias("idx")).agg(
-        F.array_sort(F.collect_list("value")).alias("_sorted"), F.count(F.lit(1)).alias("_n")
+        F.sort_array(F.collect_list("value")).alias("_sorted"), F.count(F.lit(1)).alias("_n")
     )
     full = binned.filter(F.col("_n") == window)
     whole = F.size("_sorted") == window

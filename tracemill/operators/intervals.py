@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.operators.scan import ordered_blocks, running
+from tracemill.operators.scan import ordered_blocks, running, spread
 
 KEYS = ("patient_num",)
 BLOCK_S = 3600.0
@@ -203,7 +203,7 @@ def containing_bins(
 
 
 def bin_rows(bins: DataFrame, out: str = "bin") -> DataFrame:
-    return bins.withColumn(out, F.explode(F.sequence("first_bin", "last_bin"))).drop("first_bin", "last_bin")
+    return spread(bins, F.col("first_bin"), F.col("last_bin"), out).drop("first_bin", "last_bin")
 
 
 def cover(df: DataFrame, keys: Sequence[str] = KEYS, block_s: float = BLOCK_S) -> DataFrame:
@@ -215,10 +215,8 @@ def cover(df: DataFrame, keys: Sequence[str] = KEYS, block_s: float = BLOCK_S) -
 def snippet_starts(df: DataFrame, step: float) -> DataFrame:
     """Snippet starts `on, on+step, ...` of each interval, its end included."""
     count = F.floor((F.col("off_s") - F.col("on_s")) / step + F.lit(1e-9))
-    steps = F.sequence(F.lit(0).cast("bigint"), count.cast("bigint"))
-    return df.withColumn("_step", F.explode(steps)).withColumn(
-        "start_s", F.col("on_s") + F.col("_step") * float(step)
-    ).drop("_step")
+    steps = spread(df, F.lit(0), count, "_step")
+    return steps.withColumn("start_s", F.col("on_s") + F.col("_step") * float(step)).drop("_step")
 
 
 def control_bounds(

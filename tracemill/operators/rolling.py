@@ -17,15 +17,17 @@ from pyspark.sql import functions as F
 from tracemill.functions.nulls import complete_frame
 
 KEYS = ("patient_num", "channel")
-SLIDING_LIMIT = 12
+SLIDING_LIMIT = 48
 MIN_BLOCK = 8192
 
 _AGGREGATE = {"mean": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min, "sum": F.sum}
 
 
-def _with_halo(df: DataFrame, idx: str, size: int, reach: int) -> DataFrame:
+def _with_halo(df: DataFrame, keys: Sequence[str], idx: str, size: int, reach: int) -> DataFrame:
     i = F.col(idx)
-    return df.withColumn("_block", F.explode(F.sequence(F.floor(i / size), F.floor((i + reach) / size))))
+    blocks = F.sequence(F.floor(i / size), F.floor((i + reach) / size))
+    # one exchange that serves the windows over blocks and over their tiles alike
+    return df.withColumn("_block", F.explode(blocks)).repartition(*keys, "_block")
 
 
 def _block_size(k: int, block_len: int | None) -> int:
@@ -48,7 +50,7 @@ def rolling(
     if stat not in _AGGREGATE:
         raise KeyError(stat)
     size = _block_size(k, block_len)
-    halo = _with_halo(df, idx, size, k - 1)
+    halo = _with_halo(df, keys, idx, size, k - 1)
     if method == "sliding" or (method == "auto" and k <= SLIDING_LIMIT):
         rolled = _sliding(halo, k, stat, keys, idx, value)
     else:
@@ -116,7 +118,7 @@ def moving_average(df: DataFrame, k: int, skip_missing: bool = False, **options)
         return rolling(df, k, "mean", **options).filter(F.col(idx) >= k - 1)
     keys, value, out = options.get("keys", KEYS), options.get("value", "value"), options.get("out", "value")
     size = _block_size(k, options.get("block_len"))
-    halo = _with_halo(df, idx, size, k - 1)
+    halo = _with_halo(df, keys, idx, size, k - 1)
     frame = Window.partitionBy(*keys, "_block").orderBy(idx).rangeBetween(-(k - 1), 0)
     rolled = halo.withColumn(out, F.avg(value).over(frame))
     kept = (F.col("_block") == F.floor(F.col(idx) / size)) & (F.col(idx) >= k - 1)

@@ -78,3 +78,20 @@ def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     """
     ranged = df.repartitionByRange(*keys, *order)
     return cut_lineage(ranged.withColumn("_block", F.spark_partition_id().cast("bigint")))
+
+
+SPREAD = 1 << 16
+
+
+def spread(df: DataFrame, first: Column, last: Column, out: str) -> DataFrame:
+    """One row per whole number from `first` to `last` (none when that is before `first`).
+
+    The range is cut into stretches that go to different tasks before they are filled in,
+    so a very long range is neither one array nor one task.
+    """
+    names = df.columns
+    held = df.withColumns({"_first": first.cast("bigint"), "_last": last.cast("bigint")})
+    starts = F.sequence("_first", "_last", F.lit(SPREAD).cast("bigint"))
+    cut = held.filter("_first <= _last").withColumn("_from", F.explode(starts))
+    filled = F.sequence("_from", F.least(F.col("_from") + SPREAD - 1, F.col("_last")))
+    return cut.repartition(*names, "_from").select(*names, F.explode(filled).alias(out))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tracemill.functions.nulls import complete
 from tracemill.functions.scalar import clean_label, contains_any
 from tracemill.operators.intervals import BLOCK_S, cover, merge, restrict
+from tracemill.operators.scan import spread
 
 KEYS = ("patient_num",)
 CHANNEL = "channel"
@@ -32,8 +33,8 @@ def with_time(signal: DataFrame, recordings: DataFrame, keys: Sequence[str] = KE
 
 def densify(cells: DataFrame, length: Column, keys: Sequence[str] = (*KEYS, CHANNEL)) -> DataFrame:
     """Fill absent cells with NULL so that every key has idx 0..length-1."""
-    axis = cells.select(*keys).distinct()
-    axis = axis.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("bigint"), length - 1)))
+    axis = cells.select(*keys).distinct().withColumn("_length", length)
+    axis = spread(axis, F.lit(0), F.col("_length") - 1, "idx").drop("_length")
     return axis.join(cells, [*keys, "idx"], "left")
 
 
@@ -160,7 +161,7 @@ def snippets(
         signal.filter(at >= 0)
         .groupBy(*keys, F.floor(at / length).alias("snippet"))
         .agg(
-            F.array_sort(F.collect_list(F.struct(CHANNEL, "idx", "value"))).alias("_cells"),
+            F.sort_array(F.collect_list(F.struct(CHANNEL, "idx", "value"))).alias("_cells"),
             F.size(F.collect_set(CHANNEL)).cast("bigint").alias("n_channels"),
         )
         .select(

@@ -186,6 +186,7 @@ MEASURES: dict[str, tuple[str, str, int]] = {
     "A_01norm": ("unit", "identity", 0),
     "AN_01norm": ("unit", "over_noise", 2),
     "AN_01norm_power": ("power_unit", "over_noise", 1),
+    "AN_01norm_normal": ("unit", "over_normal", 0),
     "AN_znorm": ("zscore", "minus_noise", 5),
     "A_znorm": ("zscore", "identity", 0),
     "A_znorm_std": ("zscore", "over_std", 0),
@@ -225,6 +226,9 @@ def contributions(
         noise = sum(class_sums(shuffled(x, seeds, i), lag_extents, boundary) for i in range(shuffles)) / shuffles
     if post == "over_noise":
         return actual / noise - 1
+    if post == "over_normal":
+        draws = [np.random.default_rng([seed, 0]).normal(size=x.shape[1:]) for seed in seeds]
+        return actual / class_sums(_unit(np.stack(draws)), lag_extents, boundary)
     if post == "minus_noise":
         return actual - noise
     if post == "over_std":

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.nulls import rounded
 from tracemill.operators import detection
+from tracemill.operators.tables import union_all
 from tracemill.plans import views
-from tracemill.plans.detector import clinician_scores, detector_signal, evaluate
+from tracemill.plans.detector import clinician_scores, detector_signal, evaluate, mu_sigma_sweeps, sensitivity
 from tracemill.plans.interval_queries import _event_bounds, _runs, epochs_sql, event_ends, seizures
 from tracemill.plans.registry import query
 from tracemill.plans.views import invert_sql, with_views
@@ -16,22 +17,28 @@ from tracemill.plans.views import invert_sql, with_views
 UNUSED = ("signup", "view")
 WINDOW, EPOCH = 2, 2
 
-_REDUCED = """
+def reduced_sql(stat: str = "avg", standardization: str = "within", value: str = "abs(z)") -> str:
+    """Expressions for the detector trace `red` of the event signal."""
+    group = {"within": "patient_num, channel", "across": "channel"}[standardization]
+    return f"""
 kept AS (SELECT * FROM sig WHERE NOT (contains(channel, 'signup') OR contains(channel, 'view'))),
 poisoned AS (
   SELECT patient_num, channel, idx,
     CASE WHEN NOT bool_or(value IS NULL) OVER (PARTITION BY patient_num, idx) THEN value END AS value FROM kept),
 rolled AS (
-  SELECT patient_num, channel, idx, CASE WHEN count(value) OVER w = 2 THEN avg(value) OVER w END AS value
+  SELECT patient_num, channel, idx, CASE WHEN count(value) OVER w = 2 THEN {stat}(value) OVER w END AS value
   FROM poisoned
   WINDOW w AS (PARTITION BY patient_num, channel ORDER BY idx ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)),
 moments AS (
-  SELECT patient_num, channel, avg(value) AS mu, stddev_samp(value) AS sd FROM rolled WHERE value IS NOT NULL
-  GROUP BY 1, 2),
+  SELECT {group}, avg(value) AS mu, stddev_samp(value) AS sd FROM rolled WHERE value IS NOT NULL
+  GROUP BY ALL),
 red AS (
-  SELECT patient_num, idx,
-    CASE WHEN count(*) = count(value) THEN max(abs((value - mu) / nullif(sd, 0.0))) END AS value
-  FROM rolled JOIN moments USING (patient_num, channel) GROUP BY 1, 2)"""
+  SELECT patient_num, idx, CASE WHEN count(*) = count(z) THEN max({value}) END AS value
+  FROM (SELECT patient_num, idx, (value - mu) / nullif(sd, 0.0) AS z FROM rolled JOIN moments USING ({group}))
+  GROUP BY 1, 2)"""
+
+
+_REDUCED = reduced_sql()
 
 _EPOCHS = """
 ep AS (SELECT patient_num, idx // 2 AS bin, CASE WHEN count(*) = count(value) THEN max(value) END AS value
@@ -54,9 +61,9 @@ scores AS (
 _TOP = "(SELECT max(stop_s) FROM eends)"
 
 
-def _pipeline(*more: str, reviewers: int = 3) -> str:
+def _pipeline(*more: str, reviewers: int = 3, reduced: str = _REDUCED) -> str:
     return with_views(
-        "signal", "reviewers", _REDUCED, _EPOCHS, _runs(reviewers), epochs_sql("truth", "runs", EPOCH, "0.0", _TOP),
+        "signal", "reviewers", reduced, _EPOCHS, _runs(reviewers), epochs_sql("truth", "runs", EPOCH, "0.0", _TOP),
         invert_sql("quiet", "truth", "eends"), _SCORES, *more,
     )
 
@@ -290,3 +297,67 @@ def rel_sweep(spark, sf_dir):
     quiet = scores.filter(~F.col("is_target")).withColumn("target", F.lit("patient"))
     points = evaluate(scores.unionByName(best).unionByName(quiet), ("target",))
     return points.select("target", *[rounded(c).alias(c) for c in ("auc", "tpr57", "fphr80")])
+
+
+def _mu_sigma_sql() -> str:
+    parts = []
+    for name, stat in (("mean", "avg"), ("std", "stddev_samp")):
+        sweep = f"""
+lim AS (SELECT patient_num, min(value) - {2.0**-26!r} AS lo, max(value) + {2.0**-26!r} AS hi FROM red GROUP BY 1),
+th AS (SELECT patient_num, lo + i * ((hi - lo) / 99) AS theta FROM (SELECT *, unnest(range(0, 100)) AS i FROM lim)),
+sweep AS (
+  SELECT t.patient_num, t.theta,
+    CAST(count(*) FILTER (WHERE is_target AND score >= theta) AS BIGINT) AS true_positives,
+    CAST(count(*) FILTER (WHERE is_target) AS BIGINT) AS gt_positive,
+    CAST(count(*) FILTER (WHERE NOT is_target AND score >= theta) AS BIGINT) AS false_positives,
+    CAST(count(*) FILTER (WHERE NOT is_target) AS BIGINT) AS gt_negative
+  FROM th t LEFT JOIN scores USING (patient_num) GROUP BY 1, 2)"""
+        body = _pipeline(sweep, reviewers=2, reduced=reduced_sql(stat))
+        parts.append(f"SELECT * FROM ({body} SELECT '{name}' AS rolling, * REPLACE (round(theta, 6) AS theta) FROM sweep)")
+    return " UNION ALL ".join(parts)
+
+
+@query("det_mu_sigma", _mu_sigma_sql())
+def det_mu_sigma(spark, sf_dir):
+    """Sweeps of each patient's rolled mean and rolled spread over the signal's own range."""
+    curves = mu_sigma_sweeps(
+        views.event_signal(spark, sf_dir), seizures(spark, sf_dir, 2), views.event_recordings(spark, sf_dir),
+        WINDOW, "maxanyabs", EPOCH, exclude=UNUSED, poison=1,
+    )
+    return curves.withColumn("theta", rounded("theta"))
+
+
+# Signal kind, rolling statistic and channel reduction of the sensitivity runs.
+KINDS = (("mu", "mean", "avg", "maxanyabs", "abs(z)"), ("sigma", "std", "stddev_samp", "maxany", "z"))
+
+
+def _sensitivity_sql() -> str:
+    parts = []
+    for kind, _, stat, _, value in KINDS:
+        for standardization in ("within", "across"):
+            for reviewers in (3, 2, 1):
+                body = _pipeline(
+                    _PATIENT, _roc_sql("scores", "roc_seizure"), _roc_sql("pscores", "roc_patient"),
+                    reviewers=reviewers, reduced=reduced_sql(stat, standardization, value),
+                )
+                head = f"'{kind}' AS signal, '{standardization}' AS standardization, {reviewers} AS min_reviewers_per_seizure"
+                parts.append(f"SELECT {head}, * FROM ({body} {_sweep_rows()})")
+    return " UNION ALL ".join(parts)
+
+
+@query("det_sensitivity", _sensitivity_sql())
+def det_sensitivity(spark, sf_dir):
+    """All settings: two signals, two standardisations, three consensus levels, two targets."""
+    signal = views.event_signal(spark, sf_dir)
+    traces = []
+    for kind, stat, _, reduction, _ in KINDS:
+        for standardization in ("within", "across"):
+            trace = detector_signal(signal, WINDOW, standardization, reduction, stat, UNUSED, 1)
+            traces.append(trace.withColumns({"signal": F.lit(kind), "standardization": F.lit(standardization)}))
+    table = sensitivity(
+        union_all(traces), views.reviewer_counts(spark, sf_dir), views.event_recordings(spark, sf_dir), EPOCH
+    )
+    return table.select(
+        "target", "signal", "standardization", "min_reviewers_per_seizure",
+        *[rounded(c).alias(c) for c in ("auc", "tpr57", "fphr80")],
+    )

@@ -34,6 +34,82 @@ def detector_signal(
     return reduce_channels(standardize(rolled, standardization, keys), reduction, keys)
 
 
+def mu_sigma_sweeps(
+    signal: DataFrame,
+    seizures: DataFrame,
+    recordings: DataFrame,
+    window: int,
+    reduction: str,
+    epoch_s: int,
+    snippet_s: int = 1,
+    n_thetas: int = 100,
+    exclude: Sequence[str] = (),
+    poison: int | None = None,
+) -> DataFrame:
+    """Threshold sweeps of each recording's rolled mean and of its rolled spread."""
+    traces = []
+    for stat in ("mean", "std"):
+        trace = detector_signal(signal, window, "within", reduction, stat, exclude, poison)
+        traces.append(trace.withColumn("rolling", F.lit(stat)))
+    both = traces[0].unionByName(traces[1])
+    kinds = F.explode(F.array(F.lit("mean"), F.lit("std")))
+    keys = ("rolling", "patient_num")
+    scores = detection.seizure_targets(
+        both, seizures.withColumn("rolling", kinds), recordings.withColumn("rolling", kinds), epoch_s, snippet_s, keys
+    )
+    return detection.roc_sweep(scores, n_thetas, keys, both)
+
+
+def sensitivity(
+    traces: DataFrame,
+    counts: DataFrame,
+    recordings: DataFrame,
+    epoch_s: int,
+    reviewers: Sequence[int] = (3, 2, 1),
+    snippet_s: int = 1,
+    discretization_s: float | None = None,
+) -> DataFrame:
+    """Area and operating points of every analysis setting in one pass.
+
+    `traces` are detector traces with `signal` and `standardization`; each is scored
+    against the seizures of each consensus level, per seizure and per patient. The
+    settings are keys of the same tables, not separate runs.
+    """
+    settings = ("signal", "standardization", "min_reviewers_per_seizure")
+    keys = (*settings, "patient_num")
+    level = F.explode(F.array(*[F.lit(r) for r in reviewers]))
+    configured = traces.select("signal", "standardization").distinct()
+    bounds = recordings.select(
+        "patient_num", F.col("start_s").cast("double"), (F.col("start_s") + F.col("duration_s")).alias("stop_s")
+    )
+    marked = counts.withColumn("min_reviewers_per_seizure", level)
+    flags = marked.select(
+        "min_reviewers_per_seizure", "patient_num", F.col("sec").alias("idx"),
+        (F.col("n") >= F.col("min_reviewers_per_seizure")).alias("flag"),
+    )
+    found = intervals.runs(flags, keys=("min_reviewers_per_seizure", "patient_num"))
+    if discretization_s is not None:
+        framed = found.join(bounds, "patient_num")
+        found = intervals.discretize(framed, discretization_s, F.col("start_s"), F.col("stop_s"))
+        found = intervals.merge(found, ("min_reviewers_per_seizure", "patient_num"))
+    # the settings are few by construction, so they are carried as an array on each row
+    kinds = configured.agg(F.collect_set(F.struct("signal", "standardization"))).scalar()
+
+    def for_each_setting(df: DataFrame) -> DataFrame:
+        spread = df.withColumn("_k", F.explode(kinds))
+        return spread.select("*", "_k.signal", "_k.standardization").drop("_k")
+
+    outlines = for_each_setting(recordings.withColumn("min_reviewers_per_seizure", level))
+    scores = detection.seizure_targets(
+        traces.withColumn("min_reviewers_per_seizure", level), for_each_setting(found), outlines, epoch_s, snippet_s, keys
+    )
+    scores = cut_lineage(scores)
+    best = scores.filter("is_target").groupBy(*keys).agg(F.max("score").alias("score"), F.lit(True).alias("is_target"))
+    by_seizure = scores.withColumn("target", F.lit("seizure"))
+    by_patient = best.unionByName(scores.filter(~F.col("is_target"))).withColumn("target", F.lit("patient"))
+    return evaluate(by_seizure.unionByName(by_patient), ("target", *settings))
+
+
 def evaluate(
     scores: DataFrame, keys: Sequence[str] = (), fphr: float = 5.7, tpr: float = 0.8, epochs_per_hour: float = 60.0
 ) -> DataFrame:

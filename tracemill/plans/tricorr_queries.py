@@ -153,6 +153,29 @@ def _noise_query(name: str, measure: str) -> None:
 _noise_query("tc_noise_ratio", "AN_01norm")
 _noise_query("tc_noise_ratio_power", "AN_01norm_power")
 _noise_query("tc_noise_difference", "AN_znorm")
+_noise_query("tc_noise_normal", "AN_01norm_normal")
+
+
+@query(
+    "tc_segments",
+    with_views(
+        "embeddings",
+        "seg AS (SELECT patient_num, snippet * 2 + t // 4 AS snippet, r, t % 4 AS t, v FROM em)",
+        _brute(1, 1, False, "seg"),
+    )
+    + _SHOW,
+)
+def tc_segments(spark, sf_dir):
+    """Class sums of consecutive time segments, each zero-padded on its own."""
+    cells = views.embedding_cells(spark, sf_dir).select(
+        "patient_num",
+        (F.col("snippet") * 2 + F.floor(F.col("idx") / 4)).alias("vec"),
+        F.col("row").alias("channel"),
+        (F.col("idx") % 4).alias("idx"),
+        "value",
+    )
+    segments = signal.snippets(cells, 4, ("patient_num", "vec")).withColumn("snippet", F.col("vec"))
+    return _shown(tricorr.contributions_of(segments, (1, 1), "A", "zeropad"))
 
 
 @query("tc_recording")

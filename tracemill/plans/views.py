@@ -10,6 +10,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.operators.scan import spread
 from tracemill.operators.signal import densify
 
 ORIGIN = "2024-01-01 00:00:00"
@@ -96,10 +97,8 @@ def order_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = table(spark, sf_dir, "lineitem").groupBy(
         F.floor(F.col("l_orderkey") / ORDER_RECORDING).cast("int").alias("patient_num")
     ).agg((F.max(F.col("l_orderkey") % ORDER_RECORDING) + 1).alias("_n"))
-    spread = spans.select(
-        "patient_num", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("idx")
-    )
-    axis = spread.withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(ORDER_CHANNELS - 1))))
+    steps = spread(spans, F.lit(0), F.col("_n") - 1, "idx").drop("_n")
+    axis = steps.withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(ORDER_CHANNELS - 1))))
     filled = axis.join(lines, ["patient_num", "idx", "channel"], "left")
     return filled.withColumn("value", F.coalesce("value", F.lit(0.0)))
 
