@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 # Parts of the published cache names.
 COLLECTION = "helsinkiEEG"
 WITH_ARTIFACTS = "_artifacts"
 
 
+def session_stamp(now: datetime) -> str:
+    """Session name of a run; later runs sort after earlier ones."""
+    return now.strftime("%Y_%m_%d-%H%M%S")
+
+
 def function_text(name: str) -> str:
     return name.strip("!")
 

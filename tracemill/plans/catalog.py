@@ -6,6 +6,7 @@ from tracemill.plans import (  # noqa: F401
     detection_queries,
     interval_queries,
     signal_queries,
+    source_queries,
     statistics_queries,
     streaming_queries,
     table_queries,

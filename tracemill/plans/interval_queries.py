@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.nulls import rounded
 from tracemill.functions.scalar import contains_any, parse_duration, parse_grade, parse_start
-from tracemill.operators import annotations, intervals
+from tracemill.operators import annotations, intervals, signal
 from tracemill.operators.detection import negative_hours
+from tracemill.operators.tables import union_all
 from tracemill.plans import views
 from tracemill.plans.registry import query
 from tracemill.plans.views import invert_sql, merge_sql, runs_sql, with_views
@@ -463,3 +464,67 @@ def iv_summary(spark, sf_dir):
 )
 def fn_contains_any(spark, sf_dir):
     return views.table(spark, sf_dir, "documents").select("doc_id", contains_any("text", ("Seizure", "TION")).alias("hit"))
+
+
+def _snip_tables(spark, sf_dir):
+    return signal.snip(
+        views.event_signal(spark, sf_dir),
+        seizures(spark, sf_dir),
+        views.reviewer_counts(spark, sf_dir),
+        views.event_recordings(spark, sf_dir),
+        20,
+        500,
+    )
+
+
+@query(
+    "iv_snip",
+    with_views("signal", "reviewers", _runs(2), _event_bounds())
+    + """
+SELECT 'samples' AS part, patient_num, round(sum(coalesce(value, -1.0) * (idx - 20)), 3) AS total,
+  CAST(count(*) AS BIGINT) AS n FROM sig WHERE idx >= 20 GROUP BY 2
+UNION ALL
+SELECT 'intervals', patient_num, round(sum(greatest(on_s, 20.0) * 1000 + least(off_s, stop_s)), 3), count(*)
+FROM runs JOIN ends USING (patient_num)
+WHERE on_s BETWEEN 20 AND stop_s OR off_s BETWEEN 20 AND stop_s GROUP BY 2
+UNION ALL
+SELECT 'reviewers', patient_num, round(sum(n * sec), 3), count(*) FROM rc WHERE sec >= 20 GROUP BY 2
+UNION ALL
+SELECT 'recordings', patient_num, round(20 * 1000 + stop_s - 20, 3), 1 FROM ends""",
+)
+def iv_snip(spark, sf_dir):
+    """All four tables cut to the stretch from 20 on; the far end is pulled back to the data's."""
+    cut = _snip_tables(spark, sf_dir)
+
+    def part(name, total):
+        rows = cut[name.replace("reviewers", "reviewer_counts")].groupBy("patient_num")
+        found = rows.agg(rounded(F.sum(total), 3).alias("total"), F.count(F.lit(1)).alias("n"))
+        return found.withColumn("part", F.lit(name))
+
+    return union_all(
+        [
+            part("samples", F.coalesce("value", F.lit(-1.0)) * F.col("idx")),
+            part("intervals", F.col("on_s") * 1000 + F.col("off_s")),
+            part("reviewers", F.col("n") * F.col("sec")),
+            part("recordings", F.col("start_s") * 1000 + F.col("duration_s")),
+        ]
+    )
+
+
+@query(
+    "iv_widen_snip",
+    with_views(
+        "signal", "reviewers", _runs(3),
+        """
+wide AS (SELECT patient_num, on_s, off_s, greatest(0.0, on_s - (20 - (off_s - on_s)) / 2) AS wide_on FROM runs),
+wider AS (SELECT *, off_s + (20 - (off_s - wide_on)) AS wide_off FROM wide)""",
+    )
+    + """
+SELECT s.patient_num, w.on_s, w.off_s, s.channel, s.idx FROM wider w
+JOIN sig s ON s.patient_num = w.patient_num AND w.wide_on <= s.idx AND s.idx <= w.wide_off""",
+)
+def iv_widen_snip(spark, sf_dir):
+    """Samples around each interval, widened to about twenty steps."""
+    timed = views.event_signal(spark, sf_dir).withColumn("t", F.col("idx").cast("double"))
+    found = signal.widen_and_snip(timed, seizures(spark, sf_dir, 3), 20)
+    return found.select("patient_num", "on_s", "off_s", "channel", "idx")

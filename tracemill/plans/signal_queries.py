@@ -319,3 +319,25 @@ def sig_time_axis(spark, sf_dir):
     """Time of every tenth sample, as trace plots take it."""
     timed = signal.with_time(views.event_signal(spark, sf_dir), views.event_recordings(spark, sf_dir))
     return signal.downsample(timed, 10).select(*CELL, "t")
+
+
+@query(
+    "sig_sans_artifacts",
+    with_views(
+        "signal", "artifacts", runs_sql("bad", "art", "idx", "flag"),
+        """
+masked AS (
+  SELECT patient_num, channel, idx, CASE WHEN NOT EXISTS (
+    SELECT 1 FROM bad b WHERE b.patient_num = s.patient_num AND b.on_s <= s.idx AND s.idx < b.off_s)
+    THEN value END AS value FROM sig s)""",
+    )
+    + """
+SELECT patient_num, channel, idx, round(CASE WHEN NOT bool_or(value IS NULL) OVER (PARTITION BY patient_num, idx // 2)
+  THEN value END, 6) + 0.0 AS value FROM masked""",
+)
+def sig_sans_artifacts(spark, sf_dir):
+    """Artifacts masked, then every block of two steps that has a gap."""
+    bad = intervals.runs(views.artifact_flags(spark, sf_dir))
+    timed = signal.with_time(views.event_signal(spark, sf_dir), views.event_recordings(spark, sf_dir))
+    masked = signal.mask_covered(timed, bad, block_s=16.0, disjoint=True)
+    return _shown(signal.poison_blocks(masked, 2), *CELL)
