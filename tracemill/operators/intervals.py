@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tracemill.operators.scan import ordered_blocks, running, spread
 
 KEYS = ("patient_num",)
-BLOCK_S = 3600.0
+BLOCK_S = 300.0  # seconds of a recording per join key
 
 
 def runs(
