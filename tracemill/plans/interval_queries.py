@@ -11,7 +11,7 @@ from tracemill.operators.detection import negative_hours
 from tracemill.operators.tables import union_all
 from tracemill.plans import views
 from tracemill.plans.registry import query
-from tracemill.plans.views import invert_sql, merge_sql, runs_sql, with_views
+from tracemill.plans.views import collapse_sql, invert_sql, merge_sql, runs_sql, with_views
 
 BOUNDS = ("patient_num", "on_s", "off_s")
 
@@ -86,16 +86,7 @@ def iv_buffer(spark, sf_dir):
 
 @query(
     "iv_collapse",
-    with_views(
-        "orders",
-        """
-grp AS (
-  SELECT *, sum(CASE WHEN seen IS NULL OR on_s > seen THEN 1 ELSE 0 END)
-    OVER (PARTITION BY patient_num ORDER BY on_s, off_s ROWS UNBOUNDED PRECEDING) AS g
-  FROM (SELECT *, lag(off_s) OVER (PARTITION BY patient_num ORDER BY on_s, off_s) AS seen FROM oi))""",
-    )
-    + """
-SELECT patient_num, min(on_s) AS on_s, arg_max(off_s, (on_s, off_s)) AS off_s FROM grp GROUP BY patient_num, g""",
+    with_views("orders", collapse_sql("joined", "oi")) + "SELECT patient_num, on_s, off_s FROM joined",
 )
 def iv_collapse(spark, sf_dir):
     return intervals.collapse(views.order_intervals(spark, sf_dir))
@@ -319,11 +310,7 @@ tal AS (
   FROM documents WHERE contains(lower(text), 'seizure') OR contains(lower(text), 'epi') OR contains(lower(text), 'ment')),
 hits AS (
   SELECT patient_num, CASE WHEN dur > 0 THEN onset ELSE onset - 1 END AS on_s,
-    CASE WHEN dur > 0 THEN onset + dur ELSE onset + 1 END AS off_s FROM tal),
-grp AS (
-  SELECT *, sum(CASE WHEN seen IS NULL OR on_s > seen THEN 1 ELSE 0 END)
-    OVER (PARTITION BY patient_num ORDER BY on_s, off_s ROWS UNBOUNDED PRECEDING) AS g
-  FROM (SELECT *, lag(off_s) OVER (PARTITION BY patient_num ORDER BY on_s, off_s) AS seen FROM hits))"""
+    CASE WHEN dur > 0 THEN onset + dur ELSE onset + 1 END AS off_s FROM tal)"""
 
 
 def document_events(spark, sf_dir):
@@ -338,8 +325,7 @@ def document_events(spark, sf_dir):
 
 @query(
     "iv_keyword",
-    with_views(_EVENTS)
-    + "SELECT patient_num, min(on_s) AS on_s, arg_max(off_s, (on_s, off_s)) AS off_s FROM grp GROUP BY patient_num, g",
+    with_views(_EVENTS, collapse_sql("joined", "hits")) + "SELECT patient_num, on_s, off_s FROM joined",
 )
 def iv_keyword(spark, sf_dir):
     events = annotations.relevant(document_events(spark, sf_dir))
@@ -354,11 +340,7 @@ notes AS (
 kept AS (SELECT patient_num, CAST(s - 1 AS DOUBLE) AS on_s, CAST(s + d + 1 AS DOUBLE) AS off_s
   FROM notes WHERE NOT contains(lower(txt), 'grade 2')),
 snapped AS (SELECT patient_num, greatest(0.0, floor(on_s / 15) * 15.0) AS on_s,
-  least(90000.0, ceil(off_s / 15) * 15.0) AS off_s FROM kept),
-grp AS (
-  SELECT *, sum(CASE WHEN seen IS NULL OR on_s > seen THEN 1 ELSE 0 END)
-    OVER (PARTITION BY patient_num ORDER BY on_s, off_s ROWS UNBOUNDED PRECEDING) AS g
-  FROM (SELECT *, lag(off_s) OVER (PARTITION BY patient_num ORDER BY on_s, off_s) AS seen FROM snapped))"""
+  least(90000.0, ceil(off_s / 15) * 15.0) AS off_s FROM kept)"""
 
 
 def order_notes(spark, sf_dir):
@@ -383,8 +365,7 @@ def order_notes(spark, sf_dir):
 
 @query(
     "iv_artifacts",
-    with_views(_NOTES)
-    + "SELECT patient_num, min(on_s) AS on_s, arg_max(off_s, (on_s, off_s)) AS off_s FROM grp GROUP BY patient_num, g",
+    with_views(_NOTES, collapse_sql("joined", "snapped")) + "SELECT patient_num, on_s, off_s FROM joined",
 )
 def iv_artifacts(spark, sf_dir):
     """Notes of grade 1 (which "Grade II" is read as), buffered, snapped to 15 s, collapsed."""

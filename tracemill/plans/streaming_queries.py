@@ -75,9 +75,9 @@ def stream_sliding(spark, sf_dir):
 SELECT patient_num, CAST(epoch_us(min(ts)) AS BIGINT) AS start, CAST(epoch_us(max(ts)) + 1800000000 AS BIGINT) AS "end",
   count(*) AS n FROM (
   SELECT *, sum(CASE WHEN seen IS NULL OR ts > seen + INTERVAL 30 MINUTE THEN 1 ELSE 0 END)
-    OVER (PARTITION BY patient_num ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g
-  FROM (SELECT CAST(user_id % 8 AS INT) AS patient_num, ts,
-    lag(ts) OVER (PARTITION BY user_id % 8 ORDER BY ts) AS seen FROM events))
+    OVER (PARTITION BY patient_num ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g
+  FROM (SELECT CAST(user_id % 8 AS INT) AS patient_num, ts, event_id,
+    lag(ts) OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) AS seen FROM events))
 GROUP BY patient_num, g HAVING max(ts) + INTERVAL 30 MINUTE <= {_CLOCK}""",
 )
 def stream_sessions(spark, sf_dir):

@@ -244,7 +244,8 @@ def merge_sql(name: str, source: str, keys: str = "patient_num") -> str:
     SELECT *, sum(CASE WHEN seen IS NULL OR on_s > seen THEN 1 ELSE 0 END)
       OVER (PARTITION BY {keys} ORDER BY on_s, off_s ROWS UNBOUNDED PRECEDING) AS grp
     FROM (SELECT *, max(off_s) OVER (PARTITION BY {keys} ORDER BY on_s, off_s
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM {source}))
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+      FROM (SELECT DISTINCT {keys}, on_s, off_s FROM {source})))
   GROUP BY {keys}, grp)"""
 
 
@@ -263,3 +264,16 @@ def invert_sql(name: str, source: str, bounds: str, keys: str = "patient_num") -
 def with_views(*names: str) -> str:
     """`WITH` clause holding the named views or ready-made expressions."""
     return "WITH " + ",".join(SQL.get(n, n) for n in names) + "\n"
+
+
+def collapse_sql(name: str, source: str) -> str:
+    """Expression for intervals joined with their neighbours, ending at the latest starting one."""
+    return f"""
+{name} AS (
+  SELECT patient_num, min(on_s) AS on_s, max(off_s) FILTER (WHERE on_s = top) AS off_s FROM (
+    SELECT *, max(on_s) OVER (PARTITION BY patient_num, g) AS top FROM (
+      SELECT *, sum(CASE WHEN seen IS NULL OR on_s > seen THEN 1 ELSE 0 END)
+        OVER (PARTITION BY patient_num ORDER BY on_s, off_s ROWS UNBOUNDED PRECEDING) AS g
+      FROM (SELECT *, lag(off_s) OVER (PARTITION BY patient_num ORDER BY on_s, off_s) AS seen
+        FROM (SELECT DISTINCT patient_num, on_s, off_s FROM {source}))))
+  GROUP BY patient_num, g)"""
