@@ -9,7 +9,9 @@ from tracemill.llm import (
     chunk_bpe,
     exact_topk,
     host_reputation,
+    html_trees,
     packing,
+    repeated_spans,
     rotation_codes,
     simhash_tiles,
     toxicity,
@@ -136,6 +138,19 @@ def op1_rotation_codes(spark, sf_dir):
     return rotation_codes.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op2_run_index(spark, sf_dir):
+    left = repeated_spans.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return left.select(
+        "doc_id",
+        size.alias("n_bytes"),
+        (size - F.octet_length("_kept")).alias("n_removed"),
+        F.size("_runs").cast("long").alias("n_spans"),
+        F.sha2("_kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op3_host_reputation(spark, sf_dir):
     # a labelled page is bad if it is of low quality or toxic
@@ -156,6 +171,12 @@ def op4_toxicity(spark, sf_dir):
     )
 
 
+@query
+def op5_html_trees(spark, sf_dir):
+    found = html_trees.extracted(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op6_exact_topk(spark, sf_dir):
     return exact_topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)

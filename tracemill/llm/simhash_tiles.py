@@ -50,19 +50,23 @@ def _mixed(h: np.ndarray, word: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def majority(h: np.ndarray) -> int:
-    """A bit is 1 if it is set in over half the hashes."""
+def majority(h: np.ndarray, even: bool = False) -> int:
+    """A bit is 1 if it is set in over half the hashes; with `even`, the first one settles ties."""
     if not len(h):
         return 0
-    ones = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big", signed=True)
+    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    twice = bits.sum(axis=0, dtype=np.int64) * 2
+    if even:
+        twice += bits[0]
+    return int.from_bytes(np.packbits(twice > len(h)).tobytes(), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame, words: int = 3, n_words: int = 1, distinct: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, shingles, w0, w1, ...): `n_words` times 64 bits as longs, one row per row of `docs`.
 
     Fewer words than a shingle make one shingle of all; no words (or a null) make zero bits.
-    `distinct` counts every different shingle once.
+    `distinct` counts every different shingle once, and lets the shingle with the least hash
+    settle ties, so that short texts too have as many ones as zeros.
     """
 
     def make(batch: pa.RecordBatch) -> dict:
@@ -73,7 +77,7 @@ def fingerprints(docs: DataFrame, words: int = 3, n_words: int = 1, distinct: bo
                 h = np.unique(h)
             sizes.append(len(h))
             for i, column in enumerate(out):
-                column.append(majority(_mixed(h, i)))
+                column.append(majority(_mixed(h, i), distinct))
         found = {key: batch.column(0), "shingles": pa.array(sizes, pa.int64())}
         return found | {f"w{i}": pa.array(c, pa.int64()) for i, c in enumerate(out)}
 
@@ -165,7 +169,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, key: str =
     return groups(prints, 1, radius, key=key).select(key, digits, "component_id")
 
 
-def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, n_words: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, n_words: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` without all but the smallest key of every group of near-duplicates.
 
     Two documents are linked if the angle that their fingerprints estimate is that of two
