@@ -88,8 +88,22 @@ def test_fir_in_blocks(spark):
     np.testing.assert_allclose(trace(dsp.fir(df, taps, block_len=64)), np.convolve(x, taps)[:500], atol=1e-9)
 
 
-def test_missing_sample_spoils_its_blocks(spark):
-    df, _ = recording(spark, 3000)
-    holed = df.withColumn("value", F.when(F.col("idx") != 2900, F.col("value")))
-    got = [r.value for r in dsp.envelope(holed, FS, envelope_freq=5.0, block_len=500).orderBy("idx").collect()]
-    assert got[2600] is None and got[2400] is not None
+@pytest.mark.parametrize("block_len", [100, 200, 500, 4000])
+def test_missing_samples_spoil_what_they_reach(spark, block_len):
+    df, x = recording(spark, 3000)
+    plain = trace(dsp.envelope(df, FS, envelope_freq=5.0, block_len=block_len))
+    reach = len(dsp.impulse_response(5, "lowpass", (5.0,), FS)) + 50
+    null = df.withColumn("value", F.when(F.col("idx") != 1900, F.col("value")))
+    for holed in (null, df.filter("idx <> 1900")):
+        got = [r.value for r in dsp.envelope(holed, FS, envelope_freq=5.0, block_len=block_len).orderBy("idx").collect()]
+        assert [i for i, v in enumerate(got) if v is None] == list(range(1900, min(3000, 1900 + reach + 1)))
+        np.testing.assert_allclose(got[:1900], plain[:1900], atol=1e-9)
+
+
+def test_fir_with_absent_rows(spark):
+    df, x = recording(spark, 400)
+    taps = dsp.fir_bandpass(50, 2, 20, FS)
+    got = [r.value for r in dsp.fir(df.filter("idx NOT IN (100, 101)"), taps, block_len=64).orderBy("idx").collect()]
+    want = np.convolve(x, taps)[:400]
+    for i, v in enumerate(got):
+        assert v is None if 100 <= i <= 150 else v == pytest.approx(want[i], abs=1e-9)

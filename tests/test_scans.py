@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracemill.operators import detection, intervals, statistics
 from tracemill.operators.rolling import moving_average, rolling
-from tracemill.operators.scan import ordered_blocks, running
+from tracemill.operators.scan import running, value_blocks
 from tracemill.operators.tables import sample_per_key
 
 KEYS = 40
@@ -114,7 +114,7 @@ def test_running_kinds(spark, many_blocks):
     data = [(k % 3, i, rng.choice([None, rng.random()])) for k in range(3) for i in range(50)]
     df = spark.createDataFrame(data, "k int, i int, v double")
     outs = {n: (n, F.col("v")) for n in ("sum", "max", "min", "last")}
-    blocks = ordered_blocks(df, ["k"], ["i"])
+    blocks = value_blocks(df, ["k"], "i")
     assert blocks.select("_block").distinct().count() > 3
     for inclusive in (True, False):
         found = running(blocks, ["k"], "_block", ["i"], outs, inclusive)

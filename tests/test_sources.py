@@ -125,24 +125,14 @@ def test_cache_newest_wins(spark, tmp_path):
     assert cache.load_or_compute_curve(spark, path, "roc_", [1, 2], "2024-01-06T00", compute).first().value == 10.0
 
 
-def test_stems():
-    tricorr = dict(params.COMMON) | params.BY_SIGNAL["tricorr"]
-    assert naming.signal_stem("tricorr", **tricorr, patient_num=9) == (
-        "tricorr_artifacts_zscore_identity_IndStdNormal_None_snippets1_lagextents8x25_helsinkiEEG9_"
-    )
-    margin = dict(params.COMMON) | params.BY_SIGNAL["aEEG"] | {"excluded_artifact_grades": (1,)}
-    stem = "aEEG_snippets15_band2.0_20.0_env0.32_lmargin0.09_umargin0.93_helsinkiEEG_"
-    assert naming.signal_stem("aEEG", **margin) == stem
-    assert naming.differences_stem("aEEG", **margin) == f"epochdiff{stem}nrev3_stdwithin_"
-    assert naming.detection_stem("aEEG", "maxany", **margin) == (
-        f"nedetectmaxanyepochdiff{stem}nrev3_stdwithin_pospatient_negepoch_epoch60_window60_"
-    )
-    assert naming.reduction_text("meansignificant", rolling_window_s=60, n_signals_used=4) == "window60_nsigs4"
-    with pytest.raises(ValueError):
-        naming.reduction_text("distance", rolling_window_s=60)
-    with pytest.raises(ValueError):
-        naming.signal_stem("ecg")
+def test_result_keys():
+    given = dict(params.COMMON) | params.BY_SIGNAL["tricorr"]
+    key = naming.result_key("tricorr", given)
+    assert key.startswith("tricorr-") and key == naming.result_key("tricorr", dict(reversed(given.items())))
+    assert key != naming.result_key("tricorr", given | {"rolling_window_s": 61})
+    assert key != naming.result_key("aEEG", given)
     assert len(params.PATIENTS) == 79 and len(params.PATIENTS_WITH_NOTES) == 22
+    assert params.SECOND_SITE_CHANNELS["EEG001"] == ("Fz",) and params.SECOND_SITE_CHANNELS["EEG015"] == ()
 
 
 def test_tex_and_csv(spark, tmp_path):

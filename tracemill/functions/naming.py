@@ -1,76 +1,22 @@
-"""Names under which signals and results are cached, built from their parameters."""
+"""Keys under which signals and results are cached, from the parameters that made them."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import json
+from collections.abc import Mapping
 from datetime import datetime
 
-# Parts of the published cache names.
-COLLECTION = "helsinkiEEG"
-WITH_ARTIFACTS = "_artifacts"
-
 
 def session_stamp(now: datetime) -> str:
     """Session name of a run; later runs sort after earlier ones."""
     return now.strftime("%Y_%m_%d-%H%M%S")
 
 
-def function_text(name: str) -> str:
-    return name.strip("!")
-
-
-def object_text(name: str) -> str:
-    return name.strip("()")
-
-
-def artifacts_text(excluded_grades: Sequence[int]) -> str:
-    """Marks signals from which no artifacts were excluded."""
-    return "" if excluded_grades else WITH_ARTIFACTS
-
-
-def amplitude_stem(
-    *, excluded_artifact_grades, envelope_freq, low_freq, high_freq, snippets_duration_s,
-    lower_margin_perc, upper_margin_perc, patient_num="", **_,
-) -> str:
-    return (
-        f"aEEG{artifacts_text(excluded_artifact_grades)}_snippets{snippets_duration_s}"
-        f"_band{low_freq}_{high_freq}_env{envelope_freq}"
-        f"_lmargin{lower_margin_perc}_umargin{upper_margin_perc}_{COLLECTION}{patient_num}_"
-    )
-
-
-def tricorr_stem(
-    *, excluded_artifact_grades, preproc, postproc, assumption, conditioned_on, snippets_duration_s,
-    lag_extents, patient_num="", **_,
-) -> str:
-    return (
-        f"tricorr{artifacts_text(excluded_artifact_grades)}_{function_text(preproc)}_{function_text(postproc)}"
-        f"_{object_text(assumption)}_{object_text(conditioned_on)}_snippets{snippets_duration_s}"
-        f"_lagextents{lag_extents[0]}x{lag_extents[1]}_{COLLECTION}{patient_num}_"
-    )
-
-
-SIGNAL_STEMS = {"tricorr": tricorr_stem, "aEEG": amplitude_stem}
-
-
-def signal_stem(signal_type: str, /, **params) -> str:
-    if signal_type not in SIGNAL_STEMS:
-        raise ValueError(f"unsupported signal type: {signal_type}")
-    return SIGNAL_STEMS[signal_type](**params)
-
-
-def differences_stem(signal_type: str, /, *, min_reviewers_per_seizure, standardization, **params) -> str:
-    return f"epochdiff{signal_stem(signal_type, **params)}nrev{min_reviewers_per_seizure}_std{standardization}_"
-
-
-def reduction_text(reduction: str, *, rolling_window_s, n_signals_used=None, **_) -> str:
-    if reduction in ("maxany", "maxanyabs", "meanall", "meanallabs"):
-        return f"window{rolling_window_s}"
-    if reduction == "meansignificant":
-        return f"window{rolling_window_s}_nsigs{n_signals_used}"
-    raise ValueError(f"unsupported reduction type: {reduction}")
-
+def result_key(kind: str, params: Mapping[str, object]) -> str:
+    """The kind of a result and a digest of its parameters, in whatever order they are given.
 
-def detection_stem(signal_type: str, reduction: str, /, *, epoch_s, calculate_targets_fn, **params) -> str:
-    tail = f"{function_text(calculate_targets_fn)}_epoch{epoch_s}_{reduction_text(reduction, **params)}_"
-    return f"nedetect{reduction}{differences_stem(signal_type, **params)}{tail}"
+    Equal parameters give equal keys, and keys of one kind share its name as their prefix.
+    """
+    text = json.dumps(dict(params), sort_keys=True, default=list, separators=(",", ":"))
+    return f"{kind}-{hashlib.sha256(text.encode()).hexdigest()[:20]}"

@@ -85,7 +85,9 @@ def parse_duration(text: ColumnOrName) -> Column:
 
 
 def file_id(number: ColumnOrName, prefix: str = "EEG", width: int = 3) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(col(number).cast("string"), width, "0"))
+    """`prefix` and the number with zeros up to `width` digits; longer numbers stay whole."""
+    digits = col(number).cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits))
 
 
 def stem(path: ColumnOrName) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.operators.intervals import bin_rows, containing_bins, epochize, invert
-from tracemill.operators.scan import ordered_blocks, running
+from tracemill.functions.nulls import join_on
+from tracemill.operators.scan import running, value_blocks
 from tracemill.operators.signal import coarse_grain
-from tracemill.session import cut_lineage
 
 KEYS = ("patient_num",)
 ROOT_EPSILON = 2.0**-26  # square root of double precision
@@ -26,7 +26,7 @@ def snippets_per_epoch(epoch_s: int, snippet_s: int) -> int:
 def epoch_grid(epochs: DataFrame, recordings: DataFrame, epoch_s: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Per key: start of the first and last epoch and their number."""
     count = epochs.groupBy(*keys).agg((F.max("bin") + 1).alias("n_bins"))
-    grid = recordings.select(*keys, F.col("start_s").cast("double")).join(count, list(keys))
+    grid = join_on(recordings.select(*keys, F.col("start_s").cast("double")), count, keys)
     return grid.select(
         *keys,
         F.col("start_s").alias("first_s"),
@@ -43,11 +43,11 @@ def negative_hours(
     bins = containing_bins(intervals, grid, epoch_s, keys, on_empty)
     used = bins.groupBy(*keys).agg(F.sum(F.col("last_bin") - F.col("first_bin") + 1).alias("_used"))
     hours = (F.col("n_bins") - F.coalesce("_used", F.lit(0))) * float(epoch_s) / 3600.0
-    return grid.join(used, list(keys), "left").select(*keys, hours.alias("non_seizure_hours"))
+    return join_on(grid, used, keys, "left").select(*keys, hours.alias("non_seizure_hours"))
 
 
 def _epochs_of(intervals: DataFrame, grid: DataFrame, epoch_s: int, keys: Sequence[str]) -> DataFrame:
-    return bin_rows(containing_bins(intervals, grid, epoch_s, keys, "drop"))
+    return bin_rows(containing_bins(intervals, grid, epoch_s, keys))
 
 
 def seizure_targets(
@@ -64,14 +64,14 @@ def seizure_targets(
     The last epoch is never a non-target, since the bins of an interval that starts
     there are empty.
     """
-    epochs = cut_lineage(coarse_grain(signal, snippets_per_epoch(epoch_s, snippet_s), F.max, keys))
+    epochs = coarse_grain(signal, snippets_per_epoch(epoch_s, snippet_s), F.max, keys)
     grid = epoch_grid(epochs, recordings, epoch_s, keys)
     epochs = epochs.filter(F.col("value").isNotNull())
     truth = epochize(seizures, grid, epoch_s, keys)
     rest = invert(truth, grid, keys)
-    hits = _epochs_of(truth, grid, epoch_s, keys).join(epochs, [*keys, "bin"])
+    hits = join_on(_epochs_of(truth, grid, epoch_s, keys), epochs, [*keys, "bin"])
     targets = hits.groupBy(*keys, "on_s").agg(F.max("value").alias("score"))
-    quiet = _epochs_of(rest, grid, epoch_s, keys).join(epochs, [*keys, "bin"])
+    quiet = join_on(_epochs_of(rest, grid, epoch_s, keys), epochs, [*keys, "bin"])
     return targets.select(*keys, "score", F.lit(True).alias("is_target")).unionByName(
         quiet.select(*keys, F.col("value").alias("score"), F.lit(False).alias("is_target"))
     )
@@ -90,7 +90,7 @@ TARGETS: dict[str, Callable[..., DataFrame]] = {"seizure": seizure_targets, "pat
 
 def counts_below(counted: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Add to `n_tar, n_non` per distinct score the numbers of both below it."""
-    blocked = ordered_blocks(counted, keys, ["score"])
+    blocked = value_blocks(counted, keys, "score")
     below = {"tar_below": ("sum", F.col("n_tar")), "non_below": ("sum", F.col("n_non"))}
     return running(blocked, keys, "_block", ["score"], below, inclusive=False).drop("_block")
 
@@ -109,7 +109,7 @@ def score_counts(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def _with_totals(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     totals = counts.groupBy(*keys).agg(F.sum("n_tar").alias("tar_all"), F.sum("n_non").alias("non_all"))
     if keys:
-        return counts.join(totals, list(keys))
+        return join_on(counts, totals, keys)
     both = totals.select(F.struct("tar_all", "non_all").alias("s")).scalar()
     return counts.withColumn("_s", both).select("*", "_s.tar_all", "_s.non_all").drop("_s")
 
@@ -181,7 +181,7 @@ def roc_sweep(
     """
     edges = threshold_range(scores, keys, "score") if signal is None else threshold_range(signal, keys)
     edges = edges.withColumn("_step", (F.col("theta_max") - F.col("theta_min")) / (n_thetas - 1))
-    placed = scores.filter(F.col("score").isNotNull()).join(edges, list(keys))
+    placed = join_on(scores.filter(F.col("score").isNotNull()), edges, keys)
 
     def theta(i: Column) -> Column:
         return F.col("theta_min") + i * F.col("_step")
@@ -200,7 +200,7 @@ def roc_sweep(
     down = Window.partitionBy(*keys).orderBy(F.col("_at").desc())
     every = Window.partitionBy(*keys)
     return (
-        grid.join(cells, [*keys, "_at"], "left")
+        join_on(grid, cells, [*keys, "_at"], "left")
         .fillna({"tp": 0, "fp": 0})
         .select(
             *keys,

@@ -12,11 +12,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tracemill.functions.nulls import join_on
+from tracemill.operators import scan
+
 KEYS = ("patient_num", "channel")
 FADE = 1e-17
 
@@ -136,26 +139,29 @@ def map_blocks(
 ) -> DataFrame:
     """Apply `compute(samples, is_first, is_last)` to blocks with halos of each channel.
 
-    Blocks with their halos are gathered in the JVM and are of bounded size. A missing
-    sample in reach makes the whole block missing. `compute` returns as many values as it
-    gets; those of the halo are dropped.
+    Blocks with their halos are gathered in the JVM and are of bounded size. Samples are placed
+    by `idx`; there is a row for every step from 0 to the last. A step is NULL exactly where a
+    NULL or absent sample lies among the `before` steps before it or the `after` steps after
+    it, whatever `block_len` is. `compute` returns as many values as it gets; those of the
+    halo are dropped.
     """
     i = F.col("idx")
+    tops = signal.groupBy(*keys).agg(F.max("idx").cast("bigint").alias("_top"))
+    every = scan.spread(tops, F.lit(0), F.floor(F.col("_top") / block_len), "_block")
     lo = F.greatest(F.lit(0), F.floor((i - after) / block_len))
     hi = F.floor((i + before) / block_len)
     spread = signal.withColumn("_block", F.explode(F.sequence(lo, hi)))
-    blocks = spread.groupBy(*keys, "_block").agg(
-        F.sort_array(F.collect_list(F.struct("idx", value))).alias("_cells"),
-        F.max("idx").cast("bigint").alias("_top"),
-    )
-    start = (F.col("_block") * block_len).cast("bigint")
-    rows = blocks.filter(F.col("_top") >= start).select(
+    cells = spread.groupBy(*keys, "_block").agg(F.collect_list(F.struct(i.cast("bigint").alias("idx"), value)).alias("_cells"))
+    start, top = (F.col("_block") * block_len).cast("bigint"), F.col("_top") + 1
+    rows = join_on(every, cells, [*keys, "_block"], "left").select(
         *keys,
-        F.col("_cells.idx").getItem(0).cast("bigint").alias("_from"),
+        F.greatest(F.lit(0), start - before).cast("bigint").alias("_from"),
+        F.least(start + block_len + after, top).alias("_to"),
         start.alias("_start"),
-        F.least(start + block_len, F.col("_top") + 1).alias("_stop"),
-        (F.col("_top") + 1 < start + block_len + after).alias("_last"),
-        F.col(f"_cells.{value}").alias("cells"),
+        F.least(start + block_len, top).alias("_stop"),
+        (start + block_len + after >= top).alias("_last"),
+        F.coalesce("_cells.idx", F.array().cast("array<bigint>")).alias("at"),
+        F.coalesce(F.col(f"_cells.{value}").cast("array<double>"), F.array().cast("array<double>")).alias("cells"),
     )
     fields = [f for f in rows.schema.fields if f.name in keys]
     schema = T.StructType(
@@ -167,15 +173,20 @@ def map_blocks(
         for batch in batches:
             out = []
             for r in range(batch.num_rows):
-                x = batch.column("cells")[r].values.to_numpy(zero_copy_only=False).astype(float)
-                origin, start, stop, last = (
-                    batch.column(c)[r].as_py() for c in ("_from", "_start", "_stop", "_last")
+                origin, end, start, stop, last = (
+                    batch.column(c)[r].as_py() for c in ("_from", "_to", "_start", "_stop", "_last")
                 )
-                if np.isnan(x).any():
-                    out.append([None] * (stop - start))
-                    continue
-                y = compute(x, origin == 0, last)
-                out.append(y[start - origin : stop - origin])
+                x = np.full(end - origin, np.nan)
+                at = batch.column("at")[r].values.to_numpy(zero_copy_only=False) - origin
+                x[at] = batch.column("cells")[r].values.to_numpy(zero_copy_only=False)
+                absent = np.isnan(x)
+                y = compute(np.where(absent, 0.0, x), origin == 0, last)[start - origin : stop - origin]
+                if absent.any():  # of the samples that reach each step
+                    upto = np.concatenate([[0], np.cumsum(absent)])
+                    step = np.arange(start, stop)
+                    first, past = np.maximum(step - before, origin), np.minimum(step + after + 1, end)
+                    y = np.where(upto[past - origin] > upto[first - origin], np.nan, y)
+                out.append(pa.array(y, from_pandas=True))
             columns = [batch.column(f.name) for f in fields]
             columns += [batch.column("_start"), pa.array(out, pa.list_(pa.float64()))]
             table = pa.Table.from_arrays(columns, names=arrow_schema.names).cast(arrow_schema)
@@ -222,18 +233,10 @@ def clean_channels(
 
 
 def fir(signal: DataFrame, taps: Sequence[float], keys: Sequence[str] = KEYS, block_len: int = 8192) -> DataFrame:
-    """Causal FIR filter from rest, as a lag-weighted sum inside blocks with a halo."""
-    i = F.col("idx")
+    """Causal FIR filter from rest, inside blocks with a halo."""
     reach = len(taps) - 1
-    halo = signal.withColumn(
-        "_block", F.explode(F.sequence(F.floor(i / block_len), F.floor((i + reach) / block_len)))
-    )
-    order = Window.partitionBy(*keys, "_block").orderBy("idx")
-    total: Column = F.col("value") * float(taps[0])
-    for k, tap in enumerate(taps[1:], start=1):
-        total = total + F.when(F.col("idx") >= k, F.lag("value", k).over(order)).otherwise(0.0) * float(tap)
-    filtered = halo.withColumn("_y", total).filter(F.col("_block") == F.floor(i / block_len))
-    return filtered.withColumn("value", F.col("_y")).drop("_block", "_y")
+    weights = np.array(taps, float)
+    return map_blocks(signal, block_len, reach, 0, lambda x, first, last: np.convolve(x, weights)[: len(x)], keys)
 
 
 def envelope(

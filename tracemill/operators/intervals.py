@@ -11,10 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.operators.scan import ordered_blocks, running, spread
+from tracemill.functions.nulls import join_on
+from tracemill.operators.scan import running, spread, time_blocks
 
 KEYS = ("patient_num",)
 BLOCK_S = 300.0  # seconds of a recording per join key
+SCAN_S = 86_400.0  # seconds of a recording per scanned block
 
 
 def runs(
@@ -43,9 +45,9 @@ def runs(
         .withColumn("_last", F.coalesce(F.lead("_i").over(order) != F.col("_i") + 1, F.lit(True)))
         .filter((F.col("_block") == F.floor(F.col("_i") / block_len)) & (F.col("_first") | F.col("_last")))
     )
-    edges = ordered_blocks(edges.select(*keys, "_i", "_first", "_last"), keys, ["_i"])
+    edges = time_blocks(edges.select(*keys, "_i", "_first", "_last"), "_i", block_len)
     opened = running(edges, keys, "_block", ["_i"], {"_on": ("max", F.when(F.col("_first"), F.col("_i")))})
-    closed = opened.filter("_last").join(ends, list(keys))
+    closed = join_on(opened.filter("_last"), ends, keys)
     if not one_based:
         return closed.select(
             *keys, F.col("_on").cast("double").alias("on_s"), (F.col("_i") + 1).cast("double").alias("off_s")
@@ -75,7 +77,7 @@ def overlaps(first_off: Column, second_on: Column) -> Column:
 
 def _joined(df: DataFrame, keys: Sequence[str], nested: bool) -> DataFrame:
     base = df.groupBy(*keys, "on_s").agg(F.max("off_s").alias("off_s"))
-    base = ordered_blocks(base, keys, ["on_s"])
+    base = time_blocks(base, "on_s", SCAN_S)
     kind = "max" if nested else "last"
     seen = running(base, keys, "_block", ["on_s"], {"_seen": (kind, F.col("off_s"))}, inclusive=False)
     opens = F.col("_seen").isNull() | ~overlaps(F.col("_seen"), F.col("on_s"))
@@ -124,7 +126,9 @@ def invert(df: DataFrame, bounds: DataFrame, keys: Sequence[str] = KEYS) -> Data
     body = rows(df, 1, F.col("on_s"), F.col("off_s"))
     stop = rows(bounds, 2, F.col("stop_s"), F.lit(None))
     order = ["_rank", "on_s"]
-    blocked = ordered_blocks(start.unionByName(body).unionByName(stop), keys, order)
+    far = F.lit(1 << 62)
+    block = F.when(F.col("_rank") == 0, -far).when(F.col("_rank") == 2, far).otherwise(F.floor(F.col("on_s") / SCAN_S))
+    blocked = start.unionByName(body).unionByName(stop).withColumn("_block", block)
     seen = running(blocked, keys, "_block", order, {"_seen": ("last", F.col("off_s"))}, inclusive=False)
     return seen.filter(F.col("on_s") - F.col("_seen") > 0).select(
         *keys, F.col("_seen").alias("on_s"), F.col("on_s").alias("off_s")
@@ -160,7 +164,7 @@ def discretize(
 
 def epoch_pieces(df: DataFrame, bounds: DataFrame, epoch_s: float, keys: Sequence[str] = KEYS) -> DataFrame:
     """Widen by one epoch to each side, clip to the key's bounds, snap outward to epochs."""
-    framed = df.join(bounds.select(*keys, "start_s", "stop_s"), list(keys))
+    framed = join_on(df, bounds.select(*keys, "start_s", "stop_s"), keys)
     framed = framed.withColumns(
         {
             "on_s": F.greatest(F.col("on_s") - epoch_s, F.col("start_s")),
@@ -185,7 +189,7 @@ def containing_bins(
     An interval that starts in the last bin gets no bins at all. One whose last bin
     would precede its first is an error, or is dropped with `on_empty="drop"`.
     """
-    framed = df.join(bounds.select(*keys, "first_s", "n_bins"), list(keys))
+    framed = join_on(df, bounds.select(*keys, "first_s", "n_bins"), keys)
     lo = F.floor((F.col("on_s") - F.col("first_s")) / bin_s)
     lo = F.least(F.greatest(lo, F.lit(0)), F.col("n_bins") - 1).cast("bigint")
     # first bin that starts at or after the end
@@ -208,8 +212,7 @@ def bin_rows(bins: DataFrame, out: str = "bin") -> DataFrame:
 
 def cover(df: DataFrame, keys: Sequence[str] = KEYS, block_s: float = BLOCK_S) -> DataFrame:
     """One row per interval and time bucket it reaches, for equi-joins on (key, bucket)."""
-    reach = F.sequence(F.floor(F.col("on_s") / block_s), F.floor(F.col("off_s") / block_s))
-    return df.withColumn("bucket", F.explode(reach))
+    return spread(df, F.floor(F.col("on_s") / block_s), F.floor(F.col("off_s") / block_s), "bucket")
 
 
 def snippet_starts(df: DataFrame, step: float) -> DataFrame:
@@ -231,7 +234,8 @@ def control_bounds(
     wide = seizures.select(
         *keys, (F.col("on_s") - min_dist_s).alias("on_s"), (F.col("off_s") + min_dist_s).alias("off_s")
     )
-    busy = wide.unionByName(artifacts.select(*keys, "on_s", "off_s")).join(edge, list(keys))
+    busy = wide.unionByName(artifacts.select(*keys, "on_s", "off_s"))
+    busy = join_on(busy, edge, keys)
     busy = busy.filter((F.col("off_s") > F.col("start_s")) & (F.col("on_s") < F.col("stop_s")))
     busy = busy.select(
         *keys,
@@ -247,18 +251,18 @@ def control_bounds_with_artifacts(
     """Stretches between seizures, pairing the sorted ends with the sorted starts by rank."""
 
     def ranked(points: DataFrame) -> DataFrame:
-        # equal points share a row, so one crowded instant stays one row
+        # equal points share a row until they are spread over tasks
         counted = points.groupBy(*keys, "p").agg(F.count(F.lit(1)).alias("n"))
-        summed = running(ordered_blocks(counted, keys, ["p"]), keys, "_block", ["p"], {"_upto": ("sum", F.col("n"))})
-        ranks = F.explode(F.sequence(F.col("_upto") - F.col("n") + 1, F.col("_upto")))
-        return summed.select(*keys, "p", ranks.alias("_rank"))
+        summed = running(time_blocks(counted, "p", SCAN_S), keys, "_block", ["p"], {"_upto": ("sum", F.col("n"))})
+        ranks = spread(summed.select(*keys, "p", "n", "_upto"), F.col("_upto") - F.col("n") + 1, F.col("_upto"), "_rank")
+        return ranks.select(*keys, "p", "_rank")
 
     zero = recordings.select(*keys, F.lit(0.0).alias("p"))
     end = recordings.select(*keys, F.col("duration_s").cast("double").alias("p"))
     starts = zero.unionByName(seizures.select(*keys, F.col("off_s").cast("double").alias("p")))
     stops = seizures.select(*keys, F.col("on_s").cast("double").alias("p")).unionByName(end)
     left = ranked(starts).withColumnRenamed("p", "on_s")
-    return left.join(ranked(stops).withColumnRenamed("p", "off_s"), [*keys, "_rank"]).drop("_rank")
+    return join_on(left, ranked(stops).withColumnRenamed("p", "off_s"), [*keys, "_rank"]).drop("_rank")
 
 
 def shifted(df: DataFrame, shrink_s: float = 0.0) -> DataFrame:

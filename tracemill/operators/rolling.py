@@ -2,9 +2,10 @@
 
 Rows are cut into blocks of the time axis, each with a copy of the last `k - 1` rows
 before it, so every window lies inside one block and no key is confined to one task.
-Short windows use a sliding frame. Long ones use prefix and suffix aggregates of tiles of
-`k` steps: a window is the tail of one tile and the head of the next, which costs the
-same per row whatever `k` is and cancels nothing.
+Windows use prefix and suffix aggregates of tiles of `k` steps: a window is the tail of one
+tile and the head of the next, which costs the same per row whatever `k` is and cancels
+nothing. A plain sliding frame (`method="sliding"`) is there to compare with. Steps must not
+repeat within a key.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 from tracemill.functions.nulls import complete_frame
 
 KEYS = ("patient_num", "channel")
-SLIDING_LIMIT = 48
 MIN_BLOCK = 8192
 
 _AGGREGATE = {"mean": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min, "sum": F.sum}
@@ -44,14 +44,14 @@ def rolling(
     value: str = "value",
     out: str = "value",
     block_len: int | None = None,
-    method: str = "auto",
+    method: str = "tiled",
 ) -> DataFrame:
     """Trailing `stat` over `k` steps; NULL unless all `k` steps are there and non-NULL."""
     if stat not in _AGGREGATE:
         raise KeyError(stat)
     size = _block_size(k, block_len)
     halo = _with_halo(df, keys, idx, size, k - 1)
-    if method == "sliding" or (method == "auto" and k <= SLIDING_LIMIT):
+    if method == "sliding":
         rolled = _sliding(halo, k, stat, keys, idx, value)
     else:
         rolled = _tiled(halo, k, stat, keys, idx, value)
@@ -123,8 +123,3 @@ def moving_average(df: DataFrame, k: int, skip_missing: bool = False, **options)
     rolled = halo.withColumn(out, F.avg(value).over(frame))
     kept = (F.col("_block") == F.floor(F.col(idx) / size)) & (F.col(idx) >= k - 1)
     return rolled.filter(kept).drop("_block")
-
-
-def window_steps(rolling_window_s: int, snippets_duration_s: int) -> int:
-    """Window length in steps, by whole division."""
-    return rolling_window_s // snippets_duration_s

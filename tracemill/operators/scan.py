@@ -3,7 +3,9 @@
 A plain window over a key sorts every row of that key in one task, which fails when one
 key holds a large share of the data. Here the ordered axis is cut into blocks: each block
 is scanned on its own, the block totals (one row per block) are scanned across blocks,
-and the carried totals are joined back on (key, block).
+and the carried totals are joined back on (key, block). Blocks are expressions of the row
+(stretches of a time axis, or of a value's range between approximate quantiles), so that a
+scan stays one lazy plan; where the borders lie never changes an answer.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.session import cut_lineage
+from tracemill.functions.nulls import join_on
 
 Outputs = Mapping[str, tuple[str, Column]]
 
@@ -62,7 +64,7 @@ def running(
             for name, (kind, v) in carried.items()
         ),
     )
-    joined = df.withColumns(local).join(carry, [*keys, block])
+    joined = join_on(df.withColumns(local), carry, [*keys, block])
     merged = {
         name: _combine(kind, F.col(f"_c_{name}"), F.col(f"_l_{name}"))
         for name, (kind, _) in outputs.items()
@@ -70,14 +72,29 @@ def running(
     return joined.withColumns(merged).drop(*local, *carried)
 
 
-def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Number contiguous stretches of (keys, order) of about equal size as `_block`.
+def time_blocks(df: DataFrame, at: str, length: float) -> DataFrame:
+    """Number stretches of `length` of a time axis as `_block`."""
+    return df.withColumn("_block", F.floor(F.col(at) / length))
 
-    The rows are range-partitioned and written out, which fixes the numbering; a key with
-    very many rows spans many blocks, whatever its values look like.
+
+COARSE, FINE = 32, 32
+
+
+def value_blocks(df: DataFrame, keys: Sequence[str], value: str, at: str = "_block") -> DataFrame:
+    """Number stretches of a numeric column's range as `at`, `COARSE * FINE` per key at most.
+
+    The coarse borders are approximate quantiles, each stretch between two is cut evenly.
+    They only place the blocks: any borders give the same running totals.
     """
-    ranged = df.repartitionByRange(*keys, *order)
-    return cut_lineage(ranged.withColumn("_block", F.spark_partition_id().cast("bigint")))
+    v = F.col(value).cast("double")
+    shares = F.array(*[F.lit(i / COARSE) for i in range(COARSE + 1)])
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(v, shares, F.lit(1000)).alias("_cuts"))
+    held = join_on(df, cuts, keys) if keys else df.withColumn("_cuts", cuts.scalar())
+    coarse = F.greatest(F.size(F.filter("_cuts", lambda c: c < v)), F.lit(1))
+    low, high = F.try_element_at("_cuts", coarse), F.try_element_at("_cuts", coarse + 1)
+    share = F.floor((v - low) / F.nullif(high - low, F.lit(0.0)) * FINE)
+    fine = F.least(F.greatest(F.coalesce(share, F.lit(0)), F.lit(0)), F.lit(FINE - 1))
+    return held.withColumn(at, (coarse * FINE + fine).cast("bigint")).drop("_cuts")
 
 
 SPREAD = 1 << 16

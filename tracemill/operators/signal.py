@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.nulls import complete
+from tracemill.functions.nulls import complete, join_on
 from tracemill.functions.scalar import clean_label, contains_any
 from tracemill.operators.intervals import BLOCK_S, cover, merge, restrict
 from tracemill.operators.scan import spread
@@ -153,27 +153,42 @@ def snippets(
 ) -> DataFrame:
     """Gather each tumbling snippet of `length` steps into one row.
 
-    The row holds `n_channels`, `length` and `cells`: the values in channel-major order,
-    with NULL where a sample is missing. A snippet is bounded by channels x length.
+    The row holds `n_channels`, `length` and `cells`: the values in channel-major order, over
+    all channels of the recording and all steps of the snippet, with NULL where a sample is
+    NULL or absent. With `full_only` a last snippet that the recording does not fill is left
+    out. A snippet is bounded by channels x length.
     """
     at = F.col("idx") - offset
-    rows = (
-        signal.filter(at >= 0)
-        .groupBy(*keys, F.floor(at / length).alias("snippet"))
-        .agg(
-            F.sort_array(F.collect_list(F.struct(CHANNEL, "idx", "value"))).alias("_cells"),
-            F.size(F.collect_set(CHANNEL)).cast("bigint").alias("n_channels"),
-        )
-        .select(
-            *keys,
-            "snippet",
-            "n_channels",
-            F.col("_cells.value").alias("cells"),
+    used = signal.filter(at >= 0)
+    outline = used.groupBy(*keys).agg(
+        F.sort_array(F.collect_set(CHANNEL)).alias("_channels"), F.max(at).cast("bigint").alias("_top")
+    )
+    count = F.floor((F.col("_top") + 1) / length) if full_only else F.floor(F.col("_top") / length) + 1
+    every = spread(outline, F.lit(0), count - 1, "snippet")
+    filled = used.groupBy(*keys, F.floor(at / length).alias("snippet")).agg(
+        F.sort_array(F.collect_list(F.struct(CHANNEL, (at % length).cast("bigint").alias("step"), "value"))).alias("_cells")
+    )
+    rows = join_on(every, filled, [*keys, "snippet"], "left").withColumns(
+        {
+            "n_channels": F.size("_channels").cast("bigint"),
+            "length": F.least(F.lit(length).cast("bigint"), F.col("_top") + 1 - F.col("snippet") * length),
+            "_cells": F.coalesce("_cells", F.array().cast(filled.schema["_cells"].dataType)),
+        }
+    )
+    known = F.map_from_entries(
+        F.transform("_cells", lambda c: F.struct(F.struct(c[CHANNEL].alias("c"), c["step"].alias("s")), c["value"]))
+    )
+    steps = F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1)
+    placed = F.flatten(
+        F.transform(
+            "_channels",
+            lambda c: F.transform(steps, lambda s: F.try_element_at("_known", F.struct(c.alias("c"), s.alias("s")))),
         )
     )
-    if full_only:
-        rows = rows.filter(F.size("cells") == F.col("n_channels") * length)
-    return rows.withColumn("length", F.floor(F.size("cells") / F.col("n_channels")))
+    whole = F.size("_cells") == F.col("n_channels") * F.col("length")
+    gaps = rows.withColumn("_known", F.when(~whole, known))
+    cells = F.when(whole, F.col("_cells.value")).otherwise(placed)
+    return gaps.select(*keys, "snippet", "n_channels", cells.alias("cells"), "length")
 
 
 def snip(

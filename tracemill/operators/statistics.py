@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.scalar import significance
 from tracemill.functions.special import kolmogorov_tail, two_sided_normal
-from tracemill.operators.scan import ordered_blocks, running
+from tracemill.functions.nulls import join_on
+from tracemill.operators.scan import running, value_blocks
 
 GRID_POINTS = 2048
 GRID_MARGIN = 4.0  # bandwidths beyond the data on each side
@@ -39,7 +40,7 @@ def ranked_values(samples: DataFrame, keys: Sequence[str], value: str, case: str
         F.count_if(F.col(case)).alias("n1"), F.count_if(~F.col(case)).alias("n0")
     )
     sums = {"upto1": ("sum", F.col("n1")), "upto0": ("sum", F.col("n0"))}
-    return running(ordered_blocks(counted, keys, ["v"]), keys, "_block", ["v"], sums).drop("_block")
+    return running(value_blocks(counted, keys, "v"), keys, "_block", ["v"], sums).drop("_block")
 
 
 def _sizes(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -51,7 +52,7 @@ def kolmogorov_smirnov(
 ) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance with its asymptotic p-value."""
     ranked = ranked_values(samples, keys, value, case)
-    gaps = ranked.join(_sizes(ranked, keys), list(keys)).filter("m1 > 0 AND m0 > 0")
+    gaps = join_on(ranked, _sizes(ranked, keys), keys).filter("m1 > 0 AND m0 > 0")
     gap = F.abs(F.col("upto1") / F.col("m1") - F.col("upto0") / F.col("m0"))
     tests = gaps.groupBy(*keys).agg(
         F.max(gap).alias("d"), F.first("m1").alias("m1"), F.first("m0").alias("m0")
@@ -96,10 +97,10 @@ def quantiles(samples: DataFrame, keys: Sequence[str], shares: Sequence[float],
     """Exact quantiles with linear interpolation, one column `q{i}` per share."""
     present = samples.filter(F.col(value).isNotNull())
     counted = present.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running(ordered_blocks(counted, keys, ["v"]), keys, "_block", ["v"], {"upto": ("sum", F.col("n"))})
+    ranked = running(value_blocks(counted, keys, "v"), keys, "_block", ["v"], {"upto": ("sum", F.col("n"))})
     sizes = ranked.groupBy(*keys).agg(F.sum("n").alias("_m"))
     if keys:
-        placed = ranked.join(sizes, list(keys))
+        placed = join_on(ranked, sizes, keys)
     else:
         placed = ranked.withColumn("_m", sizes.scalar())
 
@@ -141,7 +142,7 @@ def bandwidth(samples: DataFrame, keys: Sequence[str], value: str = "value") ->
         F.min(value).cast("double").alias("lo"),
         F.max(value).cast("double").alias("hi"),
     )
-    spread = moments.join(quantiles(samples, keys, [0.25, 0.75], value), list(keys))
+    spread = join_on(moments, quantiles(samples, keys, [0.25, 0.75], value), keys)
     iqr = (F.col("q1") - F.col("q0")) / 1.34
     width = F.least("_sd", iqr)
     width = F.when(width == 0, F.when(F.col("_sd") == 0, F.lit(1.0)).otherwise(F.col("_sd"))).otherwise(width)
@@ -167,7 +168,7 @@ def binned(
         ((F.col("hi") - F.col("lo") + 2 * GRID_MARGIN * F.col("h")) / (points - 1)).alias("step"),
     )
     own = bandwidth(samples, [*keys, case], value).select(*keys, case, "n", "h")
-    placed = samples.filter(F.col(value).isNotNull()).join(grid, list(keys))
+    placed = join_on(samples.filter(F.col(value).isNotNull()), grid, keys)
     at = (F.col(value) - F.col("x0")) / F.col("step")
     cell = F.floor(at)
     placed = placed.withColumns({"_cell": cell, "_right": at - cell})
@@ -177,7 +178,7 @@ def binned(
     )
     spread = placed.select(*keys, case, F.inline(shares))
     cells = spread.groupBy(*keys, case, "cell").agg(F.sum("weight").alias("weight"))
-    return cells.join(own, [*keys, case]).join(grid, list(keys))
+    return join_on(join_on(cells, own, [*keys, case]), grid, keys)
 
 
 def _smooth(cells: pd.DataFrame, points: int) -> np.ndarray:

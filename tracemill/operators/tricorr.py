@@ -115,12 +115,20 @@ def contributions_of(
     seed: int = 0,
     per_cell: bool = False,
 ) -> DataFrame:
-    """As `class_contributions`, on rows that already hold whole snippets."""
+    """As `class_contributions`, on rows that already hold whole snippets.
+
+    The spread that `A_znorm_std` divides by is that of a periodic snippet, so other
+    boundaries are refused, as are lags that a periodic snippet is too small for.
+    """
     _, post, _ = MEASURES[measure]
+    if post == "over_std" and boundary != "periodic":
+        raise ValueError(f"{measure} is defined for a periodic boundary only")
     # computed once here, not in every task
     variance = normal_variance_per_cell(lag_extents) if post == "over_std" else None
 
     def compute(x: np.ndarray, seeds: list[int]) -> np.ndarray:
+        if boundary == "periodic" and any(2 * reach + 1 > size for reach, size in zip(lag_extents, x.shape[1:], strict=True)):
+            raise ValueError(f"lags {lag_extents} wrap around a periodic snippet of {x.shape[1:]}")
         out = contributions(x, seeds, measure, lag_extents, boundary, variance)
         return out / (x.shape[1] * x.shape[2]) if per_cell else out
 

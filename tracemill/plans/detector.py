@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,6 @@ from tracemill.operators import detection, intervals, statistics
 from tracemill.operators.rolling import rolling
 from tracemill.operators.signal import drop_channels, mark_covered, poison_blocks
 from tracemill.operators.standardize import reduce_channels, standardize
-from tracemill.session import cut_lineage
 
 KEYS = ("patient_num",)
 
@@ -103,7 +102,6 @@ def sensitivity(
     scores = detection.seizure_targets(
         traces.withColumn("min_reviewers_per_seizure", level), for_each_setting(found), outlines, epoch_s, snippet_s, keys
     )
-    scores = cut_lineage(scores)
     best = scores.filter("is_target").groupBy(*keys).agg(F.max("score").alias("score"), F.lit(True).alias("is_target"))
     by_seizure = scores.withColumn("target", F.lit("seizure"))
     by_patient = best.unionByName(scores.filter(~F.col("is_target"))).withColumn("target", F.lit("patient"))
@@ -182,7 +180,7 @@ def epoch_samples(
     used = marked.filter(F.col("_control") | F.col("is_seizure")).drop("t")
     # a sample in both stretches would belong to both sides
     both = used.filter(F.col("_control") & F.col("is_seizure")).withColumn("is_seizure", F.lit(False))
-    samples = cut_lineage(used.unionByName(both).drop("_control").filter(F.col("value").isNotNull()))
+    samples = used.unionByName(both).drop("_control").filter(F.col("value").isNotNull())
     channels = signal.groupBy(*keys).agg(F.count_distinct("channel").alias("_channels"))
     support = samples.groupBy(*keys).agg(
         F.count_if("is_seizure").alias("_present"), F.count_if(~F.col("is_seizure")).alias("_controls")
@@ -200,11 +198,3 @@ def epoch_differences(samples: DataFrame, keys: Sequence[str] = KEYS, points: in
     ks = statistics.kolmogorov_smirnov(samples, groups).select(*groups, "p")
     shifts = statistics.deltas(samples, groups)
     return js.join(ks, groups).join(shifts, groups)
-
-
-def merged_parameters(*layers: Mapping[str, object]) -> dict[str, object]:
-    """Later layers win."""
-    out: dict[str, object] = {}
-    for layer in layers:
-        out |= layer
-    return out

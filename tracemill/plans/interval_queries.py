@@ -462,32 +462,31 @@ def _snip_tables(spark, sf_dir):
     "iv_snip",
     with_views("signal", "reviewers", _runs(2), _event_bounds())
     + """
-SELECT 'samples' AS part, patient_num, round(sum(coalesce(value, -1.0) * (idx - 20)), 3) AS total,
-  CAST(count(*) AS BIGINT) AS n FROM sig WHERE idx >= 20 GROUP BY 2
+SELECT 'samples' AS part, patient_num, channel AS label, CAST(idx - 20 AS DOUBLE) AS a, round(value, 6) + 0.0 AS b FROM sig WHERE idx >= 20
 UNION ALL
-SELECT 'intervals', patient_num, round(sum(greatest(on_s, 20.0) * 1000 + least(off_s, stop_s)), 3), count(*)
-FROM runs JOIN ends USING (patient_num)
-WHERE on_s BETWEEN 20 AND stop_s OR off_s BETWEEN 20 AND stop_s GROUP BY 2
+SELECT 'intervals', patient_num, NULL, greatest(on_s, 20.0), least(off_s, stop_s) FROM runs JOIN ends USING (patient_num)
+WHERE on_s BETWEEN 20 AND stop_s OR off_s BETWEEN 20 AND stop_s
 UNION ALL
-SELECT 'reviewers', patient_num, round(sum(n * sec), 3), count(*) FROM rc WHERE sec >= 20 GROUP BY 2
+SELECT 'reviewers', patient_num, NULL, CAST(sec AS DOUBLE), CAST(n AS DOUBLE) FROM rc WHERE sec >= 20
 UNION ALL
-SELECT 'recordings', patient_num, round(20 * 1000 + stop_s - 20, 3), 1 FROM ends""",
+SELECT 'recordings', patient_num, NULL, 20.0, stop_s - 20.0 FROM ends""",
 )
 def iv_snip(spark, sf_dir):
     """All four tables cut to the stretch from 20 on; the far end is pulled back to the data's."""
     cut = _snip_tables(spark, sf_dir)
 
-    def part(name, total):
-        rows = cut[name.replace("reviewers", "reviewer_counts")].groupBy("patient_num")
-        found = rows.agg(rounded(F.sum(total), 3).alias("total"), F.count(F.lit(1)).alias("n"))
-        return found.withColumn("part", F.lit(name))
+    def part(name, a, b, label=None):
+        rows = cut[name.replace("reviewers", "reviewer_counts")]
+        named = F.col(label) if label else F.lit(None).cast("string")
+        numbers = [F.col(a).cast("double").alias("a"), rounded(b).alias("b")]
+        return rows.select(F.lit(name).alias("part"), "patient_num", named.alias("label"), *numbers)
 
     return union_all(
         [
-            part("samples", F.coalesce("value", F.lit(-1.0)) * F.col("idx")),
-            part("intervals", F.col("on_s") * 1000 + F.col("off_s")),
-            part("reviewers", F.col("n") * F.col("sec")),
-            part("recordings", F.col("start_s") * 1000 + F.col("duration_s")),
+            part("samples", "idx", "value", "channel"),
+            part("intervals", "on_s", "off_s"),
+            part("reviewers", "sec", "n"),
+            part("recordings", "start_s", "duration_s"),
         ]
     )
 

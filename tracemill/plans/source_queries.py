@@ -7,9 +7,12 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.functions.naming import signal_stem
+from tracemill.functions.naming import result_key
 from tracemill.functions.nulls import rounded
+from tracemill.operators import intervals
+from tracemill.operators.tables import union_all
 from tracemill.plans import views
+from tracemill.plans.interval_queries import _event_bounds, _runs
 from tracemill.plans.params import BY_SIGNAL, COMMON
 from tracemill.plans.registry import query
 from tracemill.plans.views import with_views
@@ -32,7 +35,7 @@ def src_cache(spark, sf_dir):
     """The signal cached twice under one stem; the later session is loaded, gaps widened to 15."""
     folder = _folder(spark)
     params = dict(COMMON) | BY_SIGNAL["tricorr"]
-    stem = signal_stem("tricorr", **params)
+    stem = result_key("tricorr", params)
     events = views.event_signal(spark, sf_dir)
     cache.save(events, folder, stem, "2024-01-01T00")
     cache.save(events.withColumn("value", F.col("value") * 2), folder, stem, "2024-01-02T00")
@@ -80,16 +83,25 @@ def src_tex_rows(spark, sf_dir):
 
 @query(
     "src_export",
-    with_views("signal", "reviewers")
-    + "SELECT patient_num, count(*) AS cells, round(sum(value), 2) AS total FROM sig GROUP BY 1",
+    with_views("signal", "reviewers", _runs(2), _event_bounds())
+    + """
+SELECT 'samples' AS part, patient_num, channel AS label, CAST(idx AS DOUBLE) AS a, round(value, 6) + 0.0 AS b FROM sig
+UNION ALL SELECT 'recordings', patient_num, NULL, 0.0, stop_s FROM ends
+UNION ALL SELECT 'reviewer_counts', patient_num, NULL, CAST(sec AS DOUBLE), CAST(n AS DOUBLE) FROM rc
+UNION ALL SELECT 'intervals', patient_num, NULL, on_s, off_s FROM runs""",
 )
 def src_export(spark, sf_dir):
-    """A recording's tables written side by side; the samples read back by patient."""
+    """A recording's tables written side by side and read back."""
     folder = _folder(spark)
     recordings = views.event_recordings(spark, sf_dir)
-    none = recordings.select("patient_num", F.col("start_s").alias("on_s"), F.col("duration_s").alias("off_s")).limit(0)
-    files.export_recording(
-        views.event_signal(spark, sf_dir), recordings, views.reviewer_counts(spark, sf_dir), none, folder
-    )
-    samples = spark.read.parquet(f"{folder}/samples").groupBy("patient_num")
-    return samples.agg(F.count(F.lit(1)).alias("cells"), rounded(F.sum("value"), 2).alias("total"))
+    counts = views.reviewer_counts(spark, sf_dir)
+    flags = counts.select("patient_num", F.col("sec").alias("idx"), (F.col("n") >= 2).alias("flag"))
+    files.export_recording(views.event_signal(spark, sf_dir), recordings, counts, intervals.runs(flags), folder)
+
+    def part(name, a, b, label=None):
+        named = F.col(label) if label else F.lit(None).cast("string")
+        numbers = [F.col(a).cast("double").alias("a"), rounded(b).alias("b")]
+        return spark.read.parquet(f"{folder}/{name}").select(F.lit(name).alias("part"), "patient_num", named.alias("label"), *numbers)
+
+    parts = [part("samples", "idx", "value", "channel"), part("recordings", "start_s", "duration_s")]
+    return union_all([*parts, part("reviewer_counts", "sec", "n"), part("intervals", "on_s", "off_s")])

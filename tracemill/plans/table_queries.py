@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import scalar
 from tracemill.functions.nulls import rounded
 from tracemill.operators import annotations, intervals, signal, statistics, tables, tricorr
-from tracemill.operators.scan import ordered_blocks, running
+from tracemill.operators.scan import running, value_blocks
 from tracemill.plans import views
 from tracemill.plans.interval_queries import _CONTROL, _runs, controls, document_events, seizures
 from tracemill.plans.registry import query
@@ -64,33 +64,32 @@ def rel_join_signals(spark, sf_dir):
     "rel_align_channels",
     with_views("signal")
     + """
-SELECT a.channel, a.idx, round(a.value - b.value, 6) + 0.0 AS gap FROM sig a
-JOIN sig b ON a.channel = b.channel AND a.idx = b.idx WHERE a.patient_num = 0 AND b.patient_num = 1""",
+SELECT a.patient_num, a.channel, a.idx, round(a.value - b.value, 6) + 0.0 AS gap FROM sig a
+JOIN sig b ON a.channel = b.channel AND a.idx = b.idx AND b.patient_num = a.patient_num + 1""",
 )
 def rel_align_channels(spark, sf_dir):
-    """Two recordings aligned by channel name, whatever order each lists its channels in."""
+    """Every recording aligned with the next by channel name, whatever order each lists its channels in."""
     whole = views.event_signal(spark, sf_dir)
-    first = whole.filter("patient_num = 0").select("channel", "idx", "value")
-    second = whole.filter("patient_num = 1").select("channel", "idx", F.col("value").alias("other"))
-    return first.join(second, ["channel", "idx"]).select(
-        "channel", "idx", rounded(F.col("value") - F.col("other")).alias("gap")
+    following = whole.select((F.col("patient_num") - 1).alias("patient_num"), "channel", "idx", F.col("value").alias("other"))
+    return whole.join(following, ["patient_num", "channel", "idx"]).select(
+        "patient_num", "channel", "idx", rounded(F.col("value") - F.col("other")).alias("gap")
     )
 
 
 _CASES = with_views("lines").rstrip() + """,
 halves AS (
   SELECT patient_num, idx, channel, value, CASE WHEN idx < 3750 THEN 1 ELSE 2 END AS "case" FROM osig)
-SELECT patient_num, "case", CAST(idx AS BIGINT) AS idx, 'c' || channel AS variable, round(value, 6) AS value FROM halves
-WHERE channel IN (0, 1, 2)"""
+SELECT patient_num, "case", CAST(idx AS BIGINT) AS idx, 'c' || channel AS variable, round(value, 6) AS value FROM halves"""
 
 
 @query("rel_unpivot", _CASES)
 def rel_unpivot(spark, sf_dir):
     """Control and seizure halves, one column per class, labelled, stacked and unpivoted."""
-    wide = tables.widened(views.order_signal(spark, sf_dir), ["patient_num", "idx"], (0, 1, 2))
-    wide = wide.withColumnsRenamed({str(i): f"c{i}" for i in range(3)})
+    wide = tables.widened(views.order_signal(spark, sf_dir), ["patient_num", "idx"], range(views.ORDER_CHANNELS))
+    names = [f"c{i}" for i in range(views.ORDER_CHANNELS)]
+    wide = wide.withColumnsRenamed({n[1:]: n for n in names})
     cases = tables.labelled_cases(wide.filter("idx < 3750"), wide.filter("idx >= 3750"))
-    long = tables.stacked(cases, ["patient_num", "case", "idx"], ["c0", "c1", "c2"])
+    long = tables.stacked(cases, ["patient_num", "case", "idx"], names)
     return long.withColumn("value", rounded("value"))
 
 
@@ -134,7 +133,9 @@ def rel_sort(spark, sf_dir):
     """Multi-key order; the place in it comes from a distributed running count."""
     suppliers = views.table(spark, sf_dir, "supplier").withColumn("_down", -F.col("s_acctbal"))
     order = ["s_nationkey", "_down", "s_suppkey"]
-    blocks = ordered_blocks(suppliers.select(*order), [], order)
+    inner = value_blocks(suppliers.select(*order), ["s_nationkey"], "_down", "_inner")
+    # a block number grows along all of the order: the first column, then stretches of the second
+    blocks = inner.withColumn("_block", F.col("s_nationkey").cast("bigint") * 4096 + F.col("_inner"))
     placed = running(blocks, [], "_block", order, {"place": ("sum", F.lit(1))})
     return placed.select("s_nationkey", "s_suppkey", F.col("place").cast("bigint").alias("place"))
 
@@ -362,7 +363,7 @@ def fn_lag_conditions(spark, sf_dir):
 
 @query(
     "fn_file_id",
-    "SELECT doc_id, 'EEG' || CASE WHEN length(doc_id::VARCHAR) < 3 THEN lpad(doc_id::VARCHAR, 3, '0') ELSE left(doc_id::VARCHAR, 3) END AS file FROM documents",
+    "SELECT doc_id, 'EEG' || CASE WHEN length(doc_id::VARCHAR) < 3 THEN lpad(doc_id::VARCHAR, 3, '0') ELSE doc_id::VARCHAR END AS file FROM documents",
 )
 def fn_file_id(spark, sf_dir):
     return views.table(spark, sf_dir, "documents").select("doc_id", scalar.file_id("doc_id").alias("file"))
