@@ -42,3 +42,16 @@ def test_filters_reach_the_scan(spark):
 def test_long_windows_share_one_exchange(spark):
     df = spark.range(10).selectExpr("id % 2 AS patient_num", "id % 3 AS channel", "id AS idx", "double(id) AS value")
     assert plan(rolling(df, 100)).count("Exchange hashpartitioning") == 1
+
+
+LAZY = sorted(n for n in entry.queries() if not n.startswith(("stream_", "src_", "op", "pipeline")))
+
+
+def test_building_a_query_starts_no_job(spark):
+    started = {}
+    for name in LAZY:
+        spark.sparkContext.setJobGroup(f"build-{name}", name)
+        entry.queries()[name](spark, SF_DIR)
+        started[name] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"build-{name}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {n: k for n, k in started.items() if k} == {}

@@ -175,20 +175,15 @@ def snippets(
             "_cells": F.coalesce("_cells", F.array().cast(filled.schema["_cells"].dataType)),
         }
     )
-    known = F.map_from_entries(
-        F.transform("_cells", lambda c: F.struct(F.struct(c[CHANNEL].alias("c"), c["step"].alias("s")), c["value"]))
-    )
-    steps = F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1)
-    placed = F.flatten(
-        F.transform(
-            "_channels",
-            lambda c: F.transform(steps, lambda s: F.try_element_at("_known", F.struct(c.alias("c"), s.alias("s")))),
-        )
-    )
-    whole = F.size("_cells") == F.col("n_channels") * F.col("length")
-    gaps = rows.withColumn("_known", F.when(~whole, known))
-    cells = F.when(whole, F.col("_cells.value")).otherwise(placed)
-    return gaps.select(*keys, "snippet", "n_channels", cells.alias("cells"), "length")
+    size = (F.col("n_channels") * F.col("length")).cast("bigint")
+    place = lambda c: (F.array_position("_channels", c[CHANNEL]) - 1) * F.col("length") + c["step"]
+    present = F.transform("_cells", lambda c: F.struct(place(c).cast("bigint").alias("p"), c["value"].alias("v")))
+    absent = F.array_except(F.sequence(F.lit(0).cast("bigint"), size - 1), F.transform("_cells", lambda c: place(c).cast("bigint")))
+    nothing = F.lit(None).cast(signal.schema["value"].dataType)
+    holes = F.transform(absent, lambda p: F.struct(p.alias("p"), nothing.alias("v")))
+    placed = F.transform(F.sort_array(F.concat(present, holes)), lambda x: x["v"])
+    cells = F.when(F.size("_cells") == size, F.col("_cells.value")).otherwise(placed)
+    return rows.select(*keys, "snippet", "n_channels", cells.alias("cells"), "length")
 
 
 def snip(

@@ -97,6 +97,21 @@ def iv_merge(spark, sf_dir):
     return intervals.merge(views.order_intervals(spark, sf_dir))
 
 
+@query(
+    "iv_merge_null_keys",
+    with_views(
+        "orders",
+        "nk AS (SELECT CASE WHEN patient_num % 5 <> 0 THEN patient_num END AS patient_num, on_s, off_s FROM oi)",
+        merge_sql("merged", "nk"),
+    )
+    + "SELECT patient_num, on_s, off_s FROM merged",
+)
+def iv_merge_null_keys(spark, sf_dir):
+    """Intervals whose recording is unknown are merged among themselves, not lost."""
+    known = F.when(F.col("patient_num") % 5 != 0, F.col("patient_num"))
+    return intervals.merge(views.order_intervals(spark, sf_dir).withColumn("patient_num", known))
+
+
 @query(
     "iv_merge_sets",
     with_views(

@@ -311,14 +311,35 @@ def sig_snippets(spark, sf_dir):
     )
 
 
+@query(
+    "sig_snippets_gaps",
+    with_views("lines").rstrip()
+    + """,
+holed AS (SELECT * FROM osig WHERE (idx * 7 + channel * 13 + patient_num) % 97 <> 0),
+tops AS (SELECT patient_num, max(idx) AS top FROM holed GROUP BY 1)
+SELECT patient_num, idx // 250 AS snippet, CAST(17 AS BIGINT) AS n_channels, CAST(17 * 250 - count(*) AS BIGINT) AS n_missing,
+  round(sum(value * (1 + channel * 250 + idx % 250)), 3) AS checksum
+FROM holed JOIN tops USING (patient_num) WHERE (idx // 250 + 1) * 250 <= top + 1 GROUP BY 1, 2""",
+)
+def sig_snippets_gaps(spark, sf_dir):
+    """Snippets of a recording with absent rows keep their length and the places of their cells."""
+    holed = views.order_signal(spark, sf_dir).filter((F.col("idx") * 7 + F.col("channel") * 13 + F.col("patient_num")) % 97 != 0)
+    rows = signal.snippets(holed, 250).filter(F.size("cells") == 17 * 250)
+    place = F.transform("cells", lambda v, i: F.coalesce(v * (i + 1), F.lit(0.0)))
+    return rows.select(
+        "patient_num", "snippet", "n_channels",
+        F.size(F.filter("cells", lambda v: v.isNull())).cast("bigint").alias("n_missing"),
+        rounded(F.aggregate(place, F.lit(0.0), lambda a, v: a + v), 3).alias("checksum"),
+    )
+
+
 @query(
     "sig_time_axis",
-    SIG + "SELECT patient_num, channel, idx, CAST(idx AS DOUBLE) AS t FROM sig WHERE idx % 10 = 0",
+    SIG + "SELECT patient_num, channel, idx, CAST(idx AS DOUBLE) AS t FROM sig",
 )
 def sig_time_axis(spark, sf_dir):
-    """Time of every tenth sample, as trace plots take it."""
     timed = signal.with_time(views.event_signal(spark, sf_dir), views.event_recordings(spark, sf_dir))
-    return signal.downsample(timed, 10).select(*CELL, "t")
+    return timed.select(*CELL, "t")
 
 
 @query(

@@ -277,6 +277,23 @@ def dsp_fir(spark, sf_dir):
     return found.select("patient_num", "channel", "idx", rounded("value", 4).alias("value"))
 
 
+@query(
+    "dsp_fir_gaps",
+    with_views("lines").rstrip()
+    + f""",
+holed AS (SELECT patient_num, channel, idx, CASE WHEN idx % 997 <> 500 THEN value END AS value FROM osig)
+SELECT patient_num, channel, idx, CASE WHEN count(*) OVER r = count(value) OVER r THEN
+  round({" + ".join(f"coalesce(lag(value, {k}) OVER w, 0.0) * {h!r}" for k, h in enumerate(_TAPS))}, 4) + 0.0 END AS value
+FROM holed WINDOW w AS (PARTITION BY patient_num, channel ORDER BY idx),
+  r AS (PARTITION BY patient_num, channel ORDER BY idx ROWS BETWEEN {len(_TAPS) - 1} PRECEDING AND CURRENT ROW)""",
+)
+def dsp_fir_gaps(spark, sf_dir):
+    """Absent rows are missing samples: they spoil the steps that they reach and shift none."""
+    holed = views.order_signal(spark, sf_dir).filter("idx % 997 <> 500")
+    found = dsp.fir(holed, _TAPS)
+    return found.select("patient_num", "channel", "idx", rounded("value", 4).alias("value"))
+
+
 @query("dsp_clean")
 def dsp_clean(spark, sf_dir):
     """Zero-phase band-pass and mains removal; recursive filters have no SQL form."""
