@@ -15,11 +15,12 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import texts
+from tracemill.llm.common import texts, written
 from tracemill.llm.tokens import encoder
 from tracemill.session import scratch_folder
 
@@ -112,21 +113,53 @@ def decode_from(block: dict, table: Table, point: int) -> np.ndarray:
     return decode(block["words"], states, table, block["tokens"], lanes, point * every, at, (point + 1) * every)
 
 
-def counted(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> np.ndarray:
-    """How often each id occurs over all documents, end ids included (`size` numbers)."""
+def _squeezed(ids: np.ndarray, width: int) -> bytes:
+    """Ids of a document for the way between two stages: bytes of equal weight side by side."""
+    planes = ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-    def count(batches):
+
+def _spread(raw: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(width, -1)
+    return planes.T.copy().view(f"<u{width}").ravel().astype("<u4")
+
+
+def tokenized(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> DataFrame:
+    """(doc_id, ids) of all documents; one more row per task has `counts` of all its ids instead."""
+    width = 2 if size <= 1 << 16 else 4
+
+    def make(batches):
         encode_ids, found = encoder(vocabulary), np.zeros(size, np.int64)
-        for batch in batches:
-            for text in texts(batch.column(0)):
-                found += 0 if not text else np.bincount(np.frombuffer(encode_ids.ids(text), "<u4"), minlength=size)
-            found[end_id] += batch.num_rows
+        end = np.array([end_id], "<u4").tobytes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                ids = [np.frombuffer(encode_ids.ids(t) + end, "<u4") for t in texts(batch.column(1))]
+                found += np.bincount(np.concatenate(ids), minlength=size)
+                rows = pa.array([_squeezed(i, width) for i in ids], pa.binary())
+                nothing = pa.nulls(len(ids), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), rows, nothing], ["doc_id", "ids", "counts"])
         seen = np.flatnonzero(found)
-        yield pa.RecordBatch.from_pydict({"id": pa.array(seen, pa.int64()), "n": pa.array(found[seen], pa.int64())})
+        both = np.stack([seen, found[seen]]).astype("<i8").tobytes()
+        columns = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([both], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "counts"])
+
+    plain = docs.select(F.col("doc_id").cast("long"), "text")
+    return plain.mapInArrow(make, "doc_id long, ids binary, counts binary")
 
-    totals = docs.select("text").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+def counted(tokens: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs over all documents (`size` numbers), from the tasks' counts."""
+
+    def unpack(batches):
+        for batch in batches:
+            for raw in batch.column(0):
+                ids, n = np.frombuffer(raw.as_py(), "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_pydict({"id": pa.array(ids), "n": pa.array(n)})
+
+    rows = tokens.filter("counts IS NOT NULL").select("counts").mapInArrow(unpack, "id long, n long")
     counts = np.zeros(size, np.int64)
-    for row in totals.collect():  # bounded by the vocabulary
+    for row in rows.groupBy("id").agg(F.sum("n").alias("n")).collect():  # bounded by the vocabulary
         counts[row.id] = row.n
     return counts
 
@@ -134,32 +167,35 @@ def counted(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> np.ndar
 def write(docs: DataFrame, vocabulary: str, size: int, end_id: int, path: str, block: int = 1 << 18, lanes: int = 2048, checkpoint: int = 32) -> None:
     """Write the ids of all documents to `path`, in ascending doc_id order.
 
-    A null text is an empty one, which is the end id alone. Rows with a null doc_id come
-    first; rows that share a doc_id come in the order of their texts. Other columns are not used.
+    Texts are tokenized once: the ids go to the shared folder while they are counted, and are
+    dealt out by doc_id from there. A null text is an empty one, which is the end id alone.
+    Rows with a null doc_id come first; the order of rows that share a doc_id depends on
+    their ids alone. Other columns are not used.
     """
-    freq = frequencies(counted(docs, vocabulary, size, end_id))
+    width = 2 if size <= 1 << 16 else 4
+    tokens = written(tokenized(docs, vocabulary, size, end_id), "tokens")
+    freq = frequencies(counted(tokens, size))
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(freq)
-    end = np.array([end_id], "<u4").tobytes()
 
     def code(batches):
-        encode_ids, table = encoder(vocabulary), Table(sent.value)
+        table = Table(sent.value)
         part, number, before = TaskContext.get().partitionId(), 0, 0
         held, ids, lengths, size_ = [], [], [], 0
 
         def made():
-            flat = np.frombuffer(b"".join(ids), "<u4")
+            flat = np.concatenate(ids)
             words, states, marks = encode(flat, table, lanes, checkpoint)
             row = (part, number, before, len(flat), lanes, checkpoint, words, states, marks, crc32(flat), held, lengths)
             return pa.RecordBatch.from_pydict({f.name: pa.array([v], f.type) for f, v in zip(arrow, row, strict=True)})
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                found = encode_ids.ids(text) + end
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = _spread(raw.as_py(), width)
                 held.append(name)
                 ids.append(found)
-                lengths.append(len(found) // 4)
-                size_ += len(found) // 4
+                lengths.append(len(found))
+                size_ += len(found)
                 if size_ >= block:
                     yield made()
                     number, before, held, ids, lengths, size_ = number + 1, before + size_, [], [], [], 0
@@ -171,7 +207,7 @@ def write(docs: DataFrame, vocabulary: str, size: int, end_id: int, path: str, b
         + [(n, pa.binary()) for n in ("words", "states", "checkpoints")]
         + [("checksum", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))]
     )
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = tokens.filter("ids IS NOT NULL").select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(code, BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
     spark.range(1).select(F.lit(freq.astype("<u4").tobytes()).alias("freq")).write.parquet(f"{path}/table")
 
