@@ -11,6 +11,7 @@ from tracemill.operators.intervals import bin_rows, containing_bins, epochize, i
 from tracemill.functions.nulls import join_on
 from tracemill.operators.scan import running, value_blocks
 from tracemill.operators.signal import coarse_grain
+from tracemill.session import cut_lineage
 
 KEYS = ("patient_num",)
 ROOT_EPSILON = 2.0**-26  # square root of double precision
@@ -64,10 +65,11 @@ def seizure_targets(
     The last epoch is never a non-target, since the bins of an interval that starts
     there are empty.
     """
-    epochs = coarse_grain(signal, snippets_per_epoch(epoch_s, snippet_s), F.max, keys)
+    # one row per epoch, read by five branches below: written once instead of planned five times
+    epochs = cut_lineage(coarse_grain(signal, snippets_per_epoch(epoch_s, snippet_s), F.max, keys))
     grid = epoch_grid(epochs, recordings, epoch_s, keys)
     epochs = epochs.filter(F.col("value").isNotNull())
-    truth = epochize(seizures, grid, epoch_s, keys)
+    truth = cut_lineage(epochize(seizures, grid, epoch_s, keys))
     rest = invert(truth, grid, keys)
     hits = join_on(_epochs_of(truth, grid, epoch_s, keys), epochs, [*keys, "bin"])
     targets = hits.groupBy(*keys, "on_s").agg(F.max("value").alias("score"))
@@ -103,7 +105,7 @@ def score_counts(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     counted = scores.groupBy(*keys, "score").agg(
         F.count_if("is_target").alias("n_tar"), F.count_if(~F.col("is_target")).alias("n_non")
     )
-    return counts_below(counted, keys)
+    return counts_below(cut_lineage(counted), keys)
 
 
 def _with_totals(counts: DataFrame, keys: Sequence[str]) -> DataFrame:

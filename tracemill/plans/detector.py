@@ -11,6 +11,7 @@ from tracemill.operators import detection, intervals, statistics
 from tracemill.operators.rolling import rolling
 from tracemill.operators.signal import drop_channels, mark_covered, poison_blocks
 from tracemill.operators.standardize import reduce_channels, standardize
+from tracemill.session import cut_lineage
 
 KEYS = ("patient_num",)
 
@@ -102,6 +103,7 @@ def sensitivity(
     scores = detection.seizure_targets(
         traces.withColumn("min_reviewers_per_seizure", level), for_each_setting(found), outlines, epoch_s, snippet_s, keys
     )
+    scores = cut_lineage(scores)
     best = scores.filter("is_target").groupBy(*keys).agg(F.max("score").alias("score"), F.lit(True).alias("is_target"))
     by_seizure = scores.withColumn("target", F.lit("seizure"))
     by_patient = best.unionByName(scores.filter(~F.col("is_target"))).withColumn("target", F.lit("patient"))
@@ -165,11 +167,8 @@ def epoch_samples(
         F.col("start_s").cast("double"),
         (F.col("start_s") + F.col("duration_s") - snippet_s).alias("stop_s"),
     )
-    busy = intervals.merge_sets(
-        intervals.epoch_pieces(seizures, ends, epoch_s, keys),
-        intervals.epoch_pieces(artifacts, ends, epoch_s, keys),
-        keys,
-    )
+    pieces = (intervals.epoch_pieces(seizures, ends, epoch_s, keys), intervals.epoch_pieces(artifacts, ends, epoch_s, keys))
+    busy = cut_lineage(intervals.merge_sets(*pieces, keys))
     whole = recordings.select(*keys, F.lit(0.0).alias("start_s"), F.col("duration_s").alias("stop_s"))
     seizing = seizures.select(*keys).distinct()
     free = intervals.invert(busy, whole.join(seizing, list(keys), "left_semi"), keys)
@@ -180,7 +179,7 @@ def epoch_samples(
     used = marked.filter(F.col("_control") | F.col("is_seizure")).drop("t")
     # a sample in both stretches would belong to both sides
     both = used.filter(F.col("_control") & F.col("is_seizure")).withColumn("is_seizure", F.lit(False))
-    samples = used.unionByName(both).drop("_control").filter(F.col("value").isNotNull())
+    samples = cut_lineage(used.unionByName(both).drop("_control").filter(F.col("value").isNotNull()))
     channels = signal.groupBy(*keys).agg(F.count_distinct("channel").alias("_channels"))
     support = samples.groupBy(*keys).agg(
         F.count_if("is_seizure").alias("_present"), F.count_if(~F.col("is_seizure")).alias("_controls")
