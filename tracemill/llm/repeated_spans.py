@@ -30,7 +30,7 @@ from tracemill.llm.common import utf8
 from tracemill.llm.run_index import RunIndex
 
 GRAM = 20
-FLUSH = 8 << 20
+FLUSH = 4 << 20
 FULL, FINE, CROWDED = 1, 2, 3
 PACKED = "key int, kind int, a binary, b binary, c binary, d binary, e binary"
 _U = np.uint64
@@ -141,9 +141,11 @@ def _first_pass(docs: DataFrame, span: int, buckets: int, crowd: int) -> DataFra
         crowded = many[group] & ~full
         sent = ~full & ~crowded & first
         key = lambda h: (_mix(h.view(_U)) % _U(buckets)).astype(np.int64)
-        rows = _by_key(key(ha[sent]), 0, ha[sent], hc[sent], doc[sent])
+        # in its bucket 32 bits tell an anchor well enough: more contexts met can't change a result
+        short = lambda h: (_mix(h.view(_U)) >> _U(32)).astype("<u4")
+        rows = _by_key(key(ha[sent]), 0, short(ha[sent]), hc[sent], doc[sent])
         lead = crowded & _starts(ha)
-        rows += _by_key(key(ha[lead]), 1, ha[lead])
+        rows += _by_key(key(ha[lead]), 1, short(ha[lead]))
         told = full | crowded
         state = np.where(full, FULL, CROWDED).astype(np.int8)[told]
         return rows + _by_key(_of_doc(doc[told], buckets), 2, hc[told], doc[told], state)
@@ -160,7 +162,7 @@ def _replies(first: DataFrame, crowd: int) -> DataFrame:
     """(doc_id, _known): context hashes of a document with what becomes of them."""
 
     def decide(table: pa.Table) -> pa.Table:
-        ha, hc, doc = (_numbers(table, 0, c) for c in "abc")
+        ha, hc, doc = _numbers(table, 0, "a", "<u4"), _numbers(table, 0, "b"), _numbers(table, 0, "c")
         order = np.lexsort((doc, hc, ha))
         ha, hc, doc = ha[order], hc[order], doc[order]
         group_at, class_at = _starts(ha), _starts(ha, hc)
@@ -169,7 +171,7 @@ def _replies(first: DataFrame, crowd: int) -> DataFrame:
         classes = np.bincount(group[class_at]) if len(doc) else np.zeros(0, np.int64)
         at = np.flatnonzero(group_at)
         several = np.maximum.reduceat(doc, at) > np.minimum.reduceat(doc, at) if len(at) else np.zeros(0, bool)
-        marked = np.isin(ha[at], _numbers(table, 1, "a"))
+        marked = np.isin(ha[at], _numbers(table, 1, "a", "<u4"))
         fate = np.where(marked | (classes > crowd), CROWDED, np.where((classes > 1) & several, FINE, 0))
         state = np.where(full, FULL, fate[group]).astype(np.int8) if len(doc) else np.zeros(0, np.int8)
         keep = state > 0
@@ -297,14 +299,8 @@ def _removed(raw: bytes, marks: list[bytes] | None) -> tuple[bytes, list[tuple[i
     return b"".join(kept), runs
 
 
-def cleaned(docs: DataFrame, span: int = 50, crowd: int = 4096, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """All columns of `docs`, with `_kept` (binary, what is left of the text's UTF-8 bytes) and
-    `_runs` (array of begin and end of the removed runs).
-
-    A byte goes if a string of `span` bytes that covers it also starts in a document with a
-    smaller doc_id. A null text counts as an empty one. Rows with a null doc_id keep all and
-    take nothing from others; rows that share a doc_id are judged against smaller ids only.
-    """
+def _marked(docs: DataFrame, span: int, crowd: int, bucket_bytes: int) -> DataFrame:
+    """`docs` with `_marks`, what is to be removed from each text."""
     if span < GRAM + 2:
         raise ValueError(f"span must be {GRAM + 2} or more")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -313,38 +309,53 @@ def cleaned(docs: DataFrame, span: int = 50, crowd: int = 4096, bucket_bytes: in
     replies = _replies(_first_pass(plain, span, buckets, crowd), crowd)
     # the same columns, unfiltered, as in the join below: Spark shuffles the texts once for both
     second = _second_pass(docs.join(replies, "doc_id", "left"), span, 4 * buckets)
-    marked = docs.join(_marks(second, span), "doc_id", "left")
-    place = docs.columns.index("text")
-    names = docs.columns
+    return docs.join(_marks(second, span), "doc_id", "left").select(*docs.columns, "_marks")
+
+
+def _slices(batches, size: int = 512):
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
+def cleaned(docs: DataFrame, span: int = 50, crowd: int = 4096, bucket_bytes: int = 4 << 20) -> DataFrame:
+    """All columns of `docs`, with `_kept` (binary, what is left of the text's UTF-8 bytes) and
+    `_runs` (array of begin and end of the removed runs).
+
+    A byte goes if a string of `span` bytes that covers it also starts in a document with a
+    smaller doc_id. A null text counts as an empty one. Rows with a null doc_id keep all and
+    take nothing from others; rows that share a doc_id are judged against smaller ids only.
+    """
+    names, place = docs.columns, docs.columns.index("text")
+    pairs = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                made = [_removed(raw, m) for raw, m in zip(utf8(batch.column(place)), batch.column(len(names)).to_pylist(), strict=True)]
-                runs = pa.array([[{"begin": a, "end": b} for a, b in r] for _, r in made], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
-                columns = [batch.column(i) for i in range(len(names))] + [pa.array([k for k, _ in made], pa.binary()), runs]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "_kept", "_runs"])
+        for batch in _slices(batches):
+            marks = batch.column(len(names)).to_pylist()
+            made = [_removed(raw, m) for raw, m in zip(utf8(batch.column(place)), marks, strict=True)]
+            runs = pa.array([[{"begin": a, "end": b} for a, b in r] for _, r in made], pairs)
+            columns = [batch.column(i) for i in range(len(names))] + [pa.array([k for k, _ in made], pa.binary()), runs]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "_kept", "_runs"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return marked.select(*names, "_marks").mapInArrow(cut, f"{fields}, _kept binary, _runs array<struct<begin: long, end: long>>")
+    schema = f"{fields}, _kept binary, _runs array<struct<begin: long, end: long>>"
+    return _marked(docs, span, crowd, bucket_bytes).mapInArrow(cut, schema)
 
 
-def without_repeats(docs: DataFrame, span: int = 50, **options) -> DataFrame:
-    """`docs` with texts cut by `cleaned`; bytes of a character that was cut through go too.
+def without_repeats(docs: DataFrame, span: int = 50, crowd: int = 4096, bucket_bytes: int = 4 << 20) -> DataFrame:
+    """`docs` with texts cut as by `cleaned`; bytes of a character that was cut through go too.
 
     A document of which nothing is left but had text goes; a null text stays null.
     """
-    found = cleaned(docs, span, **options)
     names, place = docs.columns, docs.columns.index("text")
 
-    def valid(batches):
-        for batch in batches:
-            texts, left = batch.column(place).to_pylist(), batch.column(len(names)).to_pylist()
-            kept = [None if t is None else k.decode(errors="ignore") for t, k in zip(texts, left, strict=True)]
-            fine = [not t or bool(k) for t, k in zip(texts, kept, strict=True)]
+    def cut(batches):
+        for batch in _slices(batches):
+            texts, marks = batch.column(place), batch.column(len(names)).to_pylist()
+            kept = [_removed(raw, m)[0].decode(errors="ignore") for raw, m in zip(utf8(texts), marks, strict=True)]
+            fine = [bool(k) or not t.as_py() for t, k in zip(texts, kept, strict=True)]
             columns = [batch.column(i) for i in range(len(names))]
-            columns[place] = pa.array(kept, pa.string())
+            columns[place] = pa.array([k if t.is_valid else None for t, k in zip(texts, kept, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(fine, pa.bool_()))
 
-    return found.mapInArrow(valid, docs.schema)
+    return _marked(docs, span, crowd, bucket_bytes).mapInArrow(cut, docs.schema)

@@ -62,7 +62,7 @@ class PieceEncoder(dict):
     Two generations of about `limit` pieces each are remembered at most.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 150_000):
         super().__init__()
         self.tokenizer, self.limit = tokenizer(path), limit
         self.merge = self.tokenizer.model.tokenize
