@@ -22,7 +22,7 @@ from tracemill.llm.links import components, roots, tiled
 from tracemill.session import cut_lineage
 
 SEED = 42
-STRIPE = 512
+STRIPE = 128
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
@@ -155,7 +155,9 @@ def groups(prints: DataFrame, n_words: int, radius: int, similarity: float | Non
     classes = cut_lineage(
         held.groupBy("node", *names).agg(F.min(key).alias("_first"), F.max("shingles").alias("shingles")).withColumn("_cell", cell)
     )
-    found = components(links(classes, n_words, radius, "_cell", reach))
+    # cells of sizes are few and full: larger tiles repeat fewer rows
+    block = 16_384 if similarity else 4096
+    found = components(links(classes, n_words, radius, "_cell", reach, block))
     rooted = classes.join(found, "node", "left").select("node", "_first", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
     named = cut_lineage(rooted.join(smallest, "root").select("node", "component_id"))
