@@ -5,21 +5,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.session import cut_lineage
 
 
-def tiled(rows: DataFrame, cell: str, reach: Sequence[int], block: int, spread_by: Sequence[str]) -> DataFrame:
+def tiled(
+    rows: DataFrame, cell: str, reach: Sequence[int], block: int, spread_by: Sequence[str], weight: Column | None = None
+) -> DataFrame:
     """Deal `rows` out so that every two rows of cells `reach` apart meet in one tile.
 
     `cell` is a long column; `reach` holds the differences of cells that must meet, 0 and
     negatives of all included. A cell with more than `block` rows is cut into units by a hash
     of `spread_by`; a tile is a pair of units, so it holds about two blocks at most, however
-    large a cell is. Adds `tile` (long) and `side` (0, 1, or 2 where both units are the same).
+    large a cell is. With `weight`, blocks are measured by its sum instead of by rows. Adds `tile` (long) and `side` (0, 1, or 2 where both units are the same).
     """
-    sized = rows.groupBy(cell).agg(F.ceil(F.count("*") / block).alias("_units"))
+    sized = rows.groupBy(cell).agg(F.ceil((F.count("*") if weight is None else F.sum(weight)) / block).alias("_units"))
     held = rows.join(sized, cell).withColumn("_unit", F.pmod(F.xxhash64(*spread_by), F.col("_units")))
     units = sized.select(F.col(cell).alias("_c"), F.explode(F.sequence(F.lit(0), F.col("_units") - 1)).alias("_u"))
     near = units.withColumn("_d", F.explode(F.array(*(F.lit(int(r)).cast("long") for r in reach))))

@@ -5,6 +5,9 @@ one class; classes are dealt into tiles by the population counts of their halves
 tiles whose counts differ by no more than the radius are made at all. Within a tile rows are
 sorted by population count, so that stripes beyond the radius are skipped as well; the rest
 is compared with exclusive-or and bit counts. A tile returns a forest, never its pairs.
+
+The pipeline only takes these links (of a wider radius) as candidates: documents that they
+bring together are compared by their sets of shingles.
 """
 
 from __future__ import annotations
@@ -23,6 +26,10 @@ from tracemill.session import cut_lineage
 
 SEED = 42
 STRIPE = 128
+#: Sets of so many shingles or fewer are too small for a majority of bits to say much.
+SHORT = 128
+#: Shingles of a block of documents that are compared exactly, with a charge for each document.
+BLOCK, CHARGE = 1 << 20, 256
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
@@ -61,23 +68,19 @@ def majority(h: np.ndarray, even: bool = False) -> int:
     return int.from_bytes(np.packbits(twice > len(h)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, words: int = 3, n_words: int = 1, distinct: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 3, n_words: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, shingles, w0, w1, ...): `n_words` times 64 bits as longs, one row per row of `docs`.
 
     Fewer words than a shingle make one shingle of all; no words (or a null) make zero bits.
-    `distinct` counts every different shingle once, and lets the shingle with the least hash
-    settle ties, so that short texts too have as many ones as zeros.
     """
 
     def make(batch: pa.RecordBatch) -> dict:
         sizes, out = [], [[] for _ in range(n_words)]
         for raw in utf8(batch.column(1)):
             h = shingle_hashes(raw, words)
-            if distinct:
-                h = np.unique(h)
             sizes.append(len(h))
             for i, column in enumerate(out):
-                column.append(majority(_mixed(h, i), distinct))
+                column.append(majority(_mixed(h, i)))
         found = {key: batch.column(0), "shingles": pa.array(sizes, pa.int64())}
         return found | {f"w{i}": pa.array(c, pa.int64()) for i, c in enumerate(out)}
 
@@ -86,6 +89,39 @@ def fingerprints(docs: DataFrame, words: int = 3, n_words: int = 1, distinct: bo
     return map_batches(docs.select(key, text), make, f"`{key}` {kind}, shingles long{columns}")
 
 
+def _node(shingles: np.ndarray) -> int:
+    """The 64-bit hash of a set of shingle hashes (sorted)."""
+    digest = xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes(), SEED)
+    return digest - (1 << 64) if digest >> 63 else digest
+
+
+def sketches(docs: DataFrame, words: int, n_words: int, similarity: float, key: str, text: str) -> DataFrame:
+    """(key, node, shingles, heads, w0, w1, ...) of the sets of shingles, one row per row of `docs`.
+
+    The shingle with the least hash settles ties of bits. `heads` are the least hashes of a
+    set of SHORT shingles or fewer, as many as have one in common in any two sets that are as
+    similar; longer sets have none.
+    """
+
+    def make(batch: pa.RecordBatch) -> dict:
+        nodes, sizes, heads, out = [], [], [], [[] for _ in range(n_words)]
+        for raw in utf8(batch.column(1)):
+            h = np.unique(shingle_hashes(raw, words))
+            nodes.append(_node(h))
+            sizes.append(len(h))
+            first = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if 0 < len(h) <= SHORT else 0
+            heads.append(h[:first].view(np.int64))
+            for i, column in enumerate(out):
+                column.append(majority(_mixed(h, i), True))
+        found = {key: batch.column(0), "node": pa.array(nodes, pa.int64()), "shingles": pa.array(sizes, pa.int64())}
+        found["heads"] = pa.array(heads, pa.list_(pa.int64()))
+        return found | {f"w{i}": pa.array(c, pa.int64()) for i, c in enumerate(out)}
+
+    kind = docs.schema[key].dataType.simpleString()
+    columns = "".join(f", w{i} long" for i in range(n_words))
+    return map_batches(docs.select(key, text), make, f"`{key}` {kind}, node long, shingles long, heads array<long>{columns}")
+
+
 def _near(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of `left` and `right` (words by rows) that differ in `radius` bits or fewer."""
     count = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
@@ -142,23 +178,22 @@ def by_size(similarity: float) -> tuple[F.Column, list[int]]:
     return step.cast("long"), [-1, 0, 1]
 
 
-def groups(prints: DataFrame, n_words: int, radius: int, similarity: float | None = None, key: str = "doc_id") -> DataFrame:
+def groups(prints: DataFrame, n_words: int, radius: int, key: str = "doc_id") -> DataFrame:
     """`prints` with component_id, the smallest key reachable by links of `radius` bits or fewer.
 
-    With `similarity`, only fingerprints of documents whose sizes allow it are linked. Equal
-    fingerprints are always linked. Null keys never become a component's id.
+    Equal fingerprints are always linked. Null keys never become a component's id.
     """
     names = [f"w{i}" for i in range(n_words)]
-    cell, reach = by_size(similarity) if similarity else by_population(radius)
+    cell, reach = by_population(radius)
     node = F.xxhash64(*names) if n_words > 1 else F.col("w0")
     held = cut_lineage(prints.withColumns({"node": node}))
-    classes = cut_lineage(
-        held.groupBy("node", *names).agg(F.min(key).alias("_first"), F.max("shingles").alias("shingles")).withColumn("_cell", cell)
-    )
-    # cells of sizes are few and full: larger tiles repeat fewer rows
-    block = 16_384 if similarity else 4096
-    found = components(links(classes, n_words, radius, "_cell", reach, block))
-    rooted = classes.join(found, "node", "left").select("node", "_first", F.coalesce("root", "node").alias("root"))
+    classes = cut_lineage(held.groupBy("node", *names).agg(F.min(key).alias("_first")).withColumn("_cell", cell))
+    return _named(held, classes, links(classes, n_words, radius, "_cell", reach), key)
+
+
+def _named(held: DataFrame, classes: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """`held` with component_id: the smallest `_first` of the classes that `found` joins."""
+    rooted = classes.join(components(found), "node", "left").select("node", "_first", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
     named = cut_lineage(rooted.join(smallest, "root").select("node", "component_id"))
     return held.join(named, "node").drop("node")
@@ -171,20 +206,98 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, key: str =
     return groups(prints, 1, radius, key=key).select(key, digits, "component_id")
 
 
+def candidates(classes: DataFrame, n_words: int, similarity: float) -> DataFrame:
+    """(node, root): classes that may be as similar as `similarity`, or reach such ones.
+
+    Long sets meet by fingerprints, in tiles of fitting sizes; short ones by their heads.
+    """
+    cell, reach = by_size(similarity)
+    # cells of sizes are few and full: larger tiles repeat fewer rows
+    long = classes.filter(F.col("shingles") >= int(SHORT * similarity)).withColumn("_cell", cell)
+    near = links(long, n_words, bits_for(similarity, 64 * n_words), "_cell", reach, 16_384)
+    heads = classes.select("node", F.explode("heads").alias("head"))
+    least = heads.groupBy("head").agg(F.min("node").alias("b"), F.max("node").alias("_last")).filter("b < _last")
+    shared = heads.join(least, "head").filter("node <> b").select(F.col("node").alias("a"), "b")
+    found = components(near.union(shared))
+    return cut_lineage(found.union(found.select("root", "root").distinct()))
+
+
+def similar_sets(tile: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of a tile (side, ids: sorted hashes as bytes) that join all similar pairs.
+
+    Every pair of fitting sizes that isn't joined yet is compared exactly.
+    """
+    sets = [np.frombuffer(b.as_py(), np.int64) for b in tile["ids"]]
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    side = tile["side"].to_numpy()[order]
+    sets = [sets[i] for i in order]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum(sizes) - sizes
+    mark, label = np.zeros(len(known), bool), np.arange(len(sets))
+    found = [], []
+    for i in range(len(sets)):
+        # pairs are met from their smaller set, so that a larger one need only look ahead
+        last = np.searchsorted(sizes, sizes[i] / similarity + 1, "right")
+        j = np.arange(i + 1, last)
+        j = j[(label[j] != label[i]) & ((side[j] == 2) | (side[j] != side[i]))]
+        if not len(j):
+            continue
+        mark[ids[start[i] : start[i] + sizes[i]]] = True
+        ends = np.cumsum(sizes[j])
+        at = np.arange(ends[-1]) + np.repeat(start[j] - ends + sizes[j], sizes[j])
+        both = np.add.reduceat(mark[ids[at]], ends - sizes[j], dtype=np.int64)
+        mark[ids[start[i] : start[i] + sizes[i]]] = False
+        for k in j[both / (sizes[i] + sizes[j] - both) >= similarity]:
+            if label[k] != label[i]:
+                label[label == label[k]] = label[i]
+                found[0].append(order[i])
+                found[1].append(order[k])
+    return np.array(found[0], np.int64), np.array(found[1], np.int64)
+
+
+def exact_links(docs: DataFrame, classes: DataFrame, near: DataFrame, words: int, similarity: float, key: str, text: str) -> DataFrame:
+    """Links (a, b) that join the same classes as all pairs of `near` that are similar indeed.
+
+    Sets are made anew from the texts of one key per class, and dealt out in blocks.
+    """
+
+    def make(batch: pa.RecordBatch) -> dict:
+        sets = [np.unique(shingle_hashes(raw, words)) for raw in utf8(batch.column(0))]
+        return {"node": pa.array([_node(h) for h in sets], pa.int64()), "ids": pa.array([h.tobytes() for h in sets], pa.binary())}
+
+    def verify(tile: pa.Table) -> pa.Table:
+        nodes = tile["node"].to_numpy()
+        a, b = similar_sets(tile, similarity)
+        return pa.table({"a": nodes[a], "b": nodes[b]})
+
+    members = cut_lineage(near.join(classes.select("node", "shingles", "_first"), "node"))
+    keys = members.filter(F.col("_first").isNotNull()).select(F.col("_first").alias(key)).distinct()
+    texts = docs.select(key, text)
+    chosen = texts.join(keys, key, "left_semi").union(texts.filter(F.col(key).isNull())).select(text)
+    sets = map_batches(chosen, make, "node long, ids binary").dropDuplicates(["node"])
+    dealt = tiled(members.select("node", "root", "shingles"), "root", [0], BLOCK, ["node"], F.col("shingles") + CHARGE)
+    return dealt.select("tile", "side", "node").join(sets, "node").groupBy("tile").applyInArrow(verify, "a long, b long")
+
+
 def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, n_words: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` without all but the smallest key of every group of near-duplicates.
 
-    Two documents are linked if the angle that their fingerprints estimate is that of two
-    sets with a Jaccard similarity of `similarity` (equal sizes) or more. Rows with the same
-    key are one document and share its fate; rows with a null key stay.
+    Two documents are linked if the Jaccard similarity of their sets of shingles (as 64-bit
+    hashes) is `similarity` or more; fingerprints only say which ones are compared. Rows with
+    the same key are one document and share its fate; rows with a null key stay.
     """
-    prints = fingerprints(docs, words, n_words, distinct=True, key=key, text=text)
-    grouped = groups(prints, n_words, bits_for(similarity, 64 * n_words), similarity, key)
+    names = [f"w{i}" for i in range(n_words)]
+    prints = cut_lineage(sketches(docs, words, n_words, similarity, key, text))
+    classes = cut_lineage(prints.groupBy("node", "shingles", "heads", *names).agg(F.min(key).alias("_first")))
+    near = candidates(classes, n_words, similarity)
+    linked = exact_links(docs, classes, near, words, similarity, key, text)
+    grouped = _named(prints.select(key, "node"), classes, linked, key)
     gone = grouped.filter(F.col(key) != F.col("component_id")).select(key).distinct()
     return docs.join(gone, key, "left_anti")
 
 
 def bits_for(similarity: float, bits: int) -> int:
-    """Differing bits expected at a similarity, and one standard deviation more."""
+    """Differing bits expected at a similarity (of equal sizes), and five standard deviations more."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.floor(bits * share + np.sqrt(bits * share * (1 - share))))
+    return int(np.floor(bits * share + 5 * np.sqrt(bits * share * (1 - share))))
