@@ -1,7 +1,8 @@
-"""Near-duplicates of the pipeline: exact similarity on both sides of the limit."""
+"""Near-duplicates of the pipeline: exact similarity on both sides of the limit, bounded tiles."""
 
 from __future__ import annotations
 
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -63,6 +64,31 @@ def test_blocks_of_one_large_group(spark, monkeypatch, block):
     assert {r.doc_id for r in simhash_tiles.representatives(docs).collect()} == set(label.values())
 
 
+def test_tiles_hold_the_pairs_of_one_stripe():
+    rng = np.random.default_rng(13)
+    rows = np.repeat(rng.integers(0, 2**64, (1, 4), dtype=np.uint64), 6000, axis=0)
+    rows[:, 0] ^= np.uint64(1) << rng.integers(0, 64, 6000, dtype=np.uint64)
+    rows[-1] = ~rows[-1]
+    both = np.arange(len(rows))
+    tracemalloc.start()
+    root = simhash_tiles._forest(rows, both, both, 44)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert root.tolist() == [0] * 5999 + [5999]
+    assert peak < 100e6  # 36 million pairs would take 576 MB
+    apart = simhash_tiles._forest(rows, both[:3000], both[3000:], 44)
+    assert apart.tolist() == root.tolist()
+
+
+def test_roots_in_parts():
+    rng = np.random.default_rng(14)
+    a, b = rng.integers(0, 300, (2, 260))
+    parent = None
+    for at in range(0, 260, 20):
+        parent = links.roots(300, a[at : at + 20], b[at : at + 20], parent)
+    assert parent.tolist() == links.roots(300, a, b).tolist()
+
+
 def test_similar_sets_of_a_tile():
     sets = [np.arange(s, s + 10, dtype=np.int64) for s in (0, 1, 2, 40)]
     tile = pa.table({"side": [0, 1, 0, 1], "ids": [x.tobytes() for x in sets]})

@@ -39,15 +39,19 @@ def tiled(
     return held.join(sides, [cell, "_unit"]).drop("_unit", "_units")
 
 
-def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index joined to each of 0..n-1 by the links a[i]-b[i]."""
-    parent = np.arange(n)
+def roots(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray | None = None) -> np.ndarray:
+    """The smallest index joined to each of 0..n-1 by the links a[i]-b[i].
+
+    `parent`, the result of other links, is taken up and changed, so links can come in parts.
+    """
+    parent = np.arange(n) if parent is None else parent
     while True:
         pa, pb = parent[a], parent[b]
-        low, high = np.minimum(pa, pb), np.maximum(pa, pb)
-        if (low == high).all():
+        apart = pa != pb
+        if not apart.any():
             return parent
-        np.minimum.at(parent, high, low)
+        a, b, pa, pb = a[apart], b[apart], pa[apart], pb[apart]
+        np.minimum.at(parent, np.maximum(pa, pb), np.minimum(pa, pb))
         while (parent[parent] != parent).any():
             parent = parent[parent]
 

@@ -122,26 +122,35 @@ def sketches(docs: DataFrame, words: int, n_words: int, similarity: float, key:
     return map_batches(docs.select(key, text), make, f"`{key}` {kind}, node long, shingles long, heads array<long>{columns}")
 
 
-def _near(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of `left` and `right` (words by rows) that differ in `radius` bits or fewer."""
-    count = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
-    pl, pr = count(left), count(right)
-    ol, ok = np.argsort(pl, kind="stable"), np.argsort(pr, kind="stable")
-    sl, sr, pl, pr = left[ol], right[ok], pl[ol], pr[ok]
-    found = [], []
-    for at in range(0, len(sl), STRIPE):
-        rows = sl[at : at + STRIPE]
-        last = min(at + STRIPE, len(sl)) - 1
+def _forest(rows: np.ndarray, one: np.ndarray, two: np.ndarray, radius: int) -> np.ndarray:
+    """The smallest row joined to each of `rows` by links between `one` and `two` (indices).
+
+    Links are pairs that differ in `radius` bits or fewer; those of one stripe are folded
+    into the forest before the next stripe is looked at. If `one` and `two` are the same, every
+    pair is looked at once.
+    """
+    count = np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
+    same = np.array_equal(one, two)
+    one, two = (x[np.argsort(count[x], kind="stable")] for x in (one, two))
+    pl, pr, sr = count[one], count[two], rows[two]
+    parent = np.arange(len(rows))
+    for at in range(0, len(one), STRIPE):
+        stripe = rows[one[at : at + STRIPE]]
+        last = min(at + STRIPE, len(one)) - 1
         lo, hi = np.searchsorted(pr, pl[at] - radius), np.searchsorted(pr, pl[last] + radius, "right")
-        if lo == hi:
+        if same:
+            lo = max(lo, at)
+        if lo >= hi:
             continue
-        differ = np.bitwise_count(rows[:, 0, None] ^ sr[None, lo:hi, 0])
-        for w in range(1, rows.shape[1]):
-            differ = differ + np.bitwise_count(rows[:, w, None] ^ sr[None, lo:hi, w]).astype(np.uint16)
+        differ = np.bitwise_count(stripe[:, 0, None] ^ sr[None, lo:hi, 0])
+        for w in range(1, stripe.shape[1]):
+            differ = differ + np.bitwise_count(stripe[:, w, None] ^ sr[None, lo:hi, w]).astype(np.uint16)
         i, j = np.nonzero(differ <= radius)
-        found[0].append(ol[at + i])
-        found[1].append(ok[lo + j])
-    return tuple(np.concatenate(f) if f else np.empty(0, np.int64) for f in found)
+        if same:
+            later = lo + j > at + i
+            i, j = i[later], j[later]
+        parent = roots(len(rows), one[at + i], two[lo + j], parent)
+    return parent
 
 
 def links(classes: DataFrame, n_words: int, radius: int, cell: str, reach: Sequence[int], block: int = 4096) -> DataFrame:
@@ -153,8 +162,7 @@ def links(classes: DataFrame, n_words: int, radius: int, cell: str, reach: Seque
         rows = np.stack([tile[n].to_numpy() for n in names], axis=1).view(np.uint64)
         side = tile["side"].to_numpy()
         one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        i, j = _near(rows[one], rows[two], radius)
-        root = roots(len(nodes), one[i], two[j])
+        root = _forest(rows, one, two, radius)
         joined = np.flatnonzero(root != np.arange(len(nodes)))
         return pa.table({"a": nodes[joined], "b": nodes[root[joined]]})
 
