@@ -10,10 +10,13 @@ from tracemill.llm import (
     exact_topk,
     host_reputation,
     html_trees,
+    lookup_clusters,
     packing,
     repeated_spans,
     rotation_codes,
     simhash_tiles,
+    source_schedule,
+    spelling_bits,
     toxicity,
 )
 from tracemill.llm.common import table
@@ -133,6 +136,74 @@ FROM scores QUALIFY rank <= 5
 """
 
 
+_ASSIGN = """
+near{r} AS (
+    SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(d := d, c := c)) AS b
+    FROM (SELECT k.rid, k.vec_id, k.v, c.c, list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) ** 2)) AS d
+          FROM kept k CROSS JOIN centre{r} c) GROUP BY rid
+),"""
+_MOVE = """
+moved{r} AS (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v
+    FROM (SELECT b.c AS c, i, sum(v[i]) AS s, count(*) AS n FROM near{r}, range(1, 65) p(i) GROUP BY ALL) GROUP BY c
+),
+centre{s} AS (SELECT o.c, coalesce(m.v, o.v) AS v FROM centre{r} o LEFT JOIN moved{r} m ON o.c = m.c),"""
+
+ORACLES["op11_lookup_clusters"] = (
+    """
+WITH kept AS (
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE len(embedding) = 64
+      AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x) AND abs(64 * CAST(x AS DOUBLE)) < 134217728)) = 64
+),
+centre0 AS (
+    SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS INTEGER) AS c, v
+    FROM kept WHERE vec_id IS NOT NULL QUALIFY c < 16
+),"""
+    + "".join(_ASSIGN.format(r=r) + _MOVE.format(r=r, s=r + 1) for r in range(3))
+    + _ASSIGN.format(r=3)
+    + """
+found AS (SELECT vec_id, b.c AS cluster, CAST(b.d AS BIGINT) AS distance FROM near3)
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(v, ',')) AS centroid_sha256
+FROM found JOIN centre3 ON c = cluster
+"""
+)
+
+ORACLES["op12_source_schedule"] = r"""
+WITH sized AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size FROM documents
+),
+copies AS (SELECT *, row_number() OVER (PARTITION BY source, doc_id, size) - 1 AS copy FROM sized),
+sources AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS s, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
+    FROM sized GROUP BY source
+),
+ordered AS (
+    SELECT *, coalesce(sum(3 * s) OVER o, 0) AS caps, coalesce(sum(w) OVER o, 0) AS weights, sum(s) OVER () AS whole, sum(w) OVER () AS weight
+    FROM sources
+    WINDOW o AS (ORDER BY 3 * s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+capped AS (SELECT *, 3 * s * (weight - weights) <= (whole - caps) * w AS at_cap FROM ordered),
+targets AS (
+    SELECT source, s, CASE WHEN at_cap THEN CAST(3 * s AS DOUBLE) ELSE
+        CAST((whole - coalesce(sum(CASE WHEN at_cap THEN 3 * s END) OVER (), 0)) * w AS DOUBLE)
+        / CAST(weight - coalesce(sum(CASE WHEN at_cap THEN w END) OVER (), 0) AS DOUBLE) END AS target
+    FROM capped
+),
+placed AS (
+    SELECT c.*, t.s, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS words,
+           CAST(sum(size) OVER (PARTITION BY c.source ORDER BY
+               md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), 'null'), CAST(size AS VARCHAR), CAST(copy AS VARCHAR)))
+               ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
+    FROM copies c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, s AS source_size, target, source, copy, CASE WHEN s = 0 THEN 0 ELSE
+    words // s * size + greatest(least(upto, words % s) - (upto - size), 0) END AS taken
+FROM placed
+"""
+
+
 @query
 def op1_rotation_codes(spark, sf_dir):
     return rotation_codes.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -208,3 +279,18 @@ def op9_ans_files(spark, sf_dir):
 @query
 def op10_simhash_tiles(spark, sf_dir):
     return simhash_tiles.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_lookup_clusters(spark, sf_dir):
+    return lookup_clusters.clusters_with_inertia(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_source_schedule(spark, sf_dir):
+    return source_schedule.taken(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_spelling_bits(spark, sf_dir):
+    return spelling_bits.variants(table(spark, sf_dir, "documents"))
