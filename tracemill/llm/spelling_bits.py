@@ -8,8 +8,8 @@ bits go by falling count of the words, so the first bit of an answer is the best
 
 The vocabulary is dealt out so that an index is of bounded size: words that are one error apart
 agree in the first or in the last half of the shorter one, so words of about one length meet in
-tiles of either half. A pair that agrees in both is counted in the tile of the first half: the
-words without an error up to the half's end are known from the recurrence.
+tiles of either half. A pair that agrees in the first half counts only in its tile: the words
+without an error up to the half's end are known from the recurrence.
 """
 
 from __future__ import annotations
@@ -99,7 +99,7 @@ def one_error(
     """Bitsets of the index's words one replaced letter, and one more letter, from each query.
 
     `queries` are letters of words of `length`, `index` those of words of `length` or one more.
-    With `from_front` false, words that agree in the first `half` letters are left out.
+    Only words that agree in the first `half` letters count with `from_front`, else only others.
     """
     shape = (len(queries), -(-len(index) // 8))
     full = np.packbits(np.ones(len(index), bool))
@@ -121,9 +121,8 @@ def one_error(
     ended = here[LETTERS]
     replaced = replaced & ended & ~exact
     longer = longer & ~ended & full
-    if not from_front:
-        replaced, longer = replaced & ~agree, longer & ~agree
-    return replaced, longer
+    wanted = agree if from_front else ~agree
+    return replaced & wanted, longer & wanted
 
 
 def _pairs(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
