@@ -105,7 +105,7 @@ def one_error(
     full = np.packbits(np.ones(len(index), bool))
     exact = np.broadcast_to(full, shape).copy()
     replaced, longer = np.zeros(shape, np.uint8), exact.copy()
-    here, agree = _slice(index, 0), None
+    here, agree = _slice(index, 0), exact.copy()
     for at in range(length):
         ahead = _slice(index, at + 1)
         letter = queries[:, at]
