@@ -35,6 +35,52 @@ def test_known_pages(spark):
     assert html_trees.extracted(pages.limit(0)).count() == 0
 
 
+def article(inner):
+    return (
+        "<html><head><title>T</title><meta name=a></head><body><nav><a href=/>Home</a></nav><article><h1>Title of it</h1>"
+        f"<p>The first paragraph stands here, with enough words to be one.</p>{inner}</article><footer>&copy; nobody</footer></body>"
+    )
+
+
+FIRST = "Title of it\n\nThe first paragraph stands here, with enough words to be one."
+
+ODD_MARKUP = {
+    "<p>An icon <svg viewBox='0'> and text after it that goes on for a while.</p><p>And one more paragraph of text.</p>": (
+        "An icon and text after it that goes on for a while.",
+        "And one more paragraph of text.",
+    ),
+    "<p>The mass is <math><mi>E</mi><mo>=</mo><mn>3</mn></math> joule, as the text says here.</p>": ("The mass is E=3 joule, as the text says here.",),
+    "<p>See <object data=x>the fallback text</object> in this long enough sentence.</p>": ("See the fallback text in this long enough sentence.",),
+    "<p>Press <button>Copy</button> to go on with this long enough sentence.</p>": ("Press to go on with this long enough sentence.",),
+    "<p>An unclosed <button>Copy</p><p>doesn't take the next paragraph along with it.</p>": ("An unclosed", "doesn't take the next paragraph along with it."),
+    "<p>Words before <select><option>a<option>b</p><p>and words after an unclosed choice of options.</p>": (
+        "Words before",
+        "and words after an unclosed choice of options.",
+    ),
+    "<p>Words before <canvas></canvas><video src=v>a film</video> and after it in one paragraph.</p>": ("Words before a film and after it in one paragraph.",),
+    "<p>Some script <script>if (a < b) { '<p>x</p>' }</script> is not in this paragraph of text.</p>": ("Some script is not in this paragraph of text.",),
+}
+
+
+@pytest.mark.parametrize("inner", list(ODD_MARKUP))
+def test_odd_markup_loses_no_text(inner):
+    assert main_text(article(inner), fit()) == "\n\n".join([FIRST, *ODD_MARKUP[inner]])
+
+
+def test_an_unclosed_noscript_takes_nothing_along():
+    found = main_text(article("<noscript>Please turn scripts on.<p>The paragraph after it is read as before, with all its words.</p>"), fit())
+    assert found.startswith("Title of it") and "The paragraph after it is read as before, with all its words." in found
+
+
+def test_long_repeated_and_unnamed_pages(spark):
+    long = article("".join(f"<p>Paragraph number {i} of a very long page, with words enough.</p>" for i in range(4000)))
+    rows = [(1, "u", long), (1, "u", long), (None, None, article("")), (None, "v", "")]
+    found = html_trees.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    texts = sorted((r.page_id or 0, len(r.text)) for r in found)
+    want = FIRST + "".join(f"\n\nParagraph number {i} of a very long page, with words enough." for i in range(4000))
+    assert texts == [(0, 0), (0, len(FIRST)), (1, len(want)), (1, len(want))]
+
+
 def test_given_pages_keep_whole_articles(spark):
     pages = {r.page_id: r.html for r in frame(spark, "pages").collect()}
     for r in q.op5_html_trees(spark, SF).collect():

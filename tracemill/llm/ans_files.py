@@ -113,6 +113,10 @@ def decode_from(block: dict, table: Table, point: int) -> np.ndarray:
     return decode(block["words"], states, table, block["tokens"], lanes, point * every, at, (point + 1) * every)
 
 
+#: Pieces whose ids a worker remembers.
+MEMO = 250_000
+
+
 def _squeezed(ids: np.ndarray, width: int) -> bytes:
     """Ids of a document for the way between two stages: bytes of equal weight side by side."""
     planes = ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
@@ -129,7 +133,7 @@ def tokenized(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> DataF
     width = 2 if size <= 1 << 16 else 4
 
     def make(batches):
-        encode_ids, found = encoder(vocabulary), np.zeros(size, np.int64)
+        encode_ids, found = encoder(vocabulary, MEMO), np.zeros(size, np.int64)
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):

@@ -15,10 +15,12 @@ _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is never text of the page.
-DROPPED = frozenset("script style title noscript template svg math iframe object textarea select button audio video canvas head".split())
+#: Raw text: what follows is not markup until the end tag, and never text of the page.
+RAW = frozenset("script style title template textarea iframe".split())
+#: Parts of forms: their text doesn't count, up to the end tag or the next border of a block.
+CONTROLS = frozenset("select button".split())
 BLOCKS = frozenset(
-    "body div section article main header footer nav aside p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th "
+    "body noscript div section article main header footer nav aside p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th "
     "form fieldset legend figure figcaption blockquote pre details summary address hr center dialog menu".split()
 )
 #: A new element of the kind ends an open one, up to the nearest of its containers.
@@ -81,14 +83,18 @@ def parse(html: str) -> list[Node]:
     """All nodes in page order, the root first; leaves are nodes with the tag `LEAF`.
 
     Unclosed and misplaced tags are borne as browsers do in the common cases: a block ends an
-    open paragraph, list items and cells end each other, stray end tags are left out.
+    open paragraph, list items and cells end each other, stray end tags are left out. Only raw-text elements
+    take what follows an opening tag without an end; drawings, formulas and the fallback of embedded
+    objects are text of the block they stand in.
     """
     root = Node("body", "", 0, 0)
     nodes, stack, leaf = [root], [root], None
-    in_link, at = False, 0
+    in_link, at, muted = False, 0, ""
 
     def text(raw: str) -> None:
         nonlocal leaf
+        if muted:
+            return
         if leaf is None:
             if raw.isspace():
                 return
@@ -111,13 +117,18 @@ def parse(html: str) -> list[Node]:
         if name is None:
             continue
         name, closing = name.lower(), bool(found[1] or found[4])
-        if name in DROPPED:
+        if name in RAW:
             if not closing and not (found[3] or "").rstrip().endswith("/"):
-                end = re.compile(f"</{name}\\s*>" if name != "head" else r"</head\s*>|<body", re.I).search(html, at)
-                if end is not None:
-                    at = end.end() if not end[0].lower().startswith("<body") else end.start()
-                elif name != "head":
-                    at = len(html)
+                end = re.compile(f"</{name}\\s*>", re.I).search(html, at)
+                at = len(html) if end is None else end.end()
+            continue
+        if name in CONTROLS:
+            if not closing:
+                muted = muted or name
+            elif muted == name:
+                muted = ""
+            continue
+        if name == "head":  # links and settings; text in it would be no page's
             continue
         if name == "html":
             continue
@@ -126,7 +137,7 @@ def parse(html: str) -> list[Node]:
                 root.attributes = found[3] or ""
             continue
         if name in BLOCKS or "-" in name:
-            leaf, in_link = None, False
+            leaf, in_link, muted = None, False, ""
             if closing:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == name:

@@ -153,12 +153,13 @@ def packed(
     grain: int = 32,
     block: int = 1 << 16,
     key: str = "doc_id",
+    memo: int = 250_000,
 ) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset): one row per piece.
 
     A null text is an empty one, which is the end id alone. Repeated rows are packed each;
     null keys too. Sequence ids are unique over the result and grow along each partition.
-    `capacity` must be a power of two. Other columns are not used.
+    `capacity` must be a power of two. `memo` bounds the pieces whose ids a worker remembers. Other columns are not used.
     """
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
@@ -166,7 +167,7 @@ def packed(
     end = np.array([end_id], "<u4").tobytes()
 
     def pack(batches):
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, memo)
         first = TaskContext.get().partitionId() << 36
         packer = Packer(capacity, penalty, truncation, grain, block, sentence_tables(vocabulary), first)
 

@@ -43,9 +43,9 @@ def tokenizer(path: str):
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> PieceEncoder:
-    """The worker's encoder for a vocabulary, kept from task to task."""
-    return PieceEncoder(path)
+def encoder(path: str, limit: int = 150_000) -> PieceEncoder:
+    """The worker's encoder for a vocabulary and memo, kept from task to task."""
+    return PieceEncoder(path, limit)
 
 
 @lru_cache(maxsize=1)
@@ -62,7 +62,7 @@ class PieceEncoder(dict):
     Two generations of about `limit` pieces each are remembered at most.
     """
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int):
         super().__init__()
         self.tokenizer, self.limit = tokenizer(path), limit
         self.merge = self.tokenizer.model.tokenize
