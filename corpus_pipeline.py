@@ -33,9 +33,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens."""
-    return packing.packed(docs, vocabulary_path("byte_bpe_50k.json"))
+    return packing.packed(docs, vocabulary_path("byte_bpe_50k.json"), memo=MEMO)
 
 
+#: Fewer remembered pieces than alone: the stages share the workers' memory.
+MEMO = 150_000
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("simhash_near_dedup", drop_near_duplicates),
