@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tracemill.functions.nulls import join_on
 
 from tracemill.functions.scalar import DEFAULT_EVENT_KEYWORDS, contains_any, parse_duration, parse_grade, parse_start
 from tracemill.operators.intervals import buffered, collapse, discretize, event_bounds, merge, runs
@@ -37,7 +38,7 @@ def consensus_intervals(
     flags = counts.select(*keys, F.col("sec").alias("idx"), (F.col("n") >= min_reviewers).alias("flag"))
     found = runs(flags, keys=keys)
     if discretization_s is not None:
-        framed = found.join(bounds.select(*keys, "start_s", "stop_s"), list(keys))
+        framed = join_on(found, bounds.select(*keys, "start_s", "stop_s"), keys)
         found = discretize(framed, discretization_s, F.col("start_s"), F.col("stop_s"))
     return merge(found, keys)
 
@@ -74,7 +75,7 @@ def artifact_intervals(
     `recordings` gives `start_clock` (HH:MM:SS) and the bounds `start_s, stop_s` per key.
     """
     graded = notes.withColumn("grade", parse_grade("text", strict))
-    kept = graded.filter(F.col("grade").isin(*grades)).join(recordings, list(keys))
+    kept = join_on(graded.filter(F.col("grade").isin(*grades)), recordings, keys)
     start = parse_start("time", "start_clock")
     length = parse_duration("duration").cast("double")
     bounds = kept.select(*keys, "start_s", "stop_s", buffered(start, length).alias("b"))

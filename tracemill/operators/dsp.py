@@ -229,7 +229,7 @@ def clean_channels(
     clean = map_blocks(signal, size, reach, reach, filtered, keys)
     spread = clean.groupBy(*keys).agg(F.stddev_samp("value").alias("_sd"))
     scaled = F.col("value") / F.nullif("_sd", F.lit(0.0))
-    return clean.join(spread, list(keys)).withColumn("value", scaled).drop("_sd")
+    return join_on(clean, spread, keys).withColumn("value", scaled).drop("_sd")
 
 
 def fir(signal: DataFrame, taps: Sequence[float], keys: Sequence[str] = KEYS, block_len: int = 8192) -> DataFrame:

@@ -279,8 +279,8 @@ def summary(recordings: DataFrame, seizures: DataFrame, artifacts: DataFrame, ke
             F.count(F.lit(1)).alias(f"n_{name}"), F.sum(F.col("off_s") - F.col("on_s")).alias(f"s_{name}")
         )
 
-    each = recordings.join(per_recording(artifacts, "a"), list(keys), "left")
-    each = each.join(per_recording(seizures, "z"), list(keys), "left")
+    each = join_on(recordings, per_recording(artifacts, "a"), keys, "left")
+    each = join_on(each, per_recording(seizures, "z"), keys, "left")
     each = each.fillna({"n_a": 0, "n_z": 0, "s_a": 0.0, "s_z": 0.0})
     seizing = F.col("n_z") > 0
     return each.agg(

@@ -28,14 +28,14 @@ def with_time(signal: DataFrame, recordings: DataFrame, keys: Sequence[str] = KE
     """Add `t`, the second at which each sample starts."""
     axis = recordings.select(*keys, "sample_rate", "start_s")
     t = F.col("start_s") + F.col("idx") / F.col("sample_rate")
-    return signal.join(axis, list(keys)).withColumn("t", t).drop("sample_rate", "start_s")
+    return join_on(signal, axis, keys).withColumn("t", t).drop("sample_rate", "start_s")
 
 
 def densify(cells: DataFrame, length: Column, keys: Sequence[str] = (*KEYS, CHANNEL)) -> DataFrame:
     """Fill absent cells with NULL so that every key has idx 0..length-1."""
     axis = cells.select(*keys).distinct().withColumn("_length", length)
     axis = spread(axis, F.lit(0), F.col("_length") - 1, "idx").drop("_length")
-    return axis.join(cells, [*keys, "idx"], "left")
+    return join_on(axis, cells, [*keys, "idx"], "left")
 
 
 def drop_channels(signal: DataFrame, words: Sequence[str]) -> DataFrame:
@@ -48,7 +48,7 @@ def drop_listed_channels(
 ) -> DataFrame:
     """Remove channels by a per-recording list `words`, or `default` where none is listed."""
     fallback = F.array(*[F.lit(w) for w in default]) if default else F.expr("array()").cast("array<string>")
-    joined = signal.join(listed.select(*keys, "words"), list(keys), "left")
+    joined = join_on(signal, listed.select(*keys, "words"), keys, "left")
     words = F.coalesce("words", fallback)
     hit = F.exists(words, lambda w: F.lower(F.col(CHANNEL)).contains(F.lower(w)))
     return joined.filter(~hit).drop("words")
@@ -75,7 +75,7 @@ def mark_covered(
     pieces = cover(intervals if disjoint else merge(intervals, keys), keys, block_s)
     pieces = pieces.select(*keys, "bucket", "on_s", "off_s")
     left = signal.withColumn("bucket", F.floor(F.col(t) / block_s))
-    match = [left[k] == pieces[k] for k in keys]
+    match = [left[k].eqNullSafe(pieces[k]) for k in keys]
     match += [
         left["bucket"] == pieces["bucket"],
         pieces["on_s"] <= left[t],
@@ -205,12 +205,12 @@ def snip(
     bounds = recordings.select(*keys, "sample_rate", "start_s", end.alias("_stop"))
     first = F.round((F.lit(start_s) - F.col("start_s")) * F.col("sample_rate")).cast("bigint")
     last = F.floor((F.col("_stop") - F.col("start_s")) * F.col("sample_rate")).cast("bigint")
-    cut = samples.join(bounds, list(keys)).filter((F.col("idx") >= first) & (F.col("idx") < last))
+    cut = join_on(samples, bounds, keys).filter((F.col("idx") >= first) & (F.col("idx") < last))
     cut = cut.withColumn("idx", F.col("idx") - first).select(*samples.columns)
-    seconds = reviewer_counts.join(bounds, list(keys))
+    seconds = join_on(reviewer_counts, bounds, keys)
     seconds = seconds.filter((F.col("sec") >= start_s) & (F.col("sec") < F.floor("_stop")))
     held = restrict(
-        intervals.join(bounds.select(*keys, "_stop"), list(keys)), F.lit(float(start_s)), F.col("_stop")
+        join_on(intervals, bounds.select(*keys, "_stop"), keys), F.lit(float(start_s)), F.col("_stop")
     )
     outline = recordings.withColumn("_stop", end)
     outline = outline.withColumn("start_s", F.lit(float(start_s)))
@@ -235,8 +235,7 @@ def widen_and_snip(
     wide = intervals.withColumn("wide_on", F.greatest(F.lit(0.0), F.col("on_s") - grow / 2))
     edge = F.col("off_s") + (F.lit(float(min_len)) - (F.col("off_s") - F.col("wide_on")))
     wide = wide.withColumn("wide_off", edge)
-    spread = F.sequence(F.floor(F.col("wide_on") / BLOCK_S), F.floor(F.col("wide_off") / BLOCK_S))
-    pieces = wide.withColumn("bucket", F.explode(spread))
+    pieces = spread(wide, F.floor(F.col("wide_on") / BLOCK_S), F.floor(F.col("wide_off") / BLOCK_S), "bucket")
     left = signal.withColumn("bucket", F.floor(F.col(t) / BLOCK_S))
     hit = (F.col("wide_on") <= F.col(t)) & (F.col(t) <= F.col("wide_off"))
-    return left.join(pieces, [*keys, "bucket"]).filter(hit).drop("bucket")
+    return join_on(left, pieces, [*keys, "bucket"]).filter(hit).drop("bucket")

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.nulls import complete
+from tracemill.functions.nulls import complete, join_on
 from tracemill.operators.rolling import rolling
 
 KEYS = ("patient_num",)
@@ -45,7 +45,7 @@ def standardize(
             complete(F.avg(v), v).alias("_mu"), complete(F.stddev_samp(v), v).alias("_sd")
         )
     z = (v - F.col("_mu")) / F.nullif(F.col("_sd"), F.lit(0.0))
-    return signal.join(moments, groups, "left").withColumn(value, z).drop("_mu", "_sd")
+    return join_on(signal, moments, groups, "left").withColumn(value, z).drop("_mu", "_sd")
 
 
 def standardize_one(signal: DataFrame, standardization: str, **options) -> DataFrame:
@@ -96,11 +96,11 @@ def reduce_distance(signal: DataFrame, keys: Sequence[str] = KEYS, value: str =
     steps = signal.groupBy(*keys, "idx").agg((F.count(F.lit(1)) == F.count(v)).alias("_all"))
     present = steps.groupBy(*keys).agg(F.count_if("_all").alias("_steps"))
     sums = signal.groupBy(*keys, CHANNEL).agg(F.sum(F.coalesce(v, F.lit(0.0))).alias("_sum"))
-    means = sums.join(present, list(keys)).select(
+    means = join_on(sums, present, keys).select(
         *keys, CHANNEL, (F.col("_sum") / F.nullif(F.col("_steps"), F.lit(0))).alias("_mean")
     )
     gap = v - F.col("_mean")
-    far = signal.join(means, [*keys, CHANNEL]).groupBy(*keys, "idx")
+    far = join_on(signal, means, [*keys, CHANNEL]).groupBy(*keys, "idx")
     return far.agg(complete(F.sqrt(F.sum(gap * gap)), v).alias(value))
 
 

@@ -235,7 +235,7 @@ def normalize_by_group(df: DataFrame, group: str, values: Sequence[str]) -> Data
     """Divide each value by its group's standard deviation, as `{value}_z`."""
     spread = df.groupBy(group).agg(*[F.stddev_samp(v).alias(f"_{v}") for v in values])
     scaled = {f"{v}_z": F.col(v) / F.nullif(f"_{v}", F.lit(0.0)) for v in values}
-    return df.join(spread, group).withColumns(scaled).drop(*[f"_{v}" for v in values])
+    return join_on(df, spread, [group]).withColumns(scaled).drop(*[f"_{v}" for v in values])
 
 
 def significance_table(differences: DataFrame, channel: str = "channel") -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from tracemill.functions.nulls import join_on
 
 SALTS = 64
 
@@ -70,8 +71,8 @@ def control_and_seizure_starts(
     identity = [*keys, "start_s"]
     enough = control_starts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > n)
     enough = enough.select(*keys)
-    seizure = sample_per_key(seizure_starts.join(enough, list(keys), "left_semi"), n, keys, identity, seed)
-    control = sample_per_key(control_starts.join(enough, list(keys), "left_semi"), n, keys, identity, seed + 1)
+    seizure = sample_per_key(join_on(seizure_starts, enough, keys, "left_semi"), n, keys, identity, seed)
+    control = sample_per_key(join_on(control_starts, enough, keys, "left_semi"), n, keys, identity, seed + 1)
     return labelled_cases(control.select(*identity), seizure.select(*identity))
 
 
@@ -93,7 +94,7 @@ def divided_records(first: DataFrame, second: DataFrame, fields: Sequence[str],
     """Field-wise ratio of two tables of records."""
     other = second.select(*keys, *[F.col(f).alias(f"_{f}") for f in fields])
     ratios = [(F.col(f) / F.nullif(f"_{f}", F.lit(0.0))).alias(f) for f in fields]
-    return first.join(other, list(keys)).select(*keys, *ratios)
+    return join_on(first, other, keys).select(*keys, *ratios)
 
 
 def shuffled_values(df: DataFrame, keys: Sequence[str], seed: int = 0) -> DataFrame:
@@ -103,7 +104,7 @@ def shuffled_values(df: DataFrame, keys: Sequence[str], seed: int = 0) -> DataFr
     ranked = df.withColumns({"_r": F.row_number().over(by_place), "_s": F.row_number().over(by_chance)})
     places = ranked.select(*keys, "idx", F.col("_r"))
     values = ranked.select(*keys, F.col("_s").alias("_r"), "value")
-    return places.join(values, [*keys, "_r"]).drop("_r")
+    return join_on(places, values, [*keys, "_r"]).drop("_r")
 
 
 def prettified(sensitivity: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from tracemill.functions.nulls import join_on
 
 from tracemill.functions.scalar import motif_name
 from tracemill.operators.tricorr_kernel import (
@@ -205,7 +206,7 @@ def unit_range(signal: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Map each snippet (or other group) onto [0, 1] by its extremes."""
     ends = signal.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     scaled = (F.col("value") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    return signal.join(ends, list(keys)).withColumn("value", scaled).drop("_lo", "_hi")
+    return join_on(signal, ends, keys).withColumn("value", scaled).drop("_lo", "_hi")
 
 
 def class_contributions_windowed(

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tracemill.functions.nulls import join_on
 
 from tracemill.operators import detection, intervals, statistics
 from tracemill.operators.rolling import rolling
@@ -89,7 +90,7 @@ def sensitivity(
     )
     found = intervals.runs(flags, keys=("min_reviewers_per_seizure", "patient_num"))
     if discretization_s is not None:
-        framed = found.join(bounds, "patient_num")
+        framed = join_on(found, bounds, ["patient_num"])
         found = intervals.discretize(framed, discretization_s, F.col("start_s"), F.col("stop_s"))
         found = intervals.merge(found, ("min_reviewers_per_seizure", "patient_num"))
     # the settings are few by construction, so they are carried as an array on each row
@@ -120,7 +121,7 @@ def evaluate(
     hits = detection.tpr_at_fphr(curve, fphr, keys, epochs_per_hour).withColumnRenamed("tpr", "tpr57")
     alarms = detection.fphr_at_tpr(curve, tpr, keys, epochs_per_hour).withColumnRenamed("fphr", "fphr80")
     if keys:
-        return area.join(hits, list(keys), "left").join(alarms, list(keys), "left")
+        return join_on(join_on(area, hits, keys, "left"), alarms, keys, "left")
     return area.withColumns({"tpr57": hits.scalar(), "fphr80": alarms.scalar()})
 
 
@@ -171,8 +172,8 @@ def epoch_samples(
     busy = cut_lineage(intervals.merge_sets(*pieces, keys))
     whole = recordings.select(*keys, F.lit(0.0).alias("start_s"), F.col("duration_s").alias("stop_s"))
     seizing = seizures.select(*keys).distinct()
-    free = intervals.invert(busy, whole.join(seizing, list(keys), "left_semi"), keys)
-    timed = signal.join(recordings.select(*keys, "start_s"), list(keys))
+    free = intervals.invert(busy, join_on(whole, seizing, keys, "left_semi"), keys)
+    timed = join_on(signal, recordings.select(*keys, "start_s"), keys)
     timed = timed.withColumn("t", F.col("start_s") + F.col("idx") * float(snippet_s)).drop("start_s")
     marked = mark_covered(timed, intervals.shifted(free), "_control", keys, "t", block_s, disjoint=True)
     marked = mark_covered(marked, intervals.shifted(seizures), "is_seizure", keys, "t", block_s, disjoint=True)
@@ -184,10 +185,10 @@ def epoch_samples(
     support = samples.groupBy(*keys).agg(
         F.count_if("is_seizure").alias("_present"), F.count_if(~F.col("is_seizure")).alias("_controls")
     )
-    enough = support.join(channels, list(keys)).filter(
+    enough = join_on(support, channels, keys).filter(
         (F.col("_present") >= F.col("_channels") * min_snippets) & (F.col("_controls") > 0)
     )
-    return samples.join(enough.select(*keys), list(keys), "left_semi")
+    return join_on(samples, enough.select(*keys), keys, "left_semi")
 
 
 def epoch_differences(samples: DataFrame, keys: Sequence[str] = KEYS, points: int = statistics.GRID_POINTS) -> DataFrame:
@@ -196,4 +197,4 @@ def epoch_differences(samples: DataFrame, keys: Sequence[str] = KEYS, points: in
     js = statistics.js_distance(samples, groups, points=points)
     ks = statistics.kolmogorov_smirnov(samples, groups).select(*groups, "p")
     shifts = statistics.deltas(samples, groups)
-    return js.join(ks, groups).join(shifts, groups)
+    return join_on(join_on(js, ks, groups), shifts, groups)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tracemill.functions.nulls import join_on
 
 from tracemill.functions.scalar import (
     DEFAULT_EXCLUDED_CHANNELS,
@@ -21,7 +22,7 @@ def cleaned(samples: DataFrame, recordings: DataFrame, mains_hz: float = 50.0) -
     rates = [r.sample_rate for r in recordings.select("sample_rate").distinct().toLocalIterator()]
     parts = []
     for rate in rates:
-        held = samples.join(recordings.filter(F.col("sample_rate") == rate).select("patient_num"), "patient_num")
+        held = join_on(samples, recordings.filter(F.col("sample_rate") == rate).select("patient_num"), ["patient_num"])
         parts.append(dsp.clean_channels(held, float(rate), mains_hz=mains_hz))
     out = parts[0]
     for part in parts[1:]:
@@ -54,7 +55,7 @@ def load_collection(
     if clean:
         samples = cleaned(samples, outlines)
     flags = mat.reviewer_flags(mat.matrices(spark, reviewers_path, reviewers_key))
-    counts = annotations.count_flags(flags).join(outlines.select("patient_num"), "patient_num")
+    counts = join_on(annotations.count_flags(flags), outlines.select("patient_num"), ["patient_num"])
     bounds = _bounds(outlines)
     seizures = annotations.consensus_intervals(counts, min_reviewers, discretization_s, bounds)
     notes = files.artifact_notes(spark, notes_path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from tracemill.functions.nulls import join_on
 
 from tracemill.functions.nulls import rounded
 from tracemill.functions.scalar import significance
@@ -312,7 +313,7 @@ FROM ks JOIN dl USING (patient_num, channel) WINDOW c AS (PARTITION BY channel)"
 def st_significance_table(spark, sf_dir):
     samples = channel_samples(spark, sf_dir)
     groups = ["patient_num", "channel"]
-    tests = statistics.kolmogorov_smirnov(samples, groups).join(statistics.deltas(samples, groups), groups)
+    tests = join_on(statistics.kolmogorov_smirnov(samples, groups), statistics.deltas(samples, groups), groups)
     tests = tests.withColumns({c: rounded(c) for c in ("d_mu", "d_sigma")})
     shown = statistics.significance_table(tests)
     return shown.select(
