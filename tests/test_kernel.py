@@ -8,6 +8,7 @@ import brute
 import numpy as np
 import pytest
 
+from tracemill.operators.surrogates import normal_cells, shuffled_cells
 from tracemill.operators import tricorr_kernel as kernel
 
 
@@ -45,23 +46,29 @@ def test_lag_kernel_of_ones(lag_channels):
     assert np.all(out == 15**2 * 5 * 83)
 
 
-def test_shuffles_repeat_and_differ():
-    x = np.random.default_rng(3).normal(size=(2, 4, 6))
-    a, b = kernel.shuffled(x, [5, 6], 0), kernel.shuffled(x, [5, 6], 0)
-    assert np.array_equal(a, b) and not np.array_equal(a, kernel.shuffled(x, [5, 6], 1))
-    assert np.array_equal(np.sort(a.reshape(2, -1)), np.sort(x.reshape(2, -1)))
+def test_surrogates_repeat_and_differ(spark):
+    x = [[float(v) for v in np.random.default_rng(i).normal(size=24)] for i in range(2)]
+    df = spark.createDataFrame([(1, 5, x[0]), (1, 6, x[1]), (None, 6, x[1])], "patient_num int, snippet long, cells array<double>")
+    identity = ["patient_num", "snippet"]
+    drawn = df.select("snippet", shuffled_cells("cells", identity, 2).alias("s"), normal_cells("cells", identity, 1).alias("n"))
+    rows, again = drawn.collect(), drawn.repartition(3).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+    for r, cells in zip(rows, [x[0], x[1], x[1]], strict=True):
+        assert sorted(r.s[:24]) == sorted(r.s[24:]) == sorted(cells) and r.s[:24] != r.s[24:]
+        assert len(r.n) == 24 and abs(np.mean(r.n)) < 1
+    assert rows[1].s != rows[2].s
 
 
 def test_noise_measures():
     x = np.random.default_rng(4).normal(size=(3, 5, 8))
-    seeds = [kernel.snippet_seed(0, str(i)) for i in range(3)]
+    drawn = np.stack([np.random.default_rng(i).permuted(x.reshape(3, -1), axis=1).reshape(x.shape) for i in range(5)])
     z = kernel.PREPROCESS["zscore"](x)
-    noise = sum(kernel.class_sums(kernel.shuffled(z, seeds, i), (1, 2)) for i in range(5)) / 5
-    got = kernel.contributions(x, seeds, "AN_znorm", (1, 2), "periodic")
+    noise = sum(kernel.class_sums(kernel.PREPROCESS["zscore"](d), (1, 2)) for d in drawn) / 5
+    got = kernel.contributions(x, drawn, "AN_znorm", (1, 2), "periodic")
     np.testing.assert_allclose(got, kernel.class_sums(z, (1, 2)) - noise)
     u = kernel.PREPROCESS["unit"](x)
-    noise = sum(kernel.class_sums(kernel.shuffled(u, seeds, i), (1, 2)) for i in range(2)) / 2
-    got = kernel.contributions(x, seeds, "AN_01norm", (1, 2), "periodic")
+    noise = sum(kernel.class_sums(kernel.PREPROCESS["unit"](d), (1, 2)) for d in drawn[:2]) / 2
+    got = kernel.contributions(x, drawn[:2], "AN_01norm", (1, 2), "periodic")
     np.testing.assert_allclose(got, kernel.class_sums(u, (1, 2)) / noise - 1)
 
 

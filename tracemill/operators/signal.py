@@ -18,6 +18,7 @@ from tracemill.operators.scan import spread
 
 KEYS = ("patient_num",)
 CHANNEL = "channel"
+STRETCH = 4096  # steps of a signal that meet starts under one key
 
 
 def channel_names(signal: DataFrame) -> DataFrame:
@@ -168,22 +169,60 @@ def snippets(
     filled = used.groupBy(*keys, F.floor(at / length).alias("snippet")).agg(
         F.sort_array(F.collect_list(F.struct(CHANNEL, (at % length).cast("bigint").alias("step"), "value"))).alias("_cells")
     )
-    rows = join_on(every, filled, [*keys, "snippet"], "left").withColumns(
+    rows = join_on(every, filled, [*keys, "snippet"], "left").withColumn(
+        "length", F.least(F.lit(length).cast("bigint"), F.col("_top") + 1 - F.col("snippet") * length)
+    )
+    return _placed(rows).select(*keys, "snippet", "n_channels", "cells", "length")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Adds `n_channels` and `cells`, the values of `_cells` at their places, NULL at all others."""
+    rows = rows.withColumns(
         {
             "n_channels": F.size("_channels").cast("bigint"),
-            "length": F.least(F.lit(length).cast("bigint"), F.col("_top") + 1 - F.col("snippet") * length),
-            "_cells": F.coalesce("_cells", F.array().cast(filled.schema["_cells"].dataType)),
+            "_cells": F.coalesce("_cells", F.array().cast(rows.schema["_cells"].dataType)),
         }
     )
     size = (F.col("n_channels") * F.col("length")).cast("bigint")
     place = lambda c: (F.array_position("_channels", c[CHANNEL]) - 1) * F.col("length") + c["step"]
     present = F.transform("_cells", lambda c: F.struct(place(c).cast("bigint").alias("p"), c["value"].alias("v")))
     absent = F.array_except(F.sequence(F.lit(0).cast("bigint"), size - 1), F.transform("_cells", lambda c: place(c).cast("bigint")))
-    nothing = F.lit(None).cast(signal.schema["value"].dataType)
+    nothing = F.lit(None).cast(rows.schema["_cells"].dataType.elementType["value"].dataType)
     holes = F.transform(absent, lambda p: F.struct(p.alias("p"), nothing.alias("v")))
     placed = F.transform(F.sort_array(F.concat(present, holes)), lambda x: x["v"])
     cells = F.when(F.size("_cells") == size, F.col("_cells.value")).otherwise(placed)
-    return rows.select(*keys, "snippet", "n_channels", cells.alias("cells"), "length")
+    return rows.withColumn("cells", cells).drop("_cells", "_channels")
+
+
+def snippets_at(
+    signal: DataFrame, starts: DataFrame, length: int, keys: Sequence[str] = KEYS, identity: Sequence[str] = ()
+) -> DataFrame:
+    """Gather the `length` steps from each start on; snippets may overlap and begin anywhere.
+
+    `starts` has `keys`, `first` (the step of the first sample) and the columns `identity`. Rows are
+    as those of `snippets`, with `first` and `identity`, and `snippet`, the same as `first`. A start
+    whose snippet begins before step 0 or goes past the recording's last step has no row; equal rows
+    of `starts` count once. The signal and the starts meet by stretches of the time axis: a start
+    is in the one or two stretches that its snippet touches, so no sample is read for starts far off.
+    """
+    stretch = max(length, STRETCH)
+    outline = signal.groupBy(*keys).agg(
+        F.sort_array(F.collect_set(CHANNEL)).alias("_channels"), F.max("idx").cast("bigint").alias("_top")
+    )
+    wanted = join_on(starts.select(*keys, F.col("first").cast("bigint").alias("first"), *identity).distinct(), outline, keys)
+    wanted = wanted.filter((F.col("first") >= 0) & (F.col("first") + length - 1 <= F.col("_top")))
+    places = wanted.select(*keys, "first").distinct()
+    touched = F.sequence(F.floor(F.col("first") / stretch), F.floor((F.col("first") + length - 1) / stretch))
+    near = places.withColumn("_stretch", F.explode(touched))
+    held = join_on(signal.withColumn("_stretch", F.floor(F.col("idx") / stretch)), near, [*keys, "_stretch"])
+    step = (F.col("idx") - F.col("first")).cast("bigint")
+    inside = held.filter((step >= 0) & (step < length))
+    filled = inside.groupBy(*keys, "first").agg(
+        F.sort_array(F.collect_list(F.struct(CHANNEL, step.alias("step"), "value"))).alias("_cells")
+    )
+    rows = join_on(wanted, filled, [*keys, "first"], "left").withColumn("length", F.lit(length).cast("bigint"))
+    placed = _placed(rows).withColumn("snippet", F.col("first"))
+    return placed.select(*keys, "snippet", "first", *identity, "n_channels", "cells", "length")
 
 
 def snip(

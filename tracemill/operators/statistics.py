@@ -13,8 +13,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tracemill.functions.scalar import significance
+from tracemill.functions.ranksum import two_sided
 from tracemill.functions.special import kolmogorov_tail, two_sided_normal
 from tracemill.functions.nulls import join_on
 from tracemill.operators.scan import running, value_blocks
@@ -61,12 +63,29 @@ def kolmogorov_smirnov(
     return tests.withColumn("_x", reach).select(*keys, "d", kolmogorov_tail("_x").alias("p"))
 
 
+#: Values of both cases up to which Mann-Whitney is exact, without and with ties.
+EXACT, EXACT_TIED = 50, 10
+
+
+@F.pandas_udf(DoubleType())
+def _exact_p(u: pd.Series, m: pd.Series, groups: pd.Series) -> pd.Series:
+    """Exact p-values; NULL where `groups`, the sizes of ties in ascending order, is NULL."""
+    found = [None if g is None else two_sided(a, int(b), tuple(g.tolist())) for a, b, g in zip(u, m, groups, strict=True)]
+    return pd.Series(found, dtype="float64")
+
+
 def mann_whitney(
     samples: DataFrame, keys: Sequence[str], value: str = "value", case: str = "is_seizure"
 ) -> DataFrame:
-    """Mann-Whitney U with tie-corrected normal approximation and continuity correction."""
+    """Mann-Whitney U of each group, with a two-sided p-value.
+
+    `exact` tells how p was found: from the exact null distribution for up to `EXACT` values
+    without ties or `EXACT_TIED` with, else by the tie-corrected normal approximation with
+    continuity correction. A group without values of both cases has no row.
+    """
     ranked = ranked_values(samples, keys, value, case)
     n = (F.col("n1") + F.col("n0")).cast("double")
+    small = F.when(F.col("upto1") + F.col("upto0") <= EXACT, F.struct("v", (F.col("n1") + F.col("n0")).cast("int").alias("t")))
     tests = ranked.groupBy(*keys).agg(
         F.sum(F.col("n1") * (F.col("upto0") - F.col("n0") / 2.0)).alias("u"),
         F.sum(n * n * n - n).alias("_ties"),
@@ -74,6 +93,7 @@ def mann_whitney(
         F.sum("n0").cast("double").alias("_m0"),
         F.sum(F.col("v") * F.col("n1")).alias("_s1"),
         F.sum(F.col("v") * F.col("n0")).alias("_s0"),
+        F.sort_array(F.collect_list(small))["t"].alias("_groups"),  # EXACT entries at most
     )
     total = F.col("_m1") + F.col("_m0")
     ties = F.col("_ties") / (total * (total - 1))
@@ -84,11 +104,15 @@ def mann_whitney(
         }
     )
     z = F.abs(F.col("_off") - 0.5 * F.signum("_off")) / F.nullif("_sigma", F.lit(0.0))
-    tests = tests.withColumn("_z", z)
+    exact = (total <= EXACT_TIED) | ((total <= EXACT) & (F.col("_ties") == 0))
+    tests = tests.withColumns({"_z": z, "exact": exact})
+    counted = _exact_p("u", F.col("_m1").cast("int"), F.when(F.col("exact"), F.col("_groups")))
+    normal = F.when(F.col("_sigma") == 0, F.lit(1.0)).otherwise(two_sided_normal("_z"))
     return tests.select(
         *keys,
         "u",
-        F.when(F.col("_sigma") == 0, F.lit(1.0)).otherwise(two_sided_normal("_z")).alias("p"),
+        F.coalesce(counted, normal).alias("p"),
+        "exact",
         (F.col("_s1") / F.col("_m1") - F.col("_s0") / F.col("_m0")).alias("mean_effect"),
     )
 

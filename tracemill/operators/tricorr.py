@@ -20,10 +20,9 @@ from tracemill.operators.tricorr_kernel import (
     normal_variance_per_cell,
     pair_lag_sums,
     marginal_sums,
-    shuffled,
-    snippet_seed,
 )
 from tracemill.operators.signal import snippets
+from tracemill.operators.surrogates import normal_cells, shuffled_cells
 
 KEYS = ("patient_num",)
 CHUNK_CELLS = 1 << 16
@@ -42,13 +41,15 @@ def _chunks(shapes: np.ndarray) -> Iterator[np.ndarray]:
 def _map_snippets(
     rows: DataFrame,
     identity: Sequence[str],
-    compute: Callable[[np.ndarray, list[int]], np.ndarray],
+    compute: Callable[[np.ndarray, np.ndarray], np.ndarray],
     width: int,
-    seed: int = 0,
+    surrogates: Column | None = None,
+    draws: int = 0,
 ) -> DataFrame:
     """Replace `cells` by `out`, the flattened result of `compute` on stacks of snippets.
 
-    Rows with a missing cell get a NULL result.
+    `surrogates` holds the cells of `draws` surrogates one after the other; `compute` gets
+    them as [draws, snippets, channels, times]. Rows with a missing cell get a NULL result.
     """
     fields = [f for f in rows.schema.fields if f.name in identity]
     schema = T.StructType([*fields, T.StructField("out", T.ArrayType(T.DoubleType()))])
@@ -61,8 +62,8 @@ def _map_snippets(
             cells = batch.column("cells")
             flat = cells.flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum(np.asarray(cells.value_lengths().fill_null(0)))
+            noise = batch.column("surrogates").flatten().to_numpy(zero_copy_only=False)
             shapes = np.stack([np.asarray(batch.column(c)) for c in ("n_channels", "length")], axis=1)
-            names = list(zip(*(batch.column(f.name).to_pylist() for f in fields), strict=True))
             results = np.full((batch.num_rows, width), np.nan)
             missing = np.zeros(batch.num_rows, dtype=bool)
             for rows_at in _chunks(shapes):
@@ -74,8 +75,9 @@ def _map_snippets(
                 kept = rows_at[~gaps]
                 if len(kept):
                     x = stack[~gaps].reshape(-1, int(channels), int(length))
-                    seeds = [snippet_seed(seed, repr(names[r])) for r in kept]
-                    results[kept] = compute(x, seeds).reshape(len(kept), width)
+                    drawn = [noise[(ends[r] - size) * draws : ends[r] * draws] for r in kept]
+                    drawn = np.stack(drawn).astype(float).reshape(len(kept), draws, *x.shape[1:]).swapaxes(0, 1)
+                    results[kept] = compute(x, drawn).reshape(len(kept), width)
             values = pa.ListArray.from_arrays(
                 pa.array(np.arange(batch.num_rows + 1) * width, pa.int32()),
                 pa.array(results.ravel()),
@@ -85,7 +87,9 @@ def _map_snippets(
             table = pa.Table.from_arrays([*columns, values], names=arrow_schema.names).cast(arrow_schema)
             yield from table.to_batches()
 
-    return rows.select(*identity, "n_channels", "length", "cells").mapInArrow(run, schema)
+    drawn = F.array().cast("array<double>") if surrogates is None else surrogates
+    chosen = rows.select(*identity, "n_channels", "length", "cells", drawn.alias("surrogates"))
+    return chosen.mapInArrow(run, schema)
 
 
 def class_contributions(
@@ -121,19 +125,22 @@ def contributions_of(
     The spread that `A_znorm_std` divides by is that of a periodic snippet, so other
     boundaries are refused, as are lags that a periodic snippet is too small for.
     """
-    _, post, _ = MEASURES[measure]
+    _, post, draws = MEASURES[measure]
     if post == "over_std" and boundary != "periodic":
         raise ValueError(f"{measure} is defined for a periodic boundary only")
     # computed once here, not in every task
     variance = normal_variance_per_cell(lag_extents) if post == "over_std" else None
 
-    def compute(x: np.ndarray, seeds: list[int]) -> np.ndarray:
+    def compute(x: np.ndarray, surrogates: np.ndarray) -> np.ndarray:
         if boundary == "periodic" and any(2 * reach + 1 > size for reach, size in zip(lag_extents, x.shape[1:], strict=True)):
             raise ValueError(f"lags {lag_extents} wrap around a periodic snippet of {x.shape[1:]}")
-        out = contributions(x, seeds, measure, lag_extents, boundary, variance)
+        out = contributions(x, surrogates, measure, lag_extents, boundary, variance)
         return out / (x.shape[1] * x.shape[2]) if per_cell else out
 
-    wide = _map_snippets(rows, [*keys, "snippet"], compute, N_CLASSES, seed)
+    identity = [*keys, "snippet"]
+    drawn = normal_cells if post == "over_normal" else shuffled_cells
+    noise = drawn("cells", identity, draws, seed) if draws else None
+    wide = _map_snippets(rows, identity, compute, N_CLASSES, noise, draws)
     classes = F.sequence(F.lit(1), F.lit(N_CLASSES))
     filled = F.coalesce("out", F.array_repeat(F.lit(None).cast("double"), N_CLASSES))
     return wide.select(
@@ -153,7 +160,7 @@ def lag_kernel(
     """Correlation per pair of time lags `b1, b2` of each snippet."""
     width = 2 * reach_b + 1
 
-    def compute(x: np.ndarray, seeds: list[int]) -> np.ndarray:
+    def compute(x: np.ndarray, surrogates: np.ndarray) -> np.ndarray:
         return pair_lag_sums(x, reach_a, reach_b, lag_channels)
 
     wide = _map_snippets(rows, [*keys, "snippet"], compute, width * width)
@@ -183,16 +190,16 @@ def lag_marginals(
     second = {"time": reach_t, "space": reach_n, "space_time": reach_t}[which]
     width = (2 * first + 1, 2 * second + 1)
 
-    def compute(x: np.ndarray, seeds: list[int]) -> np.ndarray:
+    def compute(x: np.ndarray, surrogates: np.ndarray) -> np.ndarray:
         actual = marginal_sums(x, lag_extents)[which]
         if not shuffles:
             return actual
-        noise = sum(
-            marginal_sums(shuffled(x, seeds, i), lag_extents)[which] for i in range(shuffles)
-        )
+        noise = sum(marginal_sums(s, lag_extents)[which] for s in surrogates)
         return actual / (noise / shuffles)
 
-    wide = _map_snippets(rows, [*keys, "snippet"], compute, width[0] * width[1], seed)
+    identity = [*keys, "snippet"]
+    noise = shuffled_cells("cells", identity, shuffles, seed) if shuffles else None
+    wide = _map_snippets(rows, identity, compute, width[0] * width[1], noise, shuffles)
     return wide.select(*keys, "snippet", F.posexplode("out").alias("_at", "value")).select(
         *keys,
         "snippet",

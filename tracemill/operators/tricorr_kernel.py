@@ -19,7 +19,6 @@ O(channels x times), whatever the lag box.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -180,13 +179,14 @@ PREPROCESS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "zscore_unit": lambda x: _unit(_zscore(x)),
 }
 
-# Name of each contribution measure -> (preprocessing, postprocessing, shuffles).
+# Name of each contribution measure -> (preprocessing, postprocessing, surrogates).
 MEASURES: dict[str, tuple[str, str, int]] = {
     "A": ("identity", "identity", 0),
+    "AN": ("identity", "over_noise", 2),
     "A_01norm": ("unit", "identity", 0),
     "AN_01norm": ("unit", "over_noise", 2),
     "AN_01norm_power": ("power_unit", "over_noise", 1),
-    "AN_01norm_normal": ("unit", "over_normal", 0),
+    "AN_01norm_normal": ("unit", "over_normal", 1),
     "AN_znorm": ("zscore", "minus_noise", 5),
     "A_znorm": ("zscore", "identity", 0),
     "A_znorm_std": ("zscore", "over_std", 0),
@@ -195,21 +195,9 @@ MEASURES: dict[str, tuple[str, str, int]] = {
 }
 
 
-def snippet_seed(seed: int, identity: str) -> int:
-    """Seed of a snippet's shuffles; a recomputed task draws the same ones."""
-    return (seed << 32) ^ zlib.crc32(identity.encode())
-
-
-def shuffled(x: np.ndarray, seeds: list[int], draw: int) -> np.ndarray:
-    out = np.empty_like(x)
-    for i, seed in enumerate(seeds):
-        out[i] = np.random.default_rng([seed, draw]).permutation(x[i].ravel()).reshape(x[i].shape)
-    return out
-
-
 def contributions(
     x: np.ndarray,
-    seeds: list[int],
+    surrogates: np.ndarray,
     measure: str,
     lag_extents: tuple[int, int],
     boundary: str,
@@ -217,18 +205,18 @@ def contributions(
 ) -> np.ndarray:
     """Class contributions of each snippet under a named measure.
 
-    `variance` is `normal_variance_per_cell(lag_extents)`, for measures that divide by it.
+    `surrogates` is [draws, snippets, channels, times]: shuffled snippets, or normal noise for
+    `over_normal`, as many draws as `MEASURES` asks for. `variance` is
+    `normal_variance_per_cell(lag_extents)`, for measures that divide by it.
     """
-    pre, post, shuffles = MEASURES[measure]
-    x = PREPROCESS[pre](x)
-    actual = class_sums(x, lag_extents, boundary)
-    if shuffles:
-        noise = sum(class_sums(shuffled(x, seeds, i), lag_extents, boundary) for i in range(shuffles)) / shuffles
+    pre, post, _ = MEASURES[measure]
+    actual = class_sums(PREPROCESS[pre](x), lag_extents, boundary)
+    if len(surrogates):
+        noise = sum(class_sums(PREPROCESS[pre](s), lag_extents, boundary) for s in surrogates) / len(surrogates)
     if post == "over_noise":
         return actual / noise - 1
     if post == "over_normal":
-        draws = [np.random.default_rng([seed, 0]).normal(size=x.shape[1:]) for seed in seeds]
-        return actual / class_sums(_unit(np.stack(draws)), lag_extents, boundary)
+        return actual / noise
     if post == "minus_noise":
         return actual - noise
     if post == "over_std":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import functions as F
 
 from tracemill.functions.nulls import rounded
@@ -34,9 +36,9 @@ _CLASS = """CASE
   ELSE 14 END"""
 
 
-def _brute(reach_n: int, reach_t: int, periodic: bool, source: str = "em") -> str:
-    """Class sums from every lag quadruple of the box, on 8 x 8 snippets."""
-    wrap = "(({0} + {1}) % 8 + 8) % 8" if periodic else "{0} + {1}"
+def _brute(reach_n: int, reach_t: int, periodic: bool, source: str = "em", shape: tuple[int, int] = (8, 8)) -> str:
+    """Class sums from every lag quadruple of the box, on snippets of `shape` channels and times."""
+    wrap = "(({0} + {1}) % {2} + {2}) % {2}" if periodic else "{0} + {1}"
     return f"""
 lag1 AS (SELECT n.n, t.t FROM (SELECT unnest(range(-{reach_n}, {reach_n + 1})) AS n) n
   CROSS JOIN (SELECT unnest(range(-{reach_t}, {reach_t + 1})) AS t) t),
@@ -45,7 +47,7 @@ lags AS (
 cl AS (SELECT n1, t1, n2, t2, {_CLASS} AS class FROM lags),
 pairs AS (
   SELECT x.patient_num, x.snippet, x.r, x.t, x.v, l.n, l.t AS dt, y.v AS w FROM {source} x CROSS JOIN lag1 l
-  JOIN {source} y ON y.snippet = x.snippet AND y.r = {wrap.format("x.r", "l.n")} AND y.t = {wrap.format("x.t", "l.t")}),
+  JOIN {source} y ON y.snippet = x.snippet AND y.r = {wrap.format("x.r", "l.n", shape[0])} AND y.t = {wrap.format("x.t", "l.t", shape[1])}),
 brute AS (
   SELECT a.patient_num, a.snippet AS idx, cl.class AS channel, sum(a.v * a.w * b.w) AS value
   FROM pairs a JOIN cl ON cl.n1 = a.n AND cl.t1 = a.dt
@@ -143,17 +145,57 @@ def tc_zscore_std(spark, sf_dir):
     return _shown(tricorr.contributions_of(views.embedding_rows(spark, sf_dir), (1, 1), "A_znorm_std"), 5)
 
 
-def _noise_query(name: str, measure: str) -> None:
-    @query(name)
+def _drawn(draws: int, source: str = "em", times: int = 8, normal: bool = False) -> str:
+    """Snippets of `source` as snippet x 10, and their surrogates in order of md5 as the numbers after it."""
+    chance = f"md5('0:' || d || ':' || patient_num || ':' || snippet || ':' || (r * {times} + t))"
+    unit = "(CAST('0x' || substr(c, {0}, 8) AS BIGINT) + 0.5) / 4294967296.0"
+    made = "x.v" if normal else "y.v"
+    value = f"sqrt(-2 * ln({unit.format(1)})) * cos(2 * pi() * {unit.format(9)})" if normal else "v"
+    return f"""
+marked AS (SELECT patient_num, snippet, r, t, v, d, {chance} AS c FROM {source} CROSS JOIN range(0, {draws}) q(d)),
+placed AS (
+  SELECT patient_num, snippet, d, r, t, {value} AS v, row_number() OVER (PARTITION BY patient_num, snippet, d ORDER BY c) - 1 AS b FROM marked),
+every AS (
+  SELECT patient_num, snippet * 10 AS snippet, r, t, v FROM {source} UNION ALL
+  SELECT x.patient_num, x.snippet * 10 + 1 + x.d, x.r, x.t, {made} FROM placed x
+  JOIN placed y ON y.patient_num = x.patient_num AND y.snippet = x.snippet AND y.d = x.d AND y.b = x.r * {times} + x.t)"""
+
+
+def _scaled(how: str) -> str:
+    level = {"unit": "(v - min(v) OVER s) / (max(v) OVER s - min(v) OVER s)", "zscore": "(v - avg(v) OVER s) / stddev_samp(v) OVER s"}
+    return f"""
+scaled AS (SELECT patient_num, snippet, r, t, {level[how]} AS v FROM every WINDOW s AS (PARTITION BY patient_num, snippet))"""
+
+
+def _against_noise(how: str) -> str:
+    return f"""
+SELECT patient_num, idx // 10 AS idx, CAST(channel AS INT) AS channel,
+  round(max(value) FILTER (WHERE idx % 10 = 0) {how} avg(value) FILTER (WHERE idx % 10 > 0){" - 1" if how == "/" else ""}, 4) + 0.0 AS value
+FROM brute GROUP BY 1, 2, 3"""
+
+
+_SQUARES = "sq AS (SELECT patient_num, snippet, r, t, v * v AS v FROM em)"
+
+
+def _noise_query(name: str, measure: str, drawn: Sequence[str], how: str) -> None:
+    @query(name, with_views("embeddings", *drawn, _brute(1, 2, True, "scaled")) + _against_noise(how))
     def run(spark, sf_dir):
-        """Measured against seeded shuffles, which SQL cannot repeat."""
+        """Measured against surrogates in order of md5."""
         return _shown(tricorr.contributions_of(views.embedding_rows(spark, sf_dir), (1, 2), measure))
 
 
-_noise_query("tc_noise_ratio", "AN_01norm")
-_noise_query("tc_noise_ratio_power", "AN_01norm_power")
-_noise_query("tc_noise_difference", "AN_znorm")
-_noise_query("tc_noise_normal", "AN_01norm_normal")
+_noise_query("tc_noise_ratio", "AN_01norm", [_drawn(2), _scaled("unit")], "/")
+_noise_query("tc_noise_ratio_power", "AN_01norm_power", [_SQUARES, _drawn(1, "sq"), _scaled("unit")], "/")
+_noise_query("tc_noise_difference", "AN_znorm", [_drawn(5), _scaled("zscore")], "-")
+
+
+@query(
+    "tc_noise_normal",
+    with_views("embeddings", _drawn(1, normal=True), _scaled("unit"), _brute(1, 2, True, "scaled")) + _against_noise("/").replace(" - 1,", ","),
+)
+def tc_noise_normal(spark, sf_dir):
+    """Over the sums of normal noise drawn by md5."""
+    return _shown(tricorr.contributions_of(views.embedding_rows(spark, sf_dir), (1, 2), "AN_01norm_normal"))
 
 
 @query(
@@ -178,6 +220,31 @@ def tc_segments(spark, sf_dir):
     return _shown(tricorr.contributions_of(segments, (1, 1), "A", "zeropad"))
 
 
+@query(
+    "tc_segments_noise",
+    with_views(
+        "embeddings",
+        _UNIT,
+        "seg AS (SELECT patient_num, snippet * 2 + t // 4 AS snippet, r, t % 4 AS t, v FROM uem)",
+        _drawn(2, "seg", 4),
+        _brute(1, 1, False, "every"),
+    )
+    + _against_noise("/"),
+)
+def tc_segments_noise(spark, sf_dir):
+    """Zero-padded segments of unit-range snippets against their own shuffles."""
+    unit = tricorr.unit_range(views.embedding_cells(spark, sf_dir), ["patient_num", "snippet"])
+    cells = unit.select(
+        "patient_num",
+        (F.col("snippet") * 2 + F.floor(F.col("idx") / 4)).alias("vec"),
+        F.col("row").alias("channel"),
+        (F.col("idx") % 4).alias("idx"),
+        "value",
+    )
+    segments = signal.snippets(cells, 4, ("patient_num", "vec")).withColumn("snippet", F.col("vec"))
+    return _shown(tricorr.contributions_of(segments, (1, 1), "AN", "zeropad"))
+
+
 @query("tc_recording")
 def tc_recording(spark, sf_dir):
     """Published setting, lags (8, 25) on whole recordings of 17 channels, in long form."""
@@ -242,9 +309,16 @@ _marginal_query("space")
 _marginal_query("space_time")
 
 
-@query("tc_marginal_noise")
+@query(
+    "tc_marginal_noise",
+    with_views("embeddings", _drawn(2), _brute(1, 2, False, "every"))
+    + f"""
+SELECT patient_num, snippet // 10 AS snippet, lag1, lag2,
+  round(max(value) FILTER (WHERE snippet % 10 = 0) / avg(value) FILTER (WHERE snippet % 10 > 0), 4) + 0.0 AS value
+FROM ({_marginal_sql("time").replace("round(sum(a.v * a.w * b.w), 4) + 0.0", "sum(a.v * a.w * b.w)")}) GROUP BY 1, 2, 3, 4""",
+)
 def tc_marginal_noise(spark, sf_dir):
-    """Time marginal over the mean of two seeded shuffles."""
+    """Time marginal over the mean of two shuffles in order of md5."""
     found = tricorr.lag_marginals(views.embedding_rows(spark, sf_dir), (1, 2), "time", shuffles=2)
     return found.select("patient_num", "snippet", "lag1", "lag2", rounded("value", 4).alias("value"))
 
