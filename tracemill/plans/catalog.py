@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tracemill.plans import (  # noqa: F401
+    case_queries,
     detection_queries,
     interval_queries,
     signal_queries,

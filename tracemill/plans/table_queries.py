@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import scalar
 from tracemill.functions.nulls import rounded
-from tracemill.operators import annotations, intervals, signal, statistics, tables, tricorr
+from tracemill.operators import annotations, intervals, signal, statistics, tables
 from tracemill.operators.scan import running, value_blocks
 from tracemill.plans import views
 from tracemill.plans.interval_queries import _CONTROL, _runs, controls, document_events, seizures
 from tracemill.plans.registry import query
 from tracemill.plans.views import with_views
+from tracemill.session import cut_lineage
 
 
 @query("rel_channels", with_views("signal") + "SELECT DISTINCT channel FROM sig")
@@ -189,22 +190,11 @@ def st_case_sampling(spark, sf_dir):
         found = intervals.snippet_starts(df, 1).select("patient_num", F.col("start_s").cast("bigint").alias("start_s"))
         return found.distinct()
 
-    picked = tables.control_and_seizure_starts(
-        starts(seizures(spark, sf_dir)), starts(controls(spark, sf_dir)), 5, ["patient_num"]
-    )
+    seizing, free = cut_lineage(seizures(spark, sf_dir)), cut_lineage(controls(spark, sf_dir))
+    picked = tables.control_and_seizure_starts(starts(seizing), starts(free), 5, ["patient_num"])
     return picked.withColumn("start_s", F.col("start_s").cast("double"))
 
 
-@query("st_case_contributions")
-def st_case_contributions(spark, sf_dir):
-    """Control against seizure class contributions of sampled snippets, by class."""
-    found = tricorr.contributions_of(views.embedding_rows(spark, sf_dir), (1, 2), "A_znorm")
-    cases = found.withColumn("is_seizure", F.col("patient_num") >= 5)
-    return statistics.mann_whitney(tricorr.named_classes(cases), ["motif"]).select(
-        "motif", rounded("p").alias("p"), rounded("mean_effect").alias("mean_effect")
-    )
-
-
 @query(
     "rel_sum_records",
     """
