@@ -27,6 +27,8 @@ PLACES, STEP = 1 << 32, 1640531527
 CHUNK = 1 << 16
 #: Documents of a source that share the leading bits of their hash, about so many, are one stretch.
 STRETCH = 4096
+#: Sources up to which their table, of some 50 bytes a row, is broadcast.
+MANY = 100_000
 
 DOCUMENT = ["number", "doc_id", "size", "copy"]
 
@@ -42,6 +44,7 @@ class Mix(NamedTuple):
     sources: DataFrame
     pieces: DataFrame
     words_of: DataFrame
+    n_sources: int
 
 
 def in_stretches(df: DataFrame, *order: str) -> DataFrame:
@@ -101,6 +104,14 @@ def _copies(docs: DataFrame) -> DataFrame:
     )
 
 
+def _small(rows: DataFrame, n: int) -> DataFrame:
+    """A table of `n` rows, one per source: sent to every task up to `MANY` sources, joined by key beyond.
+
+    Then a source with a large share of all rows stays spread as it is.
+    """
+    return F.broadcast(rows) if n <= MANY else rows
+
+
 def _power(n: int) -> int:
     return max(int(n) - 1, 0).bit_length()
 
@@ -158,7 +169,7 @@ def _slots(sources: DataFrame, n_slots: int, n_sources: int, block: int) -> Data
     epoch, at = F.floor(F.col("rank") / F.col("_blocks")), F.col("rank") % F.col("_blocks")
     done = epoch * F.col("size") + at * block
     length = F.least(F.lit(block), F.col("size") - at * block, F.col("words") - done)
-    return every.join(needs, "number").filter("rank < _needed").select(
+    return every.join(_small(needs, n_sources), "number").filter("rank < _needed").select(
         "slot", "number", epoch.alias("epoch"), at.alias("block"), length.cast("bigint").alias("take")
     )
 
@@ -176,7 +187,7 @@ def mix(docs: DataFrame, block: int = 128, cycle: int = 3, most: int = 3) -> Mix
     sources = written(targets(copies.groupBy("source").agg(F.sum("size").alias("size")), cycle, most), "sources")
     n_docs, words = copies.count(), *_totals(copies, "size")
     n_sources = sources.count()
-    numbered = join_on(copies, sources.select("source", "number"), ["source"])
+    numbered = join_on(copies, _small(sources.select("source", "number"), n_sources), ["source"])
     documents = written(_streams(numbered, min(_power(n_docs / STRETCH), 31)), "streams")
     slots = _slots(sources, -(-words // block), n_sources, block)
     last = F.floor((F.col("first") + F.col("size") - 1) / block)
@@ -191,7 +202,7 @@ def mix(docs: DataFrame, block: int = 128, cycle: int = 3, most: int = 3) -> Mix
         "slot", "number", "epoch", "doc_id", "size", "copy",
         (low - F.col("first")).alias("first_word"), n.alias("n_words"), (low - start).alias("at"),
     )
-    return Mix(documents, sources, words_of.filter("n_words > 0"), words_of)
+    return Mix(documents, sources, words_of.filter("n_words > 0"), words_of, n_sources)
 
 
 def taken(docs: DataFrame, **settings: int) -> DataFrame:
@@ -199,7 +210,7 @@ def taken(docs: DataFrame, **settings: int) -> DataFrame:
     mixed = mix(docs, **settings)
     each = mixed.words_of.groupBy(*DOCUMENT).agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("taken"))
     named = mixed.sources.select("number", "source", F.col("size").alias("source_size"), "target")
-    return each.join(named, "number").select("doc_id", "size", "source_size", "target", "taken", "source", "copy")
+    return each.join(_small(named, mixed.n_sources), "number").select("doc_id", "size", "source_size", "target", "taken", "source", "copy")
 
 
 def texts(docs: DataFrame, mixed: Mix) -> DataFrame:
