@@ -71,8 +71,6 @@ def test_which_form_is_used(spark):
 
     assert form(range(50)).exact and not form(range(51)).exact
     assert form([*range(9), 3]).exact and not form([*range(10), 3]).exact
-    # both forms nearly agree where they meet
-    assert form(range(50)).p == pytest.approx(form(range(51)).p, abs=0.05)
     assert form([1, 1, 1, 1]).p == 1.0
 
 

@@ -1,8 +1,7 @@
-"""Filter design and zero-phase cleaning with NumPy, applied block by block.
+"""Filter design, cleaning and amplitude margins; filters run with NumPy, block by block.
 
-A recursive filter's memory fades; its impulse response is cut where it has fallen below
-double precision and applied by FFT. A block therefore needs only a halo of that many
-samples on each side, and blocks of one channel are filtered in different tasks.
+Recursive filters carry their state from block to block (see `recursive`), FIR filters need a
+halo of their length. Blocks of one channel are filtered in different tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracemill.functions.nulls import join_on
-from tracemill.operators import scan
+from tracemill.operators import recursive, scan
 
 KEYS = ("patient_num", "channel")
 FADE = 1e-17
@@ -60,24 +59,34 @@ def butterworth(order: int, kind: str, edges: tuple[float, ...], fs: float) -> t
 
 
 @lru_cache(maxsize=32)
-def impulse_response(order: int, kind: str, edges: tuple[float, ...], fs: float) -> np.ndarray:
-    """Impulse response up to where the slowest pole has faded."""
+def sections(order: int, kind: str, edges: tuple[float, ...], fs: float) -> tuple[recursive.Section, ...]:
+    """The filter as second-order sections (b0, b1, b2, a1, a2), the gain in the first one.
+
+    Conjugate poles share a section, real ones go two by two; so do the zeros.
+    """
     zeros, poles, gain = butterworth(order, kind, edges, fs)
+    upper = sorted((p for p in poles if p.imag >= 1e-12), key=abs)
+    real = sorted(p.real for p in poles if abs(p.imag) < 1e-12)
+    bottoms = [np.array([1.0, -2 * p.real, abs(p) ** 2]) for p in upper]
+    bottoms += [np.real(np.poly(real[i : i + 2])) for i in range(0, len(real), 2)]
+    ordered = _zero_order(sorted(zeros, key=lambda v: (v.real, v.imag)))
+    tops = [np.real(np.poly(ordered[i : i + 2])) for i in range(0, len(ordered), 2)]
+    out = []
+    for i, (b, a) in enumerate(zip(tops, bottoms, strict=True)):
+        b, a = (np.concatenate([c, np.zeros(3 - len(c))]) for c in (b * (1.0 if i else gain), a))
+        out.append((float(b[0]), float(b[1]), float(b[2]), float(a[1]), float(a[2])))
+    return tuple(out)
+
+
+@lru_cache(maxsize=32)
+def impulse_response(order: int, kind: str, edges: tuple[float, ...], fs: float) -> np.ndarray:
+    """Impulse response up to where the slowest pole has faded below double precision."""
+    _, poles, _ = butterworth(order, kind, edges, fs)
     length = int(np.ceil(np.log(FADE) / np.log(np.abs(poles).max()))) + 1
-    # conjugate pairs as a cascade of real second-order steps, run on an impulse
-    upper = sorted((p for p in poles if p.imag >= 0), key=abs)
-    real = [p for p in upper if p.imag == 0 or abs(p.imag) < 1e-12]
-    paired = [p for p in upper if p not in real]
-    tops = sorted(zeros, key=lambda v: (v.real, v.imag))
-    h = np.zeros(length)
-    h[0] = gain
-    for p in paired:
-        h = _recur(h, np.array([1.0, -2 * p.real, abs(p) ** 2]))
-    for p in real:
-        h = _recur(h, np.array([1.0, -p.real]))
-    for section in np.array_split(_zero_order(tops), max(1, len(tops) // 2)):
-        h = np.convolve(h, np.real(np.poly(section)))[:length]
-    return h
+    impulse = np.zeros(length)
+    impulse[0] = 1.0
+    runner = recursive.Runner(recursive.cascade(sections(order, kind, edges, fs)))
+    return runner.run(impulse, np.zeros_like(runner.settled))[0]
 
 
 def _zero_order(zeros: Sequence[complex]) -> np.ndarray:
@@ -93,14 +102,6 @@ def _zero_order(zeros: Sequence[complex]) -> np.ndarray:
     return np.array(out + ones)
 
 
-def _recur(x: np.ndarray, a: np.ndarray) -> np.ndarray:
-    y = x.tolist()
-    for i in range(len(y)):
-        for k in range(1, min(len(a), i + 1)):
-            y[i] -= a[k] * y[i - k]
-    return np.array(y)
-
-
 def _convolve(x: np.ndarray, h: np.ndarray) -> np.ndarray:
     n = len(x) + len(h) - 1
     size = 1 << (n - 1).bit_length()
@@ -112,22 +113,6 @@ def causal(x: np.ndarray, h: np.ndarray) -> np.ndarray:
     return _convolve(x, h)
 
 
-def zero_phase(x: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Filter forwards and backwards, each started in the steady state of its first value."""
-    for _ in range(2):
-        lead = np.full(len(h), x[0])
-        x = _convolve(np.concatenate([lead, x]), h)[len(h) :][::-1]
-    return x
-
-
-def reflect(x: np.ndarray, before: int, after: int) -> np.ndarray:
-    """Continue a signal past its ends by point reflection."""
-    before, after = min(before, len(x) - 1), min(after, len(x) - 1)
-    left = 2 * x[0] - x[before:0:-1]
-    right = 2 * x[-1] - x[-2 : -after - 2 : -1]
-    return np.concatenate([left, x, right])
-
-
 def map_blocks(
     signal: DataFrame,
     block_len: int,
@@ -206,27 +191,19 @@ def clean_channels(
     mains_hz: float = 50.0,
     mains_bandwidth: float = 10.0,
     keys: Sequence[str] = KEYS,
-    block_len: int | None = None,
+    block_len: int = 1 << 16,
 ) -> DataFrame:
     """Band-pass, band-stop around mains (both zero-phase) and scale to unit spread.
 
-    A constant passes the first filter as zero, so the signal needs no centring.
+    A constant passes the first filter as zero, so the signal needs no centring. A missing sample
+    spoils the steps on either side up to where both impulse responses have faded. A block
+    must be longer than the 36 steps by which the ends are continued.
     """
     half = mains_bandwidth / 2
-    band = impulse_response(2, "bandpass", (low, high), fs)
-    notch = impulse_response(6, "bandstop", (mains_hz - half, mains_hz + half), fs)
-    reach = len(band) + len(notch)
-
-    def filtered(x: np.ndarray, first: bool, last: bool) -> np.ndarray:
-        pad = (reach if first else 0), (reach if last else 0)
-        for response in (band, notch):
-            wide = reflect(x, *pad)
-            lead = min(pad[0], len(x) - 1)
-            x = zero_phase(wide, response)[lead : lead + len(x)]
-        return x
-
-    size = block_len or 4 * reach
-    clean = map_blocks(signal, size, reach, reach, filtered, keys)
+    band, notch = (2, "bandpass", (low, high), fs), (6, "bandstop", (mains_hz - half, mains_hz + half), fs)
+    reach = len(impulse_response(*band)) + len(impulse_response(*notch))
+    chain = recursive.Chain(((sections(*band), True), (sections(*notch), True)), reach, reach)
+    clean = recursive.filter_blocks(signal, chain, block_len, keys)
     spread = clean.groupBy(*keys).agg(F.stddev_samp("value").alias("_sd"))
     scaled = F.col("value") / F.nullif("_sd", F.lit(0.0))
     return join_on(clean, spread, keys).withColumn("value", scaled).drop("_sd")
@@ -247,21 +224,21 @@ def envelope(
     envelope_freq: float = 0.32,
     taps: int = 50,
     keys: Sequence[str] = KEYS,
-    block_len: int | None = None,
+    block_len: int = 1 << 16,
 ) -> DataFrame:
-    """Amplitude envelope: FIR band-pass, rectification, causal low-pass."""
+    """Amplitude envelope: FIR band-pass, rectification, causal low-pass, from rest.
+
+    A missing sample spoils the steps after it up to where the response has faded.
+    """
     band = fir_bandpass(taps, low, high, fs)
-    smooth = impulse_response(5, "lowpass", (envelope_freq,), fs)
-    reach = len(smooth) + taps
+    smooth = (5, "lowpass", (envelope_freq,), fs)
+    reach = len(impulse_response(*smooth)) + taps
 
-    def enveloped(x: np.ndarray, first: bool, last: bool) -> np.ndarray:
-        y = causal(x, band)
-        if not first:
-            # the halo's first samples lack their own past
-            y[: taps - 1] = 0.0
-        return causal(np.abs(y), smooth)
+    def rectified(x: np.ndarray) -> np.ndarray:
+        return np.abs(np.convolve(x, band)[: len(x)])
 
-    return map_blocks(signal, block_len or 4 * reach, reach, 0, enveloped, keys)
+    chain = recursive.Chain(((sections(*smooth), False),), reach, 0, taps - 1, rectified)
+    return recursive.filter_blocks(signal, chain, block_len, keys)
 
 
 def margins(

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.nulls import rounded
 from tracemill.functions.scalar import signed_log10
-from tracemill.operators import dsp, signal, tricorr
+from tracemill.operators import dsp, intervals, signal, tricorr
 from tracemill.plans import views
 from tracemill.plans.registry import query
-from tracemill.plans.views import with_views
+from tracemill.plans.views import runs_sql, with_views
 
 SECOND = 250  # orders per snippet of the order recordings
 
@@ -368,11 +368,81 @@ def dsp_fir_gaps(spark, sf_dir):
     return found.select("patient_num", "channel", "idx", rounded("value", 4).alias("value"))
 
 
-@query("dsp_clean")
+def _response_sql(name: str, sections, steps: int) -> str:
+    """Impulse response of a cascade by recursion over its sections, as reversed list `rev` and running sums `cum`."""
+    zero = ", ".join(f"0.0::DOUBLE AS p{i}, 0.0::DOUBLE AS q{i}" for i in range(len(sections)))
+    signal_in, states = "u", []
+    for i, (b0, b1, b2, a1, a2) in enumerate(sections):
+        out = f"({b0!r} * {signal_in} + p{i})"
+        states += [f"{b1!r} * {signal_in} - ({a1!r}) * {out} + q{i}", f"{b2!r} * {signal_in} - ({a2!r}) * {out}"]
+        signal_in = out
+    names = ", ".join(f"p{i}, q{i}" for i in range(len(sections)))
+    return f"""
+{name}_steps(k, u, y, {names}) AS (
+  SELECT -1, 1.0::DOUBLE, 0.0::DOUBLE, {zero} UNION ALL
+  SELECT k + 1, 0.0::DOUBLE, {signal_in}, {", ".join(states)} FROM {name}_steps WHERE k < {steps}),
+{name}_h AS (
+  SELECT list(y ORDER BY k DESC) AS rev, list(c ORDER BY k) AS cum, count(*) AS n
+  FROM (SELECT k, y, sum(y) OVER (ORDER BY k) AS c FROM {name}_steps WHERE k >= 0))"""
+
+
+def _pass_sql(name: str, source: str, response: str, settled: float | None) -> str:
+    """`xs` of every series through a filter: from rest, or from the settled state of its first value."""
+    start = "" if settled is None else f" + xs[1] * ({settled!r} - cum[t])"
+    return f"""
+{name} AS (
+  SELECT patient_num, channel, list_transform(range(1, len(xs) + 1),
+    lambda t: list_inner_product(xs[1:t], rev[n - t + 1:n]){start}) AS xs FROM {source}, {response}_h)"""
+
+
+def _zero_phase_sql(name: str, source: str, sections) -> str:
+    pad = 6 * len(sections)
+    gain = 1.0
+    for b0, b1, b2, a1, a2 in sections:
+        gain *= (b0 + b1 + b2) / (1 + a1 + a2)
+    return f"""
+{name}_wide AS (
+  SELECT patient_num, channel, list_concat(list_transform(range({pad}, 0, -1), lambda i: 2 * xs[1] - xs[i + 1]),
+    list_concat(xs, list_transform(range(1, {pad} + 1), lambda i: 2 * xs[len(xs)] - xs[len(xs) - i]))) AS xs FROM {source}),
+{_pass_sql(name + "_there", name + "_wide", name, gain)},
+{name}_turned AS (SELECT patient_num, channel, list_reverse(xs) AS xs FROM {name}_there),
+{_pass_sql(name + "_back", name + "_turned", name, gain)},
+{name} AS (SELECT patient_num, channel, (list_reverse(xs))[{pad} + 1:len(xs) - {pad}] AS xs FROM {name}_back)"""
+
+
+_LONGEST = views.ORDER_RECORDING + 100
+_BAND, _NOTCH = dsp.sections(2, "bandpass", (0.1, 70.0), 256.0), dsp.sections(6, "bandstop", (45.0, 55.0), 256.0)
+_SERIES = "series AS (SELECT patient_num, channel, list(value ORDER BY idx) AS xs FROM osig GROUP BY 1, 2)"
+
+
+@query(
+    "dsp_clean",
+    with_views("lines", _SERIES, _response_sql("band", _BAND, _LONGEST), _zero_phase_sql("band", "series", _BAND),
+               _response_sql("notch", _NOTCH, _LONGEST), _zero_phase_sql("notch", "band", _NOTCH)).replace("WITH ", "WITH RECURSIVE ", 1)
+    + """
+SELECT patient_num, channel, idx, round(v / nullif(stddev_samp(v) OVER (PARTITION BY patient_num, channel), 0.0), 3) + 0.0 AS value
+FROM (SELECT patient_num, channel, CAST(unnest(range(0, len(xs))) AS BIGINT) AS idx, unnest(xs) AS v FROM notch)""",
+)
 def dsp_clean(spark, sf_dir):
-    """Zero-phase band-pass and mains removal; recursive filters have no SQL form."""
+    """Zero-phase band-pass and mains removal of whole recordings."""
     found = dsp.clean_channels(views.order_signal(spark, sf_dir), 256.0)
-    return found.select("patient_num", "channel", "idx", rounded("value").alias("value"))
+    return found.select("patient_num", "channel", "idx", rounded("value", 3).alias("value"))
+
+
+@query(
+    "dsp_clean_null_keys",
+    with_views("lines", _SERIES, _response_sql("band", _BAND, _LONGEST), _zero_phase_sql("band", "series", _BAND),
+               _response_sql("notch", _NOTCH, _LONGEST), _zero_phase_sql("notch", "band", _NOTCH)).replace("WITH ", "WITH RECURSIVE ", 1)
+    + """
+SELECT nullif(patient_num, 0) AS patient_num, channel, idx,
+  round(v / nullif(stddev_samp(v) OVER (PARTITION BY patient_num, channel), 0.0), 3) + 0.0 AS value
+FROM (SELECT patient_num, channel, CAST(unnest(range(0, len(xs))) AS BIGINT) AS idx, unnest(xs) AS v FROM notch)""",
+)
+def dsp_clean_null_keys(spark, sf_dir):
+    """A recording without a number is one like any other; short blocks carry their states on."""
+    recording = views.order_signal(spark, sf_dir).withColumn("patient_num", F.expr("nullif(patient_num, 0)"))
+    found = dsp.clean_channels(recording, 256.0, block_len=1000)
+    return found.select("patient_num", "channel", "idx", rounded("value", 3).alias("value"))
 
 
 @query(
@@ -408,18 +478,46 @@ def aeeg_margins_missing(spark, sf_dir):
     )
 
 
-@query("aeeg_lower_margin")
+_SMOOTH = dsp.sections(5, "lowpass", (0.32,), 256.0)
+_LOUD = 1.05
+
+
+def _loud_seconds(spark, sf_dir):
+    """Seconds in which a recording ships more than usual, as intervals."""
+    second = F.floor(F.col("idx") / 256).alias("idx")
+    sums = views.order_signal(spark, sf_dir).groupBy("patient_num", second).agg(F.sum("value").alias("q"))
+    usual = sums.groupBy("patient_num").agg(F.avg("q").alias("m"))
+    return intervals.runs(sums.join(usual, "patient_num").select("patient_num", "idx", (F.col("q") > _LOUD * F.col("m")).alias("flag")))
+
+
+@query(
+    "aeeg_lower_margin",
+    with_views(
+        "lines",
+        f"""
+fir AS (
+  SELECT patient_num, channel, idx, abs({" + ".join(f"coalesce(lag(value, {k}) OVER w, 0.0) * {h!r}" for k, h in enumerate(_TAPS))}) AS value
+  FROM osig WINDOW w AS (PARTITION BY patient_num, channel ORDER BY idx)),
+series AS (SELECT patient_num, channel, list(value ORDER BY idx) AS xs FROM fir GROUP BY 1, 2)""",
+        _response_sql("smooth", _SMOOTH, _LONGEST),
+        _pass_sql("enveloped", "series", "smooth", None),
+        f"""
+sums AS (SELECT patient_num, idx // 256 AS idx, sum(value) AS q FROM osig GROUP BY 1, 2),
+loud AS (SELECT patient_num, idx, q > {_LOUD} * avg(q) OVER (PARTITION BY patient_num) AS flag FROM sums)""",
+        runs_sql("runs", "loud", "idx", "flag"),
+    ).replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + f""",
+points AS (SELECT patient_num, channel, unnest(range(0, len(xs))) AS idx, unnest(xs) AS v FROM enveloped),
+masked AS (
+  SELECT p.patient_num, channel, idx, CASE WHEN count(r.on_s) = 0 THEN any_value(v) END AS v FROM points p
+  LEFT JOIN runs r ON r.patient_num = p.patient_num AND r.on_s <= idx / 256.0 AND idx / 256.0 < r.off_s GROUP BY 1, 2, 3)
+SELECT patient_num, channel, idx // {SECOND} AS idx,
+  CASE WHEN count(v) = {SECOND} THEN round(list_sort(list(v))[{int(0.09 * SECOND)}], 5) + 0.0 END AS value
+FROM masked GROUP BY 1, 2, 3 HAVING count(*) = {SECOND}""",
+)
 def aeeg_lower_margin(spark, sf_dir):
     """Lower margin of the filtered amplitude envelope, artifacts masked after filtering."""
-    recording = views.order_signal(spark, sf_dir)
-    envelopes = dsp.envelope(recording, 256.0).withColumn("t", F.col("idx") / 256.0)
-    artifacts = views.table(spark, sf_dir, "orders").filter(F.col("o_totalprice") > 499_500)
-    place = (F.col("o_orderkey") % views.ORDER_RECORDING) / 256.0
-    intervals = artifacts.select(
-        F.floor(F.col("o_orderkey") / views.ORDER_RECORDING).cast("int").alias("patient_num"),
-        place.alias("on_s"),
-        (place + 1).alias("off_s"),
-    )
-    masked = signal.mask_covered(envelopes, intervals)
+    envelopes = dsp.envelope(views.order_signal(spark, sf_dir), 256.0).withColumn("t", F.col("idx") / 256.0)
+    masked = signal.mask_covered(envelopes, _loud_seconds(spark, sf_dir))
     lower = dsp.lower_margin(dsp.margins(masked, SECOND))
-    return lower.select("patient_num", "channel", "idx", rounded("value").alias("value"))
+    return lower.select("patient_num", "channel", "idx", rounded("value", 5).alias("value"))
