@@ -10,7 +10,7 @@ repeat within a key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,6 +60,61 @@ def rolling(
     return kept.select(*columns, F.col("_rolled").alias(out))
 
 
+def rolling_by(
+    df: DataFrame,
+    k: int,
+    window_fn: Callable[[Column], Column],
+    keys: Sequence[str] = KEYS,
+    idx: str = "idx",
+    value: str = "value",
+    out: str = "value",
+    block_len: int | None = None,
+) -> DataFrame:
+    """Trailing windows of `k` steps by any function of the array of their values, in order of time.
+
+    NULL unless all `k` steps are there and non-NULL. Every row gathers its window, so the work is
+    `k` per row; the statistics of `rolling` don't need that.
+    """
+    size = _block_size(k, block_len)
+    frame = Window.partitionBy(*keys, "_block").orderBy(idx).rangeBetween(-(k - 1), 0)
+    gathered = _with_halo(df, keys, idx, size, k - 1).withColumn("_values", F.collect_list(value).over(frame))
+    kept = gathered.filter(F.col("_block") == F.floor(F.col(idx) / size))
+    columns = [c for c in df.columns if c != out]
+    return kept.select(*columns, F.when(F.size("_values") == k, window_fn(F.col("_values"))).alias(out))
+
+
+def quantile_of(share: float) -> Callable[[Column], Column]:
+    """The quantile of a window, for `rolling_by`, with linear interpolation between neighbours."""
+
+    def pick(values: Column) -> Column:
+        ordered = F.sort_array(values)
+        at = (F.size(values) - 1) * F.lit(float(share))
+        low, high = F.floor(at), F.ceil(at)
+        a, b = (F.element_at(ordered, (p + 1).cast("int")) for p in (low, high))
+        return a + (at - low) * (b - a)
+
+    return pick
+
+
+median = quantile_of(0.5)
+
+
+def window_steps(window_s: float, step_s: float) -> int:
+    """Whole steps of `step_s` seconds in a window; one that holds none is refused."""
+    k = int(window_s // step_s)
+    if k < 1:
+        raise ValueError(f"a window of {window_s} s holds no step of {step_s} s")
+    return k
+
+
+def rolling_seconds(
+    df: DataFrame, window_s: float, step_s: float, stat: str | Callable[[Column], Column] = "mean", **options
+) -> DataFrame:
+    """Trailing windows given in seconds, by a named statistic or a function of the window's values."""
+    k = window_steps(window_s, step_s)
+    return rolling(df, k, stat, **options) if isinstance(stat, str) else rolling_by(df, k, stat, **options)
+
+
 def _sliding(halo: DataFrame, k: int, stat: str, keys: Sequence[str], idx: str, value: str) -> DataFrame:
     frame = Window.partitionBy(*keys, "_block").orderBy(idx).rangeBetween(-(k - 1), 0)
     v = F.col(value)

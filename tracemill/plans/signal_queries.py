@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracemill.functions.nulls import rounded
 from tracemill.operators import intervals, rolling, signal, standardize
 from tracemill.plans import views
+from tracemill.plans.params import merged
 from tracemill.plans.registry import query
 from tracemill.plans.views import runs_sql, with_views
 
@@ -55,6 +56,26 @@ def sig_rolling_std(spark, sf_dir):
     return _shown(rolling.rolling(views.event_signal(spark, sf_dir), K, "std"), *CELL)
 
 
+@query("sig_rolling_median", with_views("lines").rstrip() + """
+, rolled AS (
+  SELECT patient_num, channel, idx, CASE WHEN count(value) OVER w = 15 THEN median(value) OVER w END AS value FROM osig
+  WINDOW w AS (PARTITION BY patient_num, channel ORDER BY idx ROWS BETWEEN 14 PRECEDING AND CURRENT ROW))
+""" + _out("rolled"))
+def sig_rolling_median(spark, sf_dir):
+    """Windows by a function of their values."""
+    return _shown(rolling.rolling_by(views.order_signal(spark, sf_dir), 15, rolling.median), *CELL)
+
+
+@query("sig_rolling_seconds", with_views("signal", _rolled_sql("quantile_cont(value, 0.9)", 4)) + _out("rolled"))
+def sig_rolling_seconds(spark, sf_dir):
+    """The published window in seconds, over steps of the margins' length, by an upper quantile."""
+    settings = merged("aEEG", {"window_fn": rolling.quantile_of(0.9)})
+    rolled = rolling.rolling_seconds(
+        views.event_signal(spark, sf_dir), settings["rolling_window_s"], settings["snippets_duration_s"], settings["window_fn"]
+    )
+    return _shown(rolled, *CELL)
+
+
 @query("sig_rolling_long", with_views("lines", _rolled_sql("avg(value)", 60, "osig")) + _out("rolled"))
 def sig_rolling_long(spark, sf_dir):
     """Sixty-step window over the order recordings."""
