@@ -114,7 +114,7 @@ def decode_from(block: dict, table: Table, point: int) -> np.ndarray:
 
 
 #: Pieces whose ids a worker remembers.
-MEMO = 250_000
+MEMO = 600_000
 
 
 def _squeezed(ids: np.ndarray, width: int) -> bytes:

@@ -153,7 +153,7 @@ def packed(
     grain: int = 32,
     block: int = 1 << 16,
     key: str = "doc_id",
-    memo: int = 250_000,
+    memo: int = 600_000,
 ) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset): one row per piece.
 
