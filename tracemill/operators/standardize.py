@@ -19,10 +19,17 @@ CHANNEL = "channel"
 
 
 def standardize(
-    signal: DataFrame, standardization: str, keys: Sequence[str] = KEYS, strict: bool = False, value: str = "value"
+    signal: DataFrame,
+    standardization: str,
+    keys: Sequence[str] = KEYS,
+    strict: bool = False,
+    value: str = "value",
+    pool: Sequence[str] = (),
 ) -> DataFrame:
     """Z-score each channel "within" its recording or "across" all recordings.
 
+    With `pool`, a part of `keys`, "across" means all recordings that agree in these columns.
+
     The moments are taken over the time steps at which the first channel is present; a
     channel that is missing at one of those becomes missing altogether. `strict=True`
     uses each channel's own present steps instead.
@@ -30,7 +37,7 @@ def standardize(
     if standardization == "within":
         groups = [*keys, CHANNEL]
     elif standardization == "across":
-        groups = [CHANNEL]
+        groups = [*pool, CHANNEL]
     else:
         raise ValueError(f"unknown standardization {standardization!r}")
     v = F.col(value)

@@ -6,6 +6,7 @@ from tracemill.plans import (  # noqa: F401
     case_queries,
     detection_queries,
     interval_queries,
+    run_queries,
     signal_queries,
     source_queries,
     statistics_queries,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from tracemill.operators import detection, intervals, statistics
 from tracemill.operators.rolling import rolling
 from tracemill.operators.signal import drop_channels, mark_covered, poison_blocks
 from tracemill.operators.standardize import reduce_channels, standardize
+from tracemill.operators.tables import union_all
 from tracemill.session import cut_lineage
 
 KEYS = ("patient_num",)
@@ -69,17 +70,18 @@ def sensitivity(
     reviewers: Sequence[int] = (3, 2, 1),
     snippet_s: int = 1,
     discretization_s: float | None = None,
+    by: Sequence[str] = ("signal", "standardization"),
 ) -> DataFrame:
     """Area and operating points of every analysis setting in one pass.
 
-    `traces` are detector traces with `signal` and `standardization`; each is scored
-    against the seizures of each consensus level, per seizure and per patient. The
+    `traces` are detector traces with the columns `by` that tell the settings apart; each is
+    scored against the seizures of each consensus level, per seizure and per patient. The
     settings are keys of the same tables, not separate runs.
     """
-    settings = ("signal", "standardization", "min_reviewers_per_seizure")
+    settings = (*by, "min_reviewers_per_seizure")
     keys = (*settings, "patient_num")
     level = F.explode(F.array(*[F.lit(r) for r in reviewers]))
-    configured = traces.select("signal", "standardization").distinct()
+    configured = traces.select(*by).distinct()
     bounds = recordings.select(
         "patient_num", F.col("start_s").cast("double"), (F.col("start_s") + F.col("duration_s")).alias("stop_s")
     )
@@ -94,11 +96,11 @@ def sensitivity(
         found = intervals.discretize(framed, discretization_s, F.col("start_s"), F.col("stop_s"))
         found = intervals.merge(found, ("min_reviewers_per_seizure", "patient_num"))
     # the settings are few by construction, so they are carried as an array on each row
-    kinds = configured.agg(F.collect_set(F.struct("signal", "standardization"))).scalar()
+    kinds = configured.agg(F.collect_set(F.struct(*by))).scalar()
 
     def for_each_setting(df: DataFrame) -> DataFrame:
         spread = df.withColumn("_k", F.explode(kinds))
-        return spread.select("*", "_k.signal", "_k.standardization").drop("_k")
+        return spread.select("*", *[f"_k.{c}" for c in by]).drop("_k")
 
     outlines = for_each_setting(recordings.withColumn("min_reviewers_per_seizure", level))
     scores = detection.seizure_targets(
@@ -111,6 +113,73 @@ def sensitivity(
     return evaluate(by_seizure.unionByName(by_patient), ("target", *settings))
 
 
+def mask_grades(
+    signal: DataFrame,
+    artifacts: DataFrame,
+    grade_sets: Sequence[Sequence[int]],
+    step_s: float = 1.0,
+    keys: Sequence[str] = KEYS,
+    block_s: float = intervals.BLOCK_S,
+) -> DataFrame:
+    """The signal once per set of excluded grades, with the samples under such artifacts missing.
+
+    `artifacts` are intervals with a `grade`. Every sample learns once which grades cover it, as
+    the bits of a number; the sets are masks on that number. The new column
+    `excluded_artifact_grades` is the set as text, such as "1,2".
+    """
+    grades = sorted({g for grade_set in grade_sets for g in grade_set})
+    marked = signal.withColumns({"_t": F.col("idx") * float(step_s), "_bits": F.lit(0).cast("bigint")})
+    for at, grade in enumerate(grades):
+        of_grade = artifacts.filter(F.col("grade") == grade)
+        marked = mark_covered(marked, of_grade, "_hit", keys, "_t", block_s)
+        bit = F.when(F.col("_hit"), F.lit(1 << at)).otherwise(0)
+        marked = marked.withColumn("_bits", F.col("_bits").bitwiseOR(bit.cast("bigint"))).drop("_hit")
+    sets = [
+        F.struct(
+            F.lit(",".join(map(str, sorted(grade_set)))).alias("name"),
+            F.lit(sum(1 << grades.index(g) for g in set(grade_set))).cast("bigint").alias("mask"),
+        )
+        for grade_set in grade_sets
+    ]
+    spread = marked.withColumn("_set", F.explode(F.array(*sets)))
+    free = F.col("_bits").bitwiseAND(F.col("_set.mask")) == 0
+    return spread.withColumns({"value": F.when(free, F.col("value")), "excluded_artifact_grades": F.col("_set.name")}).drop(
+        "_t", "_bits", "_set"
+    )
+
+
+SETTINGS = ("signal", "excluded_artifact_grades", "patient_set")
+
+
+def setting_traces(
+    signal: DataFrame,
+    members: DataFrame,
+    reductions: Mapping[str, str],
+    window: int,
+    stat: str = "mean",
+    standardizations: Sequence[str] = ("within", "across"),
+) -> DataFrame:
+    """Detector traces of every signal, set of grades, set of recordings and standardisation.
+
+    `signal` has `signal, excluded_artifact_grades` besides the usual columns, `members` a row
+    (`patient_num, patient_set`) for each recording of each set, and `reductions` the channel
+    reduction of each kind of signal. Windows don't depend on the set of recordings, so they
+    are taken once, before the sets are joined; "across" pools the recordings of one set.
+    """
+    rolled = rolling(signal, window, stat, keys=("signal", "excluded_artifact_grades", "patient_num", "channel"))
+    # one value per window and channel, read by each standardisation and reduction below
+    rolled = join_on(cut_lineage(rolled), members.select("patient_num", "patient_set"), ["patient_num"])
+    keys = (*SETTINGS, "patient_num")
+    traces = []
+    for standardization in standardizations:
+        scaled = standardize(rolled, standardization, keys, pool=SETTINGS)
+        for reduction in sorted(set(reductions.values())):
+            kinds = [name for name, used in reductions.items() if used == reduction]
+            trace = reduce_channels(scaled.filter(F.col("signal").isin(kinds)), reduction, keys)
+            traces.append(trace.withColumns({"standardization": F.lit(standardization), "reduction": F.lit(reduction)}))
+    return union_all(traces)
+
+
 def evaluate(
     scores: DataFrame, keys: Sequence[str] = (), fphr: float = 5.7, tpr: float = 0.8, epochs_per_hour: float = 60.0
 ) -> DataFrame:
