@@ -34,3 +34,32 @@ def test_rolling_over_batches(spark, tmp_path, k, block):
 def test_block_must_hold_a_window(spark):
     with pytest.raises(ValueError):
         windows.rolling(None, 5, block_len=4)
+
+
+EVENTS = "patient_num int, channel string, ts timestamp, value double"
+
+
+def test_a_finite_stream_gives_all_its_windows(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    rows = [(p, "a", start + timedelta(minutes=10 * i), float(i)) for p in (1, None) for i in range(12)]
+    for b in range(3):
+        part = rows[b::3]
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.parquet(str(tmp_path / f"in{b}"))
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+
+    def finished(name, operator):
+        return windows.run_to_end(stream, operator, *[str(tmp_path / name / d) for d in ("out", "state", "marks")]).collect()
+
+    bins = finished("bins", lambda s: windows.tumbling(s, "1 hour", "1 day"))
+    assert sorted((r.patient_num or 0, r.n, r.value) for r in bins) == [(0, 6, 5.0), (0, 6, 11.0), (1, 6, 5.0), (1, 6, 11.0)]
+    bursts = finished("bursts", lambda s: windows.sessions(s, "15 minutes", "1 day"))
+    assert sorted((r.patient_num or 0, r.n) for r in bursts) == [(0, 12), (1, 12)]
+
+
+def test_an_empty_stream_ends_without_windows(spark, tmp_path):
+    spark.createDataFrame([], EVENTS).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
+    folders = [str(tmp_path / d) for d in ("out", "state", "marks")]
+    assert windows.run_to_end(stream, lambda s: windows.tumbling(s, "1 hour", "1 day"), *folders).count() == 0

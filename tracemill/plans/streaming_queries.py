@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,6 @@ from tracemill.plans.views import with_views
 from tracemill.session import scratch_folder
 from tracemill.streaming import windows
 
-# A window is out once the stream's clock, the latest event less the allowed lateness, is past it.
-_CLOCK = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
-
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = views.table(spark, sf_dir, "events").schema
@@ -34,17 +32,21 @@ def _finished(result: DataFrame) -> DataFrame:
     return windows.run_to_table(result, f"{folder}/out", f"{folder}/state")
 
 
+def _ended(stream: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    folder = f"{scratch_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    return windows.run_to_end(stream, operator, f"{folder}/out", f"{folder}/state", f"{folder}/marks")
+
+
 @query(
     "stream_tumbling",
-    f"""
+    """
 SELECT patient_num, channel, CAST(epoch(start) AS BIGINT) AS start, n, round(value, 6) AS value FROM (
   SELECT CAST(user_id % 8 AS INT) AS patient_num, event_type AS channel,
     time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS start, count(*) AS n, max(value) AS value
-  FROM events GROUP BY 1, 2, 3)
-WHERE start + INTERVAL 6 HOUR <= {_CLOCK}""",
+  FROM events GROUP BY 1, 2, 3)""",
 )
 def stream_tumbling(spark, sf_dir):
-    found = _finished(windows.tumbling(event_stream(spark, sf_dir), "6 hours", "1 hour"))
+    found = _ended(event_stream(spark, sf_dir), lambda s: windows.tumbling(s, "6 hours", "1 hour"))
     return found.select(
         "patient_num", "channel", F.unix_seconds("start").alias("start"), "n", rounded("value").alias("value")
     )
@@ -52,18 +54,17 @@ def stream_tumbling(spark, sf_dir):
 
 @query(
     "stream_sliding",
-    f"""
+    """
 SELECT patient_num, channel, CAST(epoch(start + INTERVAL 12 HOUR) AS BIGINT) AS "end", n,
   round(CASE WHEN n = 8 THEN value END, 6) AS value FROM (
   SELECT CAST(user_id % 8 AS INT) AS patient_num, event_type AS channel,
     time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') - k * INTERVAL 6 HOUR AS start,
     count(value) AS n, avg(value) AS value
-  FROM events CROSS JOIN (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2, 3)
-WHERE start + INTERVAL 12 HOUR <= {_CLOCK}""",
+  FROM events CROSS JOIN (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2, 3)""",
 )
 def stream_sliding(spark, sf_dir):
     """Twelve-hour windows every six hours, kept where they hold exactly eight values."""
-    found = _finished(windows.sliding(event_stream(spark, sf_dir), "12 hours", "6 hours", "1 hour", expected=8))
+    found = _ended(event_stream(spark, sf_dir), lambda s: windows.sliding(s, "12 hours", "6 hours", "1 hour", expected=8))
     return found.select(
         "patient_num", "channel", F.unix_seconds("end").alias("end"), "n", rounded("value").alias("value")
     )
@@ -71,18 +72,18 @@ def stream_sliding(spark, sf_dir):
 
 @query(
     "stream_sessions",
-    f"""
+    """
 SELECT patient_num, CAST(epoch_us(min(ts)) AS BIGINT) AS start, CAST(epoch_us(max(ts)) + 1800000000 AS BIGINT) AS "end",
   count(*) AS n FROM (
   SELECT *, sum(CASE WHEN seen IS NULL OR ts > seen + INTERVAL 30 MINUTE THEN 1 ELSE 0 END)
     OVER (PARTITION BY patient_num ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g
   FROM (SELECT CAST(user_id % 8 AS INT) AS patient_num, ts, event_id,
     lag(ts) OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) AS seen FROM events))
-GROUP BY patient_num, g HAVING max(ts) + INTERVAL 30 MINUTE <= {_CLOCK}""",
+GROUP BY patient_num, g""",
 )
 def stream_sessions(spark, sf_dir):
     """Bursts of events as intervals; a half-hour pause ends one."""
-    found = _finished(windows.sessions(event_stream(spark, sf_dir), "30 minutes", "1 hour"))
+    found = _ended(event_stream(spark, sf_dir), lambda s: windows.sessions(s, "30 minutes", "1 hour"))
     return found.select("patient_num", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
 
 

@@ -110,6 +110,39 @@ def rolling(stream: DataFrame, k: int, block_len: int = 4096) -> DataFrame:
     )
 
 
+def with_end(stream: DataFrame, folder: str) -> DataFrame:
+    """The stream and, beside it, the folder that `end_stream` later writes to.
+
+    A windowed operator holds its last windows until its clock passes them, so the end of a
+    finite input has to be told. The mark is a row with NULL in all columns but the time.
+    """
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("append").parquet(folder)
+    marks = stream.sparkSession.readStream.schema(stream.schema).parquet(folder)
+    return stream.unionByName(marks)
+
+
+def end_stream(stream: DataFrame, folder: str, at: str = "9000-01-01", ts: str = "ts") -> None:
+    """Write the end mark of `stream`, later than any event; it is in a window of its own that never closes."""
+    columns = [
+        (F.lit(at) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema.fields
+    ]
+    stream.sparkSession.range(1).select(*columns).write.mode("append").parquet(folder)
+
+
+def run_to_end(
+    stream: DataFrame, operator: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, marks: str, ts: str = "ts"
+) -> DataFrame:
+    """Run a finite stream through a windowed operator until all its windows are out.
+
+    First everything that the stream holds is taken in, then the end mark; both runs share one
+    checkpoint, so a run that is lost goes on where it was.
+    """
+    ended = operator(with_end(stream, marks))
+    run_to_table(ended, path, checkpoint)
+    end_stream(stream, marks, ts=ts)
+    return run_to_table(ended, path, checkpoint)
+
+
 def run_to_table(result: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run a finite stream to its end into Parquet and read that back."""
     running = (
