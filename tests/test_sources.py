@@ -7,6 +7,7 @@ import os
 import numpy as np
 import pytest
 from fixtures import write_edf, write_mat
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -166,3 +167,29 @@ def test_export(spark, folder):
     files.export_recording(samples, outlines, outlines.select("patient_num"), none, str(path / "out"))
     back = spark.read.parquet(str(path / "out" / "samples"))
     assert back.count() == samples.count()
+
+
+def test_broken_note_lines_are_told(spark, tmp_path):
+    path = tmp_path / "notes.csv"
+    path.write_text(
+        "Text,Patient #,Time,Duration,Extra\nGrade 1,1,d1 10:00:15,3 sec,x\nGrade 1,2\nGrade 1,x,d1 10:00:15,3 sec,\n"
+        '"Grade, 2",3,d1 10:00:20,3 sec,x\nGrade 1,4,d1 10:00:20,3 sec,x,one,more\n'
+    )
+    rows = files.checked_notes(spark, str(path)).collect()
+    assert [(r.patient_num, r.text, r.time) for r in rows if r.broken is None] == [
+        (1, "Grade 1", "d1 10:00:15"), (3, "Grade, 2", "d1 10:00:20"),
+    ]
+    broken = [r for r in rows if r.broken is not None]
+    assert len(rows) == 5 and len(broken) == 3
+    assert all(r.patient_num is None and r.text is None for r in broken)
+    assert {"Grade 1,2", "Grade 1,4,d1 10:00:20,3 sec,x,one,more"} < {r.broken for r in broken}
+
+
+def test_only_an_absent_cache_is_empty(spark, tmp_path):
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_text("not parquet")
+    assert cache.load_latest(spark, str(tmp_path / "none"), "a") is None
+    (tmp_path / "empty").mkdir()
+    assert cache.load_latest(spark, str(tmp_path / "empty"), "a") is None
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        cache.load_latest(spark, str(tmp_path / "bad"), "a")

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.naming import result_key
 from tracemill.functions.nulls import rounded
-from tracemill.operators import intervals
+from tracemill.operators import annotations, detection, intervals
 from tracemill.operators.tables import union_all
 from tracemill.plans import views
-from tracemill.plans.interval_queries import _event_bounds, _runs
+from tracemill.plans.detection_queries import _DS, _SWEEP
+from tracemill.plans.interval_queries import _NOTES, _event_bounds, _runs, order_notes
 from tracemill.plans.params import BY_SIGNAL, COMMON
 from tracemill.plans.registry import query
-from tracemill.plans.views import with_views
+from tracemill.plans.views import collapse_sql, with_views
 from tracemill.session import scratch_folder
 from tracemill.sources import cache, files
 
@@ -105,3 +106,72 @@ def src_export(spark, sf_dir):
 
     parts = [part("samples", "idx", "value", "channel"), part("recordings", "start_s", "duration_s")]
     return union_all([*parts, part("reviewer_counts", "sec", "n"), part("intervals", "on_s", "off_s")])
+
+
+@query(
+    "src_notes",
+    with_views(_NOTES.replace("FROM orders)", "FROM orders WHERE o_orderkey % 50 > 1)", 1), collapse_sql("joined", "snapped"))
+    + """
+SELECT 'interval' AS part, patient_num, on_s, off_s FROM joined
+UNION ALL SELECT 'broken lines', NULL, CAST(count(*) FILTER (WHERE o_orderkey % 50 = 0) AS DOUBLE),
+  CAST(count(*) FILTER (WHERE o_orderkey % 50 = 1) AS DOUBLE) FROM orders""",
+)
+def src_notes(spark, sf_dir):
+    """Artifact notes from file to intervals; cut lines and lines without a patient are counted, not lost."""
+    key = F.col("o_orderkey") % 50
+    patient = F.when(key == 1, F.lit("n/a")).otherwise(F.col("patient_num").cast("string"))
+    line = F.when(key == 0, F.concat_ws(",", patient, "text")).otherwise(F.concat_ws(",", patient, "text", "time", "duration"))
+    folder = _folder(spark)
+    order_notes(spark, sf_dir).select(line).write.text(folder)
+    notes = files.checked_notes(spark, folder, tuple(files.NOTE_COLUMNS))
+    good = notes.filter(F.col("broken").isNull())
+    ends = good.select("patient_num").distinct().select(
+        "patient_num", F.lit("00:00:00").alias("start_clock"), F.lit(0.0).alias("start_s"), F.lit(90_000.0).alias("stop_s")
+    )
+    found = annotations.artifact_intervals(good, ends, (1,), 15)
+    named = F.col("broken").startswith("n/a")
+    broken = notes.filter(F.col("broken").isNotNull()).agg(
+        F.count_if(~named).cast("double").alias("on_s"), F.count_if(named).cast("double").alias("off_s")
+    )
+    return union_all(
+        [
+            found.select(F.lit("interval").alias("part"), F.col("patient_num").cast("bigint").alias("patient_num"), "on_s", "off_s"),
+            broken.select(F.lit("broken lines").alias("part"), F.lit(None).cast("bigint").alias("patient_num"), "on_s", "off_s"),
+        ]
+    )
+
+
+@query(
+    "src_curves",
+    with_views(_DS, _SWEEP)
+    + """
+SELECT step, lang, round(theta, 6) AS theta, true_positives + CASE step WHEN 'updated' THEN 1 ELSE 0 END AS true_positives, false_positives
+FROM sweep CROSS JOIN (SELECT unnest(['computed', 'found', 'updated']) AS step)""",
+)
+def src_curves(spark, sf_dir):
+    """Curves kept by parameters and recordings: computed once, found again in any order of either, replaced by a newer one."""
+    folder = _folder(spark)
+    params = dict(COMMON) | BY_SIGNAL["tricorr"]
+    stem = result_key("roc", params)
+    same = result_key("roc", dict(reversed(params.items())))
+
+    def compute():
+        return detection.roc_sweep(views.document_scores(spark, sf_dir), 100, ("lang",))
+
+    def again():
+        raise AssertionError("a kept curve is not computed again")
+
+    steps = {
+        "computed": cache.load_or_compute_curve(spark, folder, stem, (1, 2, 3), "2024-01-01T00", compute),
+        "found": cache.load_or_compute_curve(spark, folder, same, (3, 1, 2), "2024-01-02T00", again),
+    }
+    newer = compute().withColumn("true_positives", F.col("true_positives") + 1)
+    cache.save_curve(newer, folder, stem, (2, 3, 1), "2024-01-03T00")
+    # another set of recordings has a curve of its own
+    cache.save_curve(newer, folder, stem, (1, 2), "2024-01-04T00")
+    steps["updated"] = cache.load_or_compute_curve(spark, folder, stem, (1, 2, 3), "2024-01-05T00", again)
+    shown = [
+        df.select(F.lit(step).alias("step"), "lang", rounded("theta").alias("theta"), "true_positives", "false_positives")
+        for step, df in steps.items()
+    ]
+    return union_all(shown)

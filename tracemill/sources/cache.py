@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from tracemill.operators.signal import poison_blocks
 
 
+#: What Spark says of a cache that nobody has written to yet; any other failure is the caller's to see.
+NOTHING_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def save(df: DataFrame, path: str, stem: str, session: str) -> None:
     """Add a session's result under its stem. Sessions sort by time, as ISO stamps do."""
     # the prefix keeps Spark from reading the folder name as a date
@@ -27,7 +31,9 @@ def load_latest(spark: SparkSession, path: str, prefix: str) -> DataFrame | None
     """
     try:
         cached = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in NOTHING_THERE:
+            raise
         return None
     if "stem" not in cached.columns:
         return None

@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tracemill.functions.scalar import sigdigits
 
@@ -28,6 +29,28 @@ def artifact_notes(spark: SparkSession, path: str) -> DataFrame:
     return renamed.withColumn("patient_num", F.col("patient_num").cast("int"))
 
 
+def checked_notes(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """The notes with the lines that can't be read: `patient_num, text, time, duration, broken`.
+
+    `broken` holds a line that has too few or too many fields or no whole number as its
+    patient, and is NULL for the others; nothing is skipped unseen. `columns` names the fields
+    of files without a heading line; otherwise each file begins with one.
+    """
+    heading = columns is None
+    names = spark.read.csv(path, header=True).columns if heading else list(columns)
+    schema = StructType([*(StructField(n, StringType()) for n in names), StructField("_line", StringType())])
+    # a line is judged by all its fields, also by those that are not read
+    options = {"header": heading, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line", "columnPruning": False}
+    raw = spark.read.schema(schema).options(**options).csv(path)
+    notes = raw.select(*[F.col(f"`{old}`").alias(new) for old, new in NOTE_COLUMNS.items()], "_line")
+    number = F.expr("try_cast(patient_num AS INT)")
+    spoilt = F.when(number.isNull(), F.concat_ws(",", *NOTE_COLUMNS.values()))
+    read = notes.withColumn("broken", F.coalesce("_line", spoilt)).withColumn("patient_num", number)
+    return read.select(
+        *[F.when(F.col("broken").isNull(), F.col(c)).alias(c) for c in NOTE_COLUMNS.values()], "broken"
+    )
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Write a result table as CSV; arrays become text."""
     arrays = [f.name for f in df.schema.fields if f.dataType.typeName() == "array"]
