@@ -47,12 +47,17 @@ def margin_signal(spark, sf_dir) -> DataFrame:
 
 
 def order_counts(spark, sf_dir) -> DataFrame:
-    return annotations.count_flags(order_flags(spark, sf_dir))
+    # one row a second, where the recording has thousands; what follows reads it many times
+    return cut_lineage(annotations.count_flags(order_flags(spark, sf_dir)))
+
+
+def lengths(spark, sf_dir) -> DataFrame:
+    return cut_lineage(order_recordings(spark, sf_dir))
 
 
 def consensus(spark, sf_dir, reviewers: int) -> DataFrame:
     flags = order_counts(spark, sf_dir).select("patient_num", F.col("sec").alias("idx"), (F.col("n") >= reviewers).alias("flag"))
-    return intervals.runs(flags)
+    return cut_lineage(intervals.runs(flags))
 
 
 def graded_artifacts(spark, sf_dir) -> DataFrame:
@@ -63,12 +68,14 @@ def graded_artifacts(spark, sf_dir) -> DataFrame:
     grade = F.explode(F.array(F.lit(1), F.lit(2))).alias("grade")
     marked = sums.join(usual, "patient_num").select("*", grade)
     flag = F.when(F.col("grade") == 1, F.col("q") < QUIET * F.col("m")).otherwise(F.col("q") > BUSY * F.col("m"))
-    return intervals.runs(marked.select("grade", "patient_num", "idx", flag.alias("flag")), keys=("grade", "patient_num"))
+    return cut_lineage(
+        intervals.runs(marked.select("grade", "patient_num", "idx", flag.alias("flag")), keys=("grade", "patient_num"))
+    )
 
 
-def patient_sets(spark, sf_dir) -> DataFrame:
+def patient_sets(recordings: DataFrame) -> DataFrame:
     """All recordings, and those of an even number."""
-    known = order_recordings(spark, sf_dir).select("patient_num")
+    known = recordings.select("patient_num")
     sets = F.array(F.lit("all"), F.when(F.col("patient_num") % 2 == 0, F.lit("even")))
     return known.select("patient_num", F.explode(F.array_compact(sets)).alias("patient_set"))
 
@@ -212,7 +219,7 @@ _ALL = "SELECT patient_num, 'all' AS patient_set FROM ends"
 def det_tricorr_patients(spark, sf_dir):
     """Contributions of all recordings, standardised across them, scored by recording."""
     trace = detector_signal(contribution_signal(spark, sf_dir), WINDOW, "across", REDUCTIONS["tricorr"])
-    scores = detection.TARGETS["patient"](trace, consensus(spark, sf_dir, 2), order_recordings(spark, sf_dir), EPOCH, 1)
+    scores = detection.TARGETS["patient"](trace, consensus(spark, sf_dir, 2), lengths(spark, sf_dir), EPOCH, 1)
     return evaluate(scores).select(*[rounded(c).alias(c) for c in ("auc", "tpr57", "fphr80")])
 
 
@@ -224,7 +231,7 @@ def det_tricorr_patients(spark, sf_dir):
 def det_aeeg_patients(spark, sf_dir):
     """Lower margins of all recordings, standardised within each, scored by seizure."""
     trace = detector_signal(margin_signal(spark, sf_dir), WINDOW, "within", REDUCTIONS["aEEG"])
-    scores = detection.TARGETS["seizure"](trace, consensus(spark, sf_dir, 2), order_recordings(spark, sf_dir), EPOCH, 1)
+    scores = detection.TARGETS["seizure"](trace, consensus(spark, sf_dir, 2), lengths(spark, sf_dir), EPOCH, 1)
     return evaluate(scores).select(*[rounded(c).alias(c) for c in ("auc", "tpr57", "fphr80")])
 
 
@@ -247,11 +254,11 @@ def det_sensitivity_grid(spark, sf_dir):
     for name, make in kinds.items():
         one = make(spark, sf_dir).withColumn("signal", F.lit(name))
         both = one if both is None else both.unionByName(one)
-    # a few intervals a recording, read once per grade
-    masked = mask_grades(both, cut_lineage(graded_artifacts(spark, sf_dir)), GRADE_SETS)
-    traces = setting_traces(masked, patient_sets(spark, sf_dir), REDUCTIONS, WINDOW)
+    recordings = lengths(spark, sf_dir)
+    masked = mask_grades(both, graded_artifacts(spark, sf_dir), GRADE_SETS)
+    traces = setting_traces(masked, patient_sets(recordings), REDUCTIONS, WINDOW)
     table = sensitivity(
-        traces, order_counts(spark, sf_dir), order_recordings(spark, sf_dir), EPOCH, REVIEWERS,
+        traces, order_counts(spark, sf_dir), recordings, EPOCH, REVIEWERS,
         by=(*SETTINGS, "standardization", "reduction"),
     )
     return table.select(
@@ -296,8 +303,9 @@ JOIN ({_delta_sql("held", "patient_num, channel")}) USING (patient_num, channel)
 def st_epoch_differences_classes(spark, sf_dir):
     """Seizure against control contributions of each recording and motif class."""
     quiet = graded_artifacts(spark, sf_dir).filter("grade = 1").drop("grade")
+    # fourteen values a second, read by the masks and by the count of channels
     samples = epoch_samples(
-        contribution_signal(spark, sf_dir), consensus(spark, sf_dir, 2), quiet, order_recordings(spark, sf_dir), EPOCH, 5, block_s=16.0
+        cut_lineage(contribution_signal(spark, sf_dir)), consensus(spark, sf_dir, 2), quiet, lengths(spark, sf_dir), EPOCH, 5, block_s=16.0
     )
     return epoch_differences(samples).select(
         "patient_num", "channel", rounded("js", 4).alias("js"), *[rounded(c).alias(c) for c in ("p", "d_mu", "d_sigma")]
