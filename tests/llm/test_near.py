@@ -89,10 +89,67 @@ def test_roots_in_parts():
     assert parent.tolist() == links.roots(300, a, b).tolist()
 
 
+def tile_of(texts, **columns):
+    """A tile as the exact comparison gets it, of five-word shingles."""
+    sets = [np.unique(simhash_tiles.shingle_hashes(t.encode(), 5)) for t in texts]
+    words = prints(sets)
+    made = {f"w{i}": words[:, i].view(np.int64) for i in range(4)}
+    given = {"side": [2] * len(sets), "half": [2] * len(sets), "label": list(range(len(sets)))} | columns
+    return pa.table(given | made | {"ids": [x.tobytes() for x in sets]})
+
+
+def prints(sets):
+    made = lambda h, i: np.concatenate([simhash_tiles._mixed(h, i), simhash_tiles._mixed(h[: (len(h) + 1) % 2], 4 + i)])
+    return np.array([[simhash_tiles.majority(made(h, i)) for i in range(4)] for h in sets], np.int64).view(np.uint64)
+
+
 def test_similar_sets_of_a_tile():
-    sets = [np.arange(s, s + 10, dtype=np.int64) for s in (0, 1, 2, 40)]
-    tile = pa.table({"side": [0, 1, 0, 1], "ids": [x.tobytes() for x in sets]})
-    assert {frozenset(x) for x in zip(*simhash_tiles.similar_sets(tile, 0.8), strict=True)} == {frozenset((0, 1)), frozenset((1, 2))}
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[s : s + 40]) for s in (0, 3, 6)] + ["none of these words at all"]
+    pairs = lambda **columns: {frozenset(x) for x in zip(*simhash_tiles.similar_sets(tile_of(texts, **columns), 0.8, 4)[:2], strict=True)}
+    assert pairs() == {frozenset((0, 1)), frozenset((1, 2))}
+    assert pairs(side=[0, 1, 1, 0]) == pairs(half=[0, 1, 1, 0]) == pairs(label=[0, 1, 1, 2]) == {frozenset((0, 1))}
+
+
+def test_fingerprints_find_what_is_as_similar():
+    rng = np.random.default_rng(15)
+    for size in (4, 5, 6, 7, 10, 21, 64, 128, 129, 700):
+        splits = [(size - x, x, int((size - x) / 0.8 + 1e-9) - size) for x in range(size)]
+        splits = [s for s in splits if s[2] >= max(1, s[1])]
+        sets = []
+        for _ in range(300):
+            common, one, two = splits[rng.integers(len(splits))]
+            h = rng.integers(0, 2**64, common + one + two, dtype=np.uint64)
+            sets += [np.sort(h[: common + one]), np.sort(np.concatenate([h[:common], h[common + one :]]))]
+        sizes = np.array([len(x) for x in sets])
+        both = np.arange(len(sets))
+        met = [frozenset(p) for a, b in simhash_tiles.close_pairs(prints(sets), sizes, both, both, 0.8) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        assert len(met) == len(set(met))
+        assert sum(frozenset((i, i + 1)) in set(met) for i in range(0, len(sets), 2)) >= 299
+        half = both % 2
+        apart = [frozenset(p) for a, b in simhash_tiles.close_pairs(prints(sets), sizes, both[half == 0], both[half == 1], 0.8) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        assert Counter(apart) == Counter(p for p in met if sum(p) % 2)
+
+
+@pytest.mark.parametrize("n", [500, 2000])
+def test_a_passage_that_many_quote_compares_next_to_nothing(n):
+    rng = np.random.default_rng(16)
+    draw = lambda k: " ".join(f"w{i}" for i in rng.integers(0, 10**9, k))
+    passage = draw(30)
+    texts = [f"{draw(30)} {passage} {draw(30)}" for _ in range(n)]
+    a, _, compared = simhash_tiles.similar_sets(tile_of(texts), 0.8, 4)
+    assert not len(a) and compared <= n * (n - 1) / 2 * 1e-4
+
+
+def test_a_passage_that_many_quote_brings_no_texts_together(spark):
+    rng = np.random.default_rng(17)
+    draw = lambda k: " ".join(f"w{i}" for i in rng.integers(0, 10**9, k))
+    passage = draw(30)
+    rows = [(i, f"{draw(30)} {passage} {draw(30)}") for i in range(1500)] + [(i, f"{draw(20)} {passage}") for i in range(1500, 1700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    made = simhash_tiles.sketches(docs, 5, 4, "doc_id", "text").withColumnRenamed("doc_id", "_first")
+    assert simhash_tiles.candidates(made, 4, 0.8).filter("_first < 1500").count() < 150
+    assert simhash_tiles.representatives(docs).count() == 1700
 
 
 def test_weighted_tiles(spark):

@@ -270,3 +270,46 @@ def test_toxicity_of_odd_texts(spark, odd_docs, no_docs):
         assert all(0 <= r.score <= 1 for r in scores)
     assert toxicity.scored(no_docs, weights).count() == 0
     assert toxicity.without_toxic(odd_docs, weights, 1.1).columns == odd_docs.columns
+
+
+def test_toxicity_learns_as_slow_ftrl_does(spark):
+    """One coordinate after the other, in plain Python, over the same rows in the same order."""
+    rng = np.random.default_rng(21)
+    rows = [(i, " ".join(f"w{j}" for j in rng.integers(0, 40, 12)) + (" bad word" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(90)]
+    rows += [(0, "zzz a later text of a repeated id", 0), (7, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    taught = docs.groupBy("doc_id").agg({"toxic": "max"}).toDF("doc_id", "toxic")
+    got = toxicity.fit(docs.drop("toxic"), taught, l1=1.0)
+    least = {}
+    for i, t, _ in rows:
+        if t is not None:
+            least[i] = min(least.get(i, t), t)
+    label = {i: max(x for j, _, x in rows if j == i) for i in least}
+    keyed = spark.createDataFrame([(i,) for i in least], "doc_id long").selectExpr("doc_id", *(f"xxhash64(doc_id, {e}) e{e}" for e in (1, 2)))
+    turns = sorted((e, r[f"e{e}"], r.doc_id) for r in keyed.collect() for e in (1, 2))
+    z, n = {}, {}
+
+    def weight(k):
+        sign, l1 = (1 if z.get(k, 0.0) > 0 else -1), (0.0 if k == toxicity.SLOTS else 1.0)
+        return 0.0 if abs(z.get(k, 0.0)) <= l1 else -(z[k] - sign * l1) / (1.0 + n[k] ** 0.5)
+
+    for _, _, i in turns:
+        at = {*toxicity.features(least[i].encode()).tolist(), toxicity.SLOTS}
+        held = {k: weight(k) for k in at}
+        g = 1 / (1 + np.exp(-sum(held.values()))) - label[i]
+        for k in at:
+            z[k] = z.get(k, 0.0) + g - ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) * held[k]
+            n[k] = n.get(k, 0.0) + g * g
+    want = np.zeros(toxicity.SLOTS + 1)
+    for k in z:
+        want[k] = weight(k)
+    assert np.count_nonzero(want) > 5
+    np.testing.assert_allclose(got, want, atol=1e-9)
+
+
+def test_toxicity_sample_holds_one_row_of_an_id(spark):
+    rows = [(1, f"text {i}", 1) for i in range(500)] + [(i, "fine", 0) for i in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    once = spark.createDataFrame([(1, "text 0", 1)] + rows[500:], "doc_id long, text string, toxic int")
+    got, want = (toxicity.fit(d.drop("toxic"), d.select("doc_id", "toxic"), l1=0.5) for d in (docs, once))
+    np.testing.assert_allclose(got, want)

@@ -78,7 +78,8 @@ def fit(
 
     `labels`: (doc_id, toxic). Learns from the `max_rows` labelled rows whose ids come first
     by a hash, among those where `learn_from` (over doc_id) is true: the documented bound of
-    the sample. Rows without a text or label teach nothing; of repeated ids all rows teach.
+    the sample. Rows without a text or label teach nothing; of the rows of one id the smallest
+    text and the larger label teach, so `max_rows` bounds the rows as well.
     """
     wanted = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
     if learn_from is not None:
@@ -90,7 +91,8 @@ def fit(
         slots = [np.unique(features(raw)).astype("<i4").tobytes() for raw in utf8(batch.column(1))]
         return {"doc_id": batch.column(0), "toxic": batch.column(2), "slots": pa.array(slots, pa.binary())}
 
-    rows = docs.filter("text IS NOT NULL").select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", F.col("toxic").cast("int"))
+    met = docs.filter("text IS NOT NULL").select("doc_id", "text").join(chosen, "doc_id")
+    rows = met.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     sample = map_batches(rows, made, f"doc_id {kind}, toxic int, slots binary")
     turns = sample.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
