@@ -63,3 +63,21 @@ def test_an_empty_stream_ends_without_windows(spark, tmp_path):
     stream = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
     folders = [str(tmp_path / d) for d in ("out", "state", "marks")]
     assert windows.run_to_end(stream, lambda s: windows.tumbling(s, "1 hour", "1 day"), *folders).count() == 0
+
+
+@pytest.mark.parametrize("files", [None, 3])
+def test_a_table_in_one_file_or_many_streams_whole(spark, tmp_path, files):
+    from tracemill.plans import views
+    from tracemill.plans.streaming_queries import stream_rolling
+
+    rows = [(i, [float((i * j) % 7) for j in range(64)], i % 2) for i in range(12)]
+    table = spark.createDataFrame(rows, views.SCHEMAS["embeddings"]).repartition(files or 1)
+    place = tmp_path / ("tables" if files else "parts")
+    table.write.parquet(str(place / "embeddings.parquet"))
+    if not files:
+        (part,) = (place / "embeddings.parquet").glob("part-*.parquet")
+        (tmp_path / "tables").mkdir()
+        (tmp_path / "tables" / "embeddings.parquet").write_bytes(part.read_bytes())
+    found = stream_rolling(spark, str(tmp_path / "tables"))
+    assert found.count() == 12 * 64
+    assert found.filter("idx >= 7 AND mean IS NULL").count() == 0

@@ -17,9 +17,7 @@ from tracemill.streaming import windows
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = views.table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return stream.select(
+    return views.stream(spark, sf_dir, "events").select(
         (F.col("user_id") % 8).cast("int").alias("patient_num"),
         F.col("event_type").alias("channel"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -103,9 +101,7 @@ FROM steps WINDOW w AS (PARTITION BY patient_num, channel ORDER BY idx ROWS BETW
 )
 def stream_rolling(spark, sf_dir):
     """Stateful rolling mean and spread over the last eight samples of each series."""
-    schema = views.table(spark, sf_dir, "embeddings").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir)
-    steps = stream.select(
+    steps = views.stream(spark, sf_dir, "embeddings").select(
         F.col("label").alias("patient_num"),
         F.col("vec_id").cast("string").alias("channel"),
         F.posexplode("embedding").alias("idx", "value"),

@@ -45,6 +45,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream of its files, whether it is one file or a folder of them."""
+    # a pattern that fits the name alone: as a plain path, a single file is refused for not being a folder
+    return spark.readStream.schema(SCHEMAS[name]).parquet(os.path.join(sf_dir, f"{name}.parque[t]"))
+
+
 def micros_since_origin(ts: Column) -> Column:
     # the tables carry zoneless timestamps; both sides get the session's zone
     origin = F.lit(ORIGIN).cast("timestamp_ntz").cast("timestamp")
