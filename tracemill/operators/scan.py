@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.nulls import join_on
 
+#: Tasks over the samples of all recordings. Given outright, so that few bytes a row put no more rows into a task.
+PARTS = 400
+
 Outputs = Mapping[str, tuple[str, Column]]
 
 _AGGREGATE = {"sum": F.sum, "max": F.max, "min": F.min}

@@ -34,7 +34,9 @@ def stacked(wide: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> Data
 
 def widened(long: DataFrame, ids: Sequence[str], classes: Sequence[int], by: str = "channel") -> DataFrame:
     """One column per class; the classes are given, so no extra pass finds them."""
-    return long.groupBy(*ids).pivot(by, list(classes)).agg(F.first("value"))
+    # side by side in one aggregate: a pivot first groups by class as well, with a row per value
+    picks = [F.first(F.when(F.col(by) == c, F.col("value")), ignorenulls=True).alias(str(c)) for c in classes]
+    return long.groupBy(*ids).agg(*picks)
 
 
 def priority(seed: int, *parts: str) -> Column:

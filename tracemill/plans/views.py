@@ -10,7 +10,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.operators.scan import spread
+from tracemill.operators.scan import PARTS, spread
 from tracemill.operators.signal import densify
 
 ORIGIN = "2024-01-01 00:00:00"
@@ -114,20 +114,25 @@ def artifact_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantity shipped per part group along the sequence of orders, 0 where none.
 
-    Recordings are stretches of `ORDER_RECORDING` orders, so they multiply with the data.
+    Recordings are stretches of `ORDER_RECORDING` orders, so they multiply with the data. The
+    channels of a step are summed side by side, so steps are shuffled and not samples.
     """
-    lines = table(spark, sf_dir, "lineitem").groupBy(
+    lines = table(spark, sf_dir, "lineitem").select(
         F.floor(F.col("l_orderkey") / ORDER_RECORDING).cast("int").alias("patient_num"),
         (F.col("l_orderkey") % ORDER_RECORDING).alias("idx"),
         (F.col("l_partkey") % ORDER_CHANNELS).cast("int").alias("channel"),
-    ).agg(F.sum("l_quantity").alias("value"))
-    spans = table(spark, sf_dir, "lineitem").groupBy(
-        F.floor(F.col("l_orderkey") / ORDER_RECORDING).cast("int").alias("patient_num")
-    ).agg((F.max(F.col("l_orderkey") % ORDER_RECORDING) + 1).alias("_n"))
-    steps = spread(spans, F.lit(0), F.col("_n") - 1, "idx").drop("_n")
-    axis = steps.withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(ORDER_CHANNELS - 1))))
-    filled = axis.join(lines, ["patient_num", "idx", "channel"], "left")
-    return filled.withColumn("value", F.coalesce("value", F.lit(0.0)))
+        F.col("l_quantity").alias("value"),
+        F.lit(False).alias("_step"),
+    )
+    spans = lines.groupBy("patient_num").agg((F.max("idx") + 1).alias("_n"))
+    steps = spread(spans, F.lit(0), F.col("_n") - 1, "idx").select(
+        "patient_num", "idx", F.lit(None).cast("int").alias("channel"), F.lit(None).cast("double").alias("value"), F.lit(True).alias("_step")
+    )
+    dealt = lines.unionByName(steps).repartition(PARTS, "patient_num", "idx")
+    sums = [F.sum(F.when(F.col("channel") == c, F.col("value"))).alias(f"_c{c}") for c in range(ORDER_CHANNELS)]
+    filled = dealt.groupBy("patient_num", "idx").agg(F.max("_step").alias("_step"), *sums).filter("_step")
+    values = F.array(*[F.coalesce(f"_c{c}", F.lit(0.0)) for c in range(ORDER_CHANNELS)])
+    return filled.select("patient_num", "idx", F.posexplode(values).alias("channel", "value"))
 
 
 def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
