@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.nulls import complete_frame
+from tracemill.operators.scan import PARTS
 
 KEYS = ("patient_num", "channel")
 MIN_BLOCK = 8192
@@ -27,7 +28,7 @@ def _with_halo(df: DataFrame, keys: Sequence[str], idx: str, size: int, reach: i
     i = F.col(idx)
     blocks = F.sequence(F.floor(i / size), F.floor((i + reach) / size))
     # one exchange that serves the windows over blocks and over their tiles alike
-    return df.withColumn("_block", F.explode(blocks)).repartition(*keys, "_block")
+    return df.withColumn("_block", F.explode(blocks)).repartition(PARTS, *keys, "_block")
 
 
 def _block_size(k: int, block_len: int | None) -> int:
@@ -128,7 +129,7 @@ def _tiled(halo: DataFrame, k: int, stat: str, keys: Sequence[str], idx: str, va
     tile = Window.partitionBy(*keys, "_block", "_tile")
     head = tile.orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
     tail = tile.orderBy(F.col(idx).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    block = Window.partitionBy(*keys, "_block").orderBy(idx)
+    block = Window.partitionBy(*keys, "_block").orderBy("_tile", idx)  # sorted as the heads are
     v = F.col(value)
     parts = {"n": F.count(v)}
     if stat == "std":
