@@ -8,7 +8,9 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from tracemill.operators import dsp, tables
 from tracemill.operators.rolling import rolling
+from tracemill.operators.scan import PARTS
 from tracemill.plans import views
 
 SF_DIR = os.path.join(compare.DATA, "sf0.001")
@@ -44,6 +46,32 @@ def test_long_windows_share_one_exchange(spark):
     assert plan(rolling(df, 100)).count("Exchange hashpartitioning") == 1
 
 
+def test_bulk_steps_keep_their_number_of_tasks(spark):
+    """Few bytes a row must not put more rows into one task."""
+    df = spark.range(10).selectExpr("id % 2 AS patient_num", "id % 3 AS channel", "id AS idx", "double(id) AS value")
+    for found in (rolling(df, 100), rolling(df, 100, "std"), dsp.fir(df, [0.5, 0.5])):
+        assert found.rdd.getNumPartitions() == PARTS
+    fir = plan(dsp.fir(df, [0.5, 0.5]))
+    assert "FlatMapGroupsInArrow" in fir and " MapInArrow" not in fir and "collect_list" not in fir
+
+
+def test_the_order_signal_shuffles_steps_and_widens_without_another_shuffle(spark):
+    signal = views.order_signal(spark, SF_DIR)
+    wide = tables.widened(signal, ["patient_num", "idx"], range(views.ORDER_CHANNELS))
+    assert "Join" not in plan(signal)
+    assert plan(wide).count("Exchange hashpartitioning") == plan(signal).count("Exchange hashpartitioning")
+    assert "pivotfirst" not in plan(wide)
+
+
+def test_the_order_signal_of_odd_rows(spark, tmp_path):
+    rows = [(0, 3, 2.0), (0, 3, 5.0), (0, 17, 1.0), (2, None, 9.0), (None, 1, 4.0), (2, 5, None), (7501, 18, 3.0)]
+    lines = spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_quantity double")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = {(r.patient_num, r.idx, r.channel): r.value for r in views.order_signal(spark, str(tmp_path)).collect()}
+    assert len(found) == (3 + 2) * views.ORDER_CHANNELS
+    assert {k: v for k, v in found.items() if v} == {(0, 0, 3): 7.0, (0, 0, 0): 1.0, (1, 1, 1): 3.0}
+
+
 LAZY = (
     "iv_runs iv_merge iv_collapse iv_invert st_ks st_mannwhitney st_box_table st_jsd sig_rolling_long tc_recording dsp_clean rel_sort"
 ).split()

@@ -6,11 +6,12 @@ halo of their length. Blocks of one channel are filtered in different tasks.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,7 +125,7 @@ def map_blocks(
 ) -> DataFrame:
     """Apply `compute(samples, is_first, is_last)` to blocks with halos of each channel.
 
-    Blocks with their halos are gathered in the JVM and are of bounded size. Samples are placed
+    A Python worker holds one block with its halo at a time. Samples are placed
     by `idx`; there is a row for every step from 0 to the last. A step is NULL exactly where a
     NULL or absent sample lies among the `before` steps before it or the `after` steps after
     it, whatever `block_len` is. `compute` returns as many values as it gets; those of the
@@ -135,52 +136,39 @@ def map_blocks(
     every = scan.spread(tops, F.lit(0), F.floor(F.col("_top") / block_len), "_block")
     lo = F.greatest(F.lit(0), F.floor((i - after) / block_len))
     hi = F.floor((i + before) / block_len)
-    spread = signal.withColumn("_block", F.explode(F.sequence(lo, hi)))
-    cells = spread.groupBy(*keys, "_block").agg(F.collect_list(F.struct(i.cast("bigint").alias("idx"), value)).alias("_cells"))
-    start, top = (F.col("_block") * block_len).cast("bigint"), F.col("_top") + 1
-    rows = join_on(every, cells, [*keys, "_block"], "left").select(
-        *keys,
-        F.greatest(F.lit(0), start - before).cast("bigint").alias("_from"),
-        F.least(start + block_len + after, top).alias("_to"),
-        start.alias("_start"),
-        F.least(start + block_len, top).alias("_stop"),
-        (start + block_len + after >= top).alias("_last"),
-        F.coalesce("_cells.idx", F.array().cast("array<bigint>")).alias("at"),
-        F.coalesce(F.col(f"_cells.{value}").cast("array<double>"), F.array().cast("array<double>")).alias("cells"),
-    )
+    none = F.lit(None)
+    cells = signal.select(
+        *keys, F.explode(F.sequence(lo, hi)).alias("_block"), i.cast("bigint").alias("_at"),
+        F.col(value).cast("double").alias("_v"), none.cast("bigint").alias("_top"),
+    )
+    # every block has one row that tells the last step of its channel
+    marks = every.select(*keys, "_block", none.cast("bigint").alias("_at"), none.cast("double").alias("_v"), "_top")
+    rows = cells.unionByName(marks).repartition(scan.PARTS, *keys, "_block")
     fields = [f for f in rows.schema.fields if f.name in keys]
-    schema = T.StructType(
-        [*fields, T.StructField("_start", T.LongType()), T.StructField("out", T.ArrayType(T.DoubleType()))]
-    )
+    schema = T.StructType([*fields, T.StructField("idx", T.LongType()), T.StructField(value, T.DoubleType())])
     arrow_schema = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in range(batch.num_rows):
-                origin, end, start, stop, last = (
-                    batch.column(c)[r].as_py() for c in ("_from", "_to", "_start", "_stop", "_last")
-                )
-                x = np.full(end - origin, np.nan)
-                at = batch.column("at")[r].values.to_numpy(zero_copy_only=False) - origin
-                x[at] = batch.column("cells")[r].values.to_numpy(zero_copy_only=False)
-                absent = np.isnan(x)
-                y = compute(np.where(absent, 0.0, x), origin == 0, last)[start - origin : stop - origin]
-                if absent.any():  # of the samples that reach each step
-                    upto = np.concatenate([[0], np.cumsum(absent)])
-                    step = np.arange(start, stop)
-                    first, past = np.maximum(step - before, origin), np.minimum(step + after + 1, end)
-                    y = np.where(upto[past - origin] > upto[first - origin], np.nan, y)
-                out.append(pa.array(y, from_pandas=True))
-            columns = [batch.column(f.name) for f in fields]
-            columns += [batch.column("_start"), pa.array(out, pa.list_(pa.float64()))]
-            table = pa.Table.from_arrays(columns, names=arrow_schema.names).cast(arrow_schema)
-            yield from table.to_batches()
-
-    done = rows.mapInArrow(run, schema)
-    return done.select(*keys, "_start", F.posexplode("out").alias("_at", value)).select(
-        *keys, (F.col("_start") + F.col("_at")).alias("idx"), value
-    )
+    def run(block: pa.Table) -> pa.Table:
+        top = pc.max(block.column("_top")).as_py()
+        if top is None:  # past the last step, reached by halos only
+            return arrow_schema.empty_table()
+        start = block.column("_block")[0].as_py() * block_len
+        origin, end, stop = max(0, start - before), min(start + block_len + after, top + 1), min(start + block_len, top + 1)
+        held = block.filter(block.column("_at").is_valid())
+        x = np.full(end - origin, np.nan)
+        x[held.column("_at").to_numpy() - origin] = held.column("_v").to_numpy()
+        absent = np.isnan(x)
+        y = compute(np.where(absent, 0.0, x), origin == 0, start + block_len + after >= top + 1)[start - origin : stop - origin]
+        step = np.arange(start, stop)
+        if absent.any():  # of the samples that reach each step
+            upto = np.concatenate([[0], np.cumsum(absent)])
+            first, past = np.maximum(step - before, origin), np.minimum(step + after + 1, end)
+            y = np.where(upto[past - origin] > upto[first - origin], np.nan, y)
+        columns = [block.column(f.name).take(pa.array(np.zeros(len(step), "int64"))) for f in fields]
+        columns += [pa.array(step), pa.array(y, from_pandas=True)]
+        return pa.Table.from_arrays(columns, names=arrow_schema.names).cast(arrow_schema)
+
+    return rows.groupBy(*keys, "_block").applyInArrow(run, schema)
 
 
 def clean_channels(
