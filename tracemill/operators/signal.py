@@ -161,9 +161,7 @@ def snippets(
     """
     at = F.col("idx") - offset
     used = signal.filter(at >= 0)
-    outline = used.groupBy(*keys).agg(
-        F.sort_array(F.collect_set(CHANNEL)).alias("_channels"), F.max(at).cast("bigint").alias("_top")
-    )
+    outline = _outline(used, keys, at)
     count = F.floor((F.col("_top") + 1) / length) if full_only else F.floor(F.col("_top") / length) + 1
     every = spread(outline, F.lit(0), count - 1, "snippet")
     filled = used.groupBy(*keys, F.floor(at / length).alias("snippet")).agg(
@@ -175,6 +173,12 @@ def snippets(
     return _placed(rows).select(*keys, "snippet", "n_channels", "cells", "length")
 
 
+def _outline(signal: DataFrame, keys: Sequence[str], at: Column) -> DataFrame:
+    """Channels and last step of each recording, from one row per channel."""
+    each = signal.groupBy(*keys, CHANNEL).agg(F.max(at).cast("bigint").alias("_top"))
+    return each.groupBy(*keys).agg(F.sort_array(F.collect_set(CHANNEL)).alias("_channels"), F.max("_top").alias("_top"))
+
+
 def _placed(rows: DataFrame) -> DataFrame:
     """Adds `n_channels` and `cells`, the values of `_cells` at their places, NULL at all others."""
     rows = rows.withColumns(
@@ -206,9 +210,7 @@ def snippets_at(
     is in the one or two stretches that its snippet touches, so no sample is read for starts far off.
     """
     stretch = max(length, STRETCH)
-    outline = signal.groupBy(*keys).agg(
-        F.sort_array(F.collect_set(CHANNEL)).alias("_channels"), F.max("idx").cast("bigint").alias("_top")
-    )
+    outline = _outline(signal, keys, F.col("idx"))
     wanted = join_on(starts.select(*keys, F.col("first").cast("bigint").alias("first"), *identity).distinct(), outline, keys)
     wanted = wanted.filter((F.col("first") >= 0) & (F.col("first") + length - 1 <= F.col("_top")))
     places = wanted.select(*keys, "first").distinct()

@@ -10,7 +10,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.operators.scan import PARTS, spread
+from tracemill.operators.scan import spread
 from tracemill.operators.signal import densify
 
 ORIGIN = "2024-01-01 00:00:00"
@@ -18,6 +18,7 @@ BUCKET_S = 21_600
 REVIEWERS = ("click", "error", "purchase")
 ORDER_CHANNELS = 17
 ORDER_RECORDING = 7_500
+ORDER_PARTS = 64  # tasks over the steps of all recordings; each one costs the pages of its aggregates, however few its rows
 
 
 #: The given tables, whose columns are known; so that reading one starts no job.
@@ -128,7 +129,7 @@ def order_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = spread(spans, F.lit(0), F.col("_n") - 1, "idx").select(
         "patient_num", "idx", F.lit(None).cast("int").alias("channel"), F.lit(None).cast("double").alias("value"), F.lit(True).alias("_step")
     )
-    dealt = lines.unionByName(steps).repartition(PARTS, "patient_num", "idx")
+    dealt = lines.unionByName(steps).repartition(ORDER_PARTS, "patient_num", "idx")
     sums = [F.sum(F.when(F.col("channel") == c, F.col("value"))).alias(f"_c{c}") for c in range(ORDER_CHANNELS)]
     filled = dealt.groupBy("patient_num", "idx").agg(F.max("_step").alias("_step"), *sums).filter("_step")
     values = F.array(*[F.coalesce(f"_c{c}", F.lit(0.0)) for c in range(ORDER_CHANNELS)])
