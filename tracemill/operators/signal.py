@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.nulls import complete, join_on
 from tracemill.functions.scalar import clean_label, contains_any
+from tracemill.functions.wide import by_channel, is_wide
 from tracemill.operators.intervals import BLOCK_S, cover, merge, restrict
 from tracemill.operators.scan import spread
 
@@ -97,9 +98,12 @@ def mask_covered(
     block_s: float = BLOCK_S,
     disjoint: bool = False,
 ) -> DataFrame:
-    """Set `value` to NULL inside the intervals (all channels of the key)."""
+    """Set `value` to NULL inside the intervals (all channels of the key). The signal may be wide."""
     marked = mark_covered(signal, intervals, "_hit", keys, t, block_s, disjoint)
-    return marked.withColumn("value", F.when(~F.col("_hit"), F.col("value"))).drop("_hit")
+    free = F.when(~F.col("_hit"), F.col("value"))
+    if is_wide(signal):
+        free = F.coalesce(free, F.transform("value", lambda v: F.nullif(v, v)))
+    return marked.withColumn("value", free).drop("_hit")
 
 
 def poison_blocks(signal: DataFrame, k: int, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -157,16 +161,15 @@ def snippets(
     The row holds `n_channels`, `length` and `cells`: the values in channel-major order, over
     all channels of the recording and all steps of the snippet, with NULL where a sample is
     NULL or absent. With `full_only` a last snippet that the recording does not fill is left
-    out. A snippet is bounded by channels x length.
+    out. A snippet is bounded by channels x length. The signal may be wide.
     """
     at = F.col("idx") - offset
     used = signal.filter(at >= 0)
     outline = _outline(used, keys, at)
+    step = (at % length).cast("bigint")
     count = F.floor((F.col("_top") + 1) / length) if full_only else F.floor(F.col("_top") / length) + 1
     every = spread(outline, F.lit(0), count - 1, "snippet")
-    filled = used.groupBy(*keys, F.floor(at / length).alias("snippet")).agg(
-        F.sort_array(F.collect_list(F.struct(CHANNEL, (at % length).cast("bigint").alias("step"), "value"))).alias("_cells")
-    )
+    filled = used.groupBy(*keys, F.floor(at / length).alias("snippet")).agg(_collected(used, step))
     rows = join_on(every, filled, [*keys, "snippet"], "left").withColumn(
         "length", F.least(F.lit(length).cast("bigint"), F.col("_top") + 1 - F.col("snippet") * length)
     )
@@ -175,12 +178,26 @@ def snippets(
 
 def _outline(signal: DataFrame, keys: Sequence[str], at: Column) -> DataFrame:
     """Channels and last step of each recording, from one row per channel."""
+    if is_wide(signal):
+        return signal.groupBy(*keys).agg(F.max(F.size("value")).alias("_width"), F.max(at).cast("bigint").alias("_top"))
     each = signal.groupBy(*keys, CHANNEL).agg(F.max(at).cast("bigint").alias("_top"))
     return each.groupBy(*keys).agg(F.sort_array(F.collect_set(CHANNEL)).alias("_channels"), F.max("_top").alias("_top"))
 
 
+def _collected(signal: DataFrame, step: Column) -> Column:
+    """Samples, or whole steps of a wide signal, in the order of a snippet's cells."""
+    order = [step.alias("step")] if is_wide(signal) else [F.col(CHANNEL), step.alias("step")]
+    return F.sort_array(F.collect_list(F.struct(*order, "value"))).alias("_cells")
+
+
 def _placed(rows: DataFrame) -> DataFrame:
     """Adds `n_channels` and `cells`, the values of `_cells` at their places, NULL at all others."""
+    if "_width" in rows.columns:
+        held = F.map_from_entries(F.coalesce("_cells", F.array().cast(rows.schema["_cells"].dataType)))
+        every = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1), lambda s: F.try_element_at(held, s))
+        steps = F.when(F.size("_cells") == F.col("length"), F.col("_cells.value")).otherwise(every)
+        cells = F.flatten(by_channel(steps, F.col("_width")))
+        return rows.withColumns({"n_channels": F.col("_width").cast("bigint"), "cells": cells}).drop("_cells", "_width")
     rows = rows.withColumns(
         {
             "n_channels": F.size("_channels").cast("bigint"),
@@ -208,6 +225,7 @@ def snippets_at(
     whose snippet begins before step 0 or goes past the recording's last step has no row; equal rows
     of `starts` count once. The signal and the starts meet by stretches of the time axis: a start
     is in the one or two stretches that its snippet touches, so no sample is read for starts far off.
+    The signal may be wide.
     """
     stretch = max(length, STRETCH)
     outline = _outline(signal, keys, F.col("idx"))
@@ -219,9 +237,7 @@ def snippets_at(
     held = join_on(signal.withColumn("_stretch", F.floor(F.col("idx") / stretch)), near, [*keys, "_stretch"])
     step = (F.col("idx") - F.col("first")).cast("bigint")
     inside = held.filter((step >= 0) & (step < length))
-    filled = inside.groupBy(*keys, "first").agg(
-        F.sort_array(F.collect_list(F.struct(CHANNEL, step.alias("step"), "value"))).alias("_cells")
-    )
+    filled = inside.groupBy(*keys, "first").agg(_collected(signal, step))
     rows = join_on(wanted, filled, [*keys, "first"], "left").withColumn("length", F.lit(length).cast("bigint"))
     placed = _placed(rows).withColumn("snippet", F.col("first"))
     return placed.select(*keys, "snippet", "first", *identity, "n_channels", "cells", "length")

@@ -26,6 +26,7 @@ from tracemill.operators.surrogates import normal_cells, shuffled_cells
 
 KEYS = ("patient_num",)
 CHUNK_CELLS = 1 << 16
+SNIPPET_PARTS = 96
 
 
 def _chunks(shapes: np.ndarray) -> Iterator[np.ndarray]:
@@ -92,6 +93,11 @@ def _map_snippets(
     return chosen.mapInArrow(run, schema)
 
 
+def dealt(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Snippets in a given number of tasks: the work on one is large next to its bytes, by which Spark would pack them."""
+    return rows.repartition(SNIPPET_PARTS, *keys, "snippet")
+
+
 def class_contributions(
     signal: DataFrame,
     length: int,
@@ -106,9 +112,9 @@ def class_contributions(
 
     The result is a signal again: `keys, channel (class 1..14), idx (snippet), value`; a
     snippet with a missing sample has 14 missing values. `per_cell` divides the sums by
-    channels x times.
+    channels x times. The signal may be wide.
     """
-    return contributions_of(snippets(signal, length, keys), lag_extents, measure, boundary, keys, seed, per_cell)
+    return contributions_of(dealt(snippets(signal, length, keys), keys), lag_extents, measure, boundary, keys, seed, per_cell)
 
 
 def contributions_of(

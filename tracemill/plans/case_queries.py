@@ -19,9 +19,7 @@ LOUD = 1.1
 
 def order_flags(spark, sf_dir):
     """Three reviewers, each minding every third part group, mark seconds that ship more than usual."""
-    second = F.floor(F.col("idx") / RATE).alias("sec")
-    group = (F.col("channel") % 3).alias("reviewer")
-    sums = views.order_signal(spark, sf_dir).groupBy("patient_num", second, group).agg(F.sum("value").alias("q"))
+    sums = views.order_seconds(spark, sf_dir, RATE, 3).withColumnsRenamed({"idx": "sec", "group": "reviewer"})
     usual = sums.groupBy("patient_num", "reviewer").agg(F.avg("q").alias("m"))
     flag = (F.col("q") > LOUD * F.col("m")).cast("int").alias("flag")
     return sums.join(usual, ["patient_num", "reviewer"]).select("patient_num", "reviewer", "sec", flag)
@@ -34,16 +32,14 @@ def order_seizures(spark, sf_dir):
 
 def order_artifacts(spark, sf_dir):
     """Seconds that ship under half of the usual."""
-    second = F.floor(F.col("idx") / RATE).alias("idx")
-    sums = views.order_signal(spark, sf_dir).groupBy("patient_num", second).agg(F.sum("value").alias("q"))
+    sums = views.order_seconds(spark, sf_dir, RATE).drop("group")
     usual = sums.groupBy("patient_num").agg(F.avg("q").alias("m"))
     flags = sums.join(usual, "patient_num").select("patient_num", "idx", (F.col("q") < F.col("m") / 2).alias("flag"))
     return intervals.runs(flags)
 
 
 def order_recordings(spark, sf_dir):
-    lengths = views.order_signal(spark, sf_dir).groupBy("patient_num").agg(F.max("idx").alias("top"))
-    return lengths.select(
+    return views.order_tops(spark, sf_dir).select(
         "patient_num", F.lit(RATE).alias("sample_rate"), F.lit(0.0).alias("start_s"),
         F.floor((F.col("top") + 1) / RATE).cast("double").alias("duration_s"),
     )
@@ -65,8 +61,8 @@ def sampled_starts(spark, sf_dir):
 def case_contributions(spark, sf_dir, measure: str = "A_znorm"):
     """Class contributions of the sampled snippets of a second: patient, case, start, class."""
     starts = sampled_starts(spark, sf_dir).withColumn("first", F.col("start_s") * RATE)
-    cut = signal.snippets_at(views.order_signal(spark, sf_dir), starts, RATE, identity=["case"])
-    return tricorr.contributions_of(cut, (1, 2), measure, keys=("patient_num", "case"))
+    cut = signal.snippets_at(views.order_steps(spark, sf_dir), starts, RATE, identity=["case"])
+    return tricorr.contributions_of(tricorr.dealt(cut, ["patient_num", "case"]), (1, 2), measure, keys=("patient_num", "case"))
 
 
 _CASES = [
@@ -151,5 +147,7 @@ def st_case_contributions(spark, sf_dir):
     cases = case_contributions(spark, sf_dir).select(
         "patient_num", F.col("channel").alias("class"), "value", (F.col("case") == 2).alias("is_seizure")
     )
+    # a few values a recording and class, read by every part of the test
+    cases = cut_lineage(cases)
     tests = statistics.mann_whitney(cases, ["patient_num", "class"])
     return tests.select("patient_num", "class", "u", rounded("p").alias("p"), rounded("mean_effect", 4).alias("mean_effect"), "exact")

@@ -10,6 +10,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.functions.nulls import join_on
 from tracemill.operators.scan import spread
 from tracemill.operators.signal import densify
 
@@ -112,19 +113,47 @@ def artifact_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.join(level, "patient_num").select("patient_num", "idx", bad.alias("flag"))
 
 
-def order_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantity shipped per part group along the sequence of orders, 0 where none.
-
-    Recordings are stretches of `ORDER_RECORDING` orders, so they multiply with the data. The
-    channels of a step are summed side by side, so steps are shuffled and not samples.
-    """
-    lines = table(spark, sf_dir, "lineitem").select(
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recording, step, channel and quantity of every line of an order."""
+    return table(spark, sf_dir, "lineitem").select(
         F.floor(F.col("l_orderkey") / ORDER_RECORDING).cast("int").alias("patient_num"),
         (F.col("l_orderkey") % ORDER_RECORDING).alias("idx"),
         (F.col("l_partkey") % ORDER_CHANNELS).cast("int").alias("channel"),
         F.col("l_quantity").alias("value"),
-        F.lit(False).alias("_step"),
     )
+
+
+def order_tops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last step of each recording of orders."""
+    return order_lines(spark, sf_dir).groupBy("patient_num").agg(F.max("idx").alias("top")).filter("top >= 0")
+
+
+def order_seconds(spark: SparkSession, sf_dir: str, rate: int, groups: int = 1) -> DataFrame:
+    """Quantity `q` shipped in each `rate` steps `idx`, by `group`: the channels that leave it when divided by `groups`.
+
+    The same sums as over the order signal, from its lines, without its samples in between.
+    """
+    picks = [F.sum(F.when(F.col("channel") % groups == g, F.col("value"))).alias(f"_q{g}") for g in range(groups)]
+    held = order_lines(spark, sf_dir).groupBy("patient_num", F.floor(F.col("idx") / rate).alias("idx")).agg(*picks)
+    every = spread(order_tops(spark, sf_dir), F.lit(0), F.floor(F.col("top") / rate), "idx").drop("top")
+    sums = F.array(*[F.coalesce(f"_q{g}", F.lit(0.0)) for g in range(groups)])
+    return join_on(every, held, ["patient_num", "idx"], "left").select("patient_num", "idx", F.posexplode(sums).alias("group", "q"))
+
+
+def order_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity shipped per part group along the sequence of orders, 0 where none.
+
+    Recordings are stretches of `ORDER_RECORDING` orders, so they multiply with the data.
+    """
+    return order_steps(spark, sf_dir).select("patient_num", "idx", F.posexplode("value").alias("channel", "value"))
+
+
+def order_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order signal in wide form.
+
+    The channels of a step are summed side by side, so steps are shuffled and not samples.
+    """
+    lines = order_lines(spark, sf_dir).withColumn("_step", F.lit(False))
     spans = lines.groupBy("patient_num").agg((F.max("idx") + 1).alias("_n"))
     steps = spread(spans, F.lit(0), F.col("_n") - 1, "idx").select(
         "patient_num", "idx", F.lit(None).cast("int").alias("channel"), F.lit(None).cast("double").alias("value"), F.lit(True).alias("_step")
@@ -133,7 +162,7 @@ def order_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = [F.sum(F.when(F.col("channel") == c, F.col("value"))).alias(f"_c{c}") for c in range(ORDER_CHANNELS)]
     filled = dealt.groupBy("patient_num", "idx").agg(F.max("_step").alias("_step"), *sums).filter("_step")
     values = F.array(*[F.coalesce(f"_c{c}", F.lit(0.0)) for c in range(ORDER_CHANNELS)])
-    return filled.select("patient_num", "idx", F.posexplode(values).alias("channel", "value"))
+    return filled.select("patient_num", "idx", values.alias("value"))
 
 
 def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
