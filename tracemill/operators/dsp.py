@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracemill.functions.nulls import join_on
+from tracemill.functions.wide import by_channel, is_wide
 from tracemill.operators import recursive, scan
 
 KEYS = ("patient_num", "channel")
@@ -185,16 +186,25 @@ def clean_channels(
 
     A constant passes the first filter as zero, so the signal needs no centring. A missing sample
     spoils the steps on either side up to where both impulse responses have faded. A block
-    must be longer than the 36 steps by which the ends are continued.
+    must be longer than the 36 steps by which the ends are continued. The signal may be wide, with
+    the keys of a recording; so is the result then.
     """
     half = mains_bandwidth / 2
     band, notch = (2, "bandpass", (low, high), fs), (6, "bandstop", (mains_hz - half, mains_hz + half), fs)
     reach = len(impulse_response(*band)) + len(impulse_response(*notch))
     chain = recursive.Chain(((sections(*band), True), (sections(*notch), True)), reach, reach)
     clean = recursive.filter_blocks(signal, chain, block_len, keys)
-    spread = clean.groupBy(*keys).agg(F.stddev_samp("value").alias("_sd"))
-    scaled = F.col("value") / F.nullif("_sd", F.lit(0.0))
-    return join_on(clean, spread, keys).withColumn("value", scaled).drop("_sd")
+    # one exchange that both the spread and the scaled samples read, so the filters run once
+    clean = clean.repartition(recursive.PARTS, *keys, F.floor(F.col("idx") / block_len))
+    scaled = lambda v, sd: v / F.nullif(sd, F.lit(0.0))
+    if not is_wide(signal):
+        spread = clean.groupBy(*keys).agg(F.stddev_samp("value").alias("_sd"))
+        return join_on(clean, spread, keys).withColumn("value", scaled(F.col("value"), F.col("_sd"))).drop("_sd")
+    each = clean.select(*keys, F.posexplode("value").alias("_channel", "_v"))
+    each = each.groupBy(*keys, "_channel").agg(F.stddev_samp("_v").alias("_sd"))
+    spread = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_channel", "_sd"))).alias("_sds"))
+    both = join_on(clean, spread.withColumn("_sds", F.col("_sds._sd")), keys)
+    return both.withColumn("value", F.zip_with("value", "_sds", scaled)).drop("_sds")
 
 
 def fir(signal: DataFrame, taps: Sequence[float], keys: Sequence[str] = KEYS, block_len: int = 8192) -> DataFrame:
@@ -216,14 +226,15 @@ def envelope(
 ) -> DataFrame:
     """Amplitude envelope: FIR band-pass, rectification, causal low-pass, from rest.
 
-    A missing sample spoils the steps after it up to where the response has faded.
+    A missing sample spoils the steps after it up to where the response has faded. The signal may
+    be wide, with the keys of a recording; so is the result then.
     """
     band = fir_bandpass(taps, low, high, fs)
     smooth = (5, "lowpass", (envelope_freq,), fs)
     reach = len(impulse_response(*smooth)) + taps
 
     def rectified(x: np.ndarray) -> np.ndarray:
-        return np.abs(np.convolve(x, band)[: len(x)])
+        return np.stack([np.abs(np.convolve(one, band)[: len(one)]) for one in x])
 
     chain = recursive.Chain(((sections(*smooth), False),), reach, 0, taps - 1, rectified)
     return recursive.filter_blocks(signal, chain, block_len, keys)
@@ -239,12 +250,22 @@ def margins(
     """Lower and upper order statistic of each full tumbling window of `window` samples.
 
     The pick is element `floor(share x window)` counting from 1, NULL where that is 0. A
-    missing sample makes both margins missing.
+    missing sample makes both margins missing. The signal may be wide, with the keys of a
+    recording; the result is long.
     """
     picks = {"lower": int(lower * window), "upper": int(upper * window)}
-    binned = envelopes.groupBy(*keys, F.floor(F.col("idx") / window).alias("idx")).agg(
-        F.sort_array(F.collect_list("value")).alias("_sorted"), F.count(F.lit(1)).alias("_n")
-    )
+    if is_wide(envelopes):
+        found = envelopes.groupBy(*keys, F.floor(F.col("idx") / window).alias("idx")).agg(
+            F.collect_list("value").alias("_steps"), F.count(F.lit(1)).alias("_n")
+        )
+        each = F.posexplode(by_channel(F.col("_steps"), F.size(F.col("_steps")[0]))).alias("channel", "_sorted")
+        binned = found.filter(F.col("_n") == window).select(*keys, "idx", "_n", each)
+        binned = binned.withColumn("_sorted", F.sort_array(F.filter("_sorted", lambda v: v.isNotNull())))
+        keys = (*keys, "channel")
+    else:
+        binned = envelopes.groupBy(*keys, F.floor(F.col("idx") / window).alias("idx")).agg(
+            F.sort_array(F.collect_list("value")).alias("_sorted"), F.count(F.lit(1)).alias("_n")
+        )
     full = binned.filter(F.col("_n") == window)
     whole = F.size("_sorted") == window
     columns = {

@@ -9,22 +9,25 @@ a response fades, and any block length gives the same result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tracemill.functions.nulls import join_on
+from tracemill.functions.wide import is_wide
 from tracemill.operators import scan
 
 #: Samples filtered by one matrix product.
 STRIDE = 64
+#: Tasks over the blocks of all recordings, each with a Python worker; so fewer than for plain windows.
+PARTS = 128
 
 Section = tuple[float, float, float, float, float]
 
@@ -75,20 +78,22 @@ class Runner:
         self.reached = np.stack([powers[STRIDE - 1 - k] @ filter.b for k in range(STRIDE)], axis=1)
 
     def run(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The filtered samples and the state after the last one."""
-        whole = len(x) // STRIDE
-        strides = x[: whole * STRIDE].reshape(whole, STRIDE)
-        pushed, states = strides @ self.reached.T, np.empty((whole, len(state)))
+        """The filtered samples along the last axis and the states after the last ones."""
+        n = x.shape[-1]
+        whole, lead = n // STRIDE, x.shape[:-1]
+        strides = x[..., : whole * STRIDE].reshape(*lead, whole, STRIDE)
+        pushed, states = strides @ self.reached.T, np.empty((*lead, whole, self.filter.order))
+        onward = self.powers[STRIDE].T
         for k in range(whole):
-            states[k] = state
-            state = self.powers[STRIDE] @ state + pushed[k]
-        out = np.empty(len(x))
-        out[: whole * STRIDE] = (strides @ self.direct.T + states @ self.seen.T).ravel()
-        rest = x[whole * STRIDE :]
-        if len(rest):
-            r = len(rest)
-            out[whole * STRIDE :] = self.direct[:r, :r] @ rest + self.seen[:r] @ state
-            state = self.powers[r] @ state + self.reached[:, STRIDE - r :] @ rest
+            states[..., k, :] = state
+            state = state @ onward + pushed[..., k, :]
+        out = np.empty(x.shape)
+        out[..., : whole * STRIDE] = (strides @ self.direct.T + states @ self.seen.T).reshape(*lead, whole * STRIDE)
+        rest = x[..., whole * STRIDE :]
+        r = rest.shape[-1]
+        if r:
+            out[..., whole * STRIDE :] = rest @ self.direct[:r, :r].T + state @ self.seen[:r].T
+            state = state @ self.powers[r].T + rest @ self.reached[:, STRIDE - r :].T
         return out, state
 
 
@@ -118,15 +123,18 @@ def _runner(sections: tuple[Section, ...]) -> Runner:
 
 
 def _reflected(x: np.ndarray, left: int, right: int) -> np.ndarray:
-    left, right = min(left, len(x) - 1), min(right, len(x) - 1)
-    return np.concatenate([2 * x[0] - x[left:0:-1], x, 2 * x[-1] - x[-2 : -right - 2 : -1]])
+    n = x.shape[-1]
+    left, right = min(left, n - 1), min(right, n - 1)
+    # places counted from the front: a slice to before the first one must not wrap around
+    before, after = np.arange(left, 0, -1), np.arange(n - 2, n - 2 - right, -1)
+    return np.concatenate([2 * x[..., :1] - x[..., before], x, 2 * x[..., -1:] - x[..., after]], axis=-1)
 
 
 def filtered(x: np.ndarray, chain: Chain, states: Sequence[np.ndarray], first: bool, last: bool) -> tuple[np.ndarray, list[np.ndarray]]:
-    """A block with the states that come in, and the states that it sends on."""
+    """A block with the states that come in, and the states that it sends on; samples and states are on the last axis."""
     sent, states = [], iter(states)
     for sections, both in chain.passes:
-        runner, n = _runner(sections), len(x)
+        runner, n = _runner(sections), x.shape[-1]
         come = next(states)
         if not both:
             x, state = runner.run(x, np.zeros_like(come) if first else come)
@@ -134,13 +142,13 @@ def filtered(x: np.ndarray, chain: Chain, states: Sequence[np.ndarray], first: b
             continue
         pad = min(6 * len(sections), n - 1)
         wide = _reflected(x, pad if first else 0, pad if last else 0)
-        y, state = runner.run(wide, runner.settled * wide[0] if first else come)
+        y, state = runner.run(wide, runner.settled * wide[..., :1] if first else come)
         sent.append(state)
         come = next(states)
-        y, state = runner.run(y[::-1], runner.settled * y[-1] if last else come)
+        y, state = runner.run(y[..., ::-1], runner.settled * y[..., -1:] if last else come)
         sent.append(state)
         lead = pad if first else 0
-        x = y[::-1][lead : lead + n]
+        x = y[..., ::-1][..., lead : lead + n]
     return x, sent
 
 
@@ -158,7 +166,7 @@ def _response(passes: tuple, length: int, first: bool, last: bool) -> np.ndarray
 
 
 def carried(chain: Chain, sent: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """States that come into each block of a recording, from those sent when none comes in.
+    """States that come into each block of a recording, from those sent when none comes in: [blocks, channels, states].
 
     A forward pass takes its state from the block before, a backward one from the block after.
     Passes are solved in order, as each depends on those before it only.
@@ -175,110 +183,141 @@ def carried(chain: Chain, sent: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         part, upto = slice(at, at + width), at + width
         blocks = range(n - 1, 0, -1) if back else range(n - 1)
         for k in blocks:
-            come[k - 1 if back else k + 1, part] = sent[k, part] + response[k][part, :upto] @ come[k, :upto]
+            come[k - 1 if back else k + 1, ..., part] = sent[k, ..., part] + come[k, ..., :upto] @ response[k][part, :upto].T
         at = upto
     return come
 
 
-def _gathered(signal: DataFrame, block_len: int, before: int, keys: Sequence[str], value: str) -> DataFrame:
-    """One row per block, the last one of `block_len` to twice as many steps, with `before` earlier steps."""
-    tops = signal.groupBy(*keys).agg(F.max("idx").cast("bigint").alias("_top"))
-    tops = tops.withColumn("_n", F.greatest(F.floor((F.col("_top") + 1) / block_len), F.lit(1)))
-    every = scan.spread(tops, F.lit(0), F.col("_n") - 1, "_block")
-    i = F.col("idx").cast("bigint")
-    place = lambda c: F.least(F.floor(c / block_len), F.col("_n") - 1)
-    placed = join_on(signal, tops, keys).withColumn("_block", F.explode(F.sequence(place(i), place(i + before))))
-    cells = placed.groupBy(*keys, "_block").agg(F.collect_list(F.struct(i.alias("idx"), F.col(value).cast("double").alias("v"))).alias("_cells"))
-    start = F.col("_block") * block_len
-    last = F.col("_block") == F.col("_n") - 1
-    none = F.array().cast("array<struct<idx:bigint,v:double>>")
-    return join_on(every, cells, [*keys, "_block"], "left").select(
-        *keys, "_block", start.alias("_start"), F.when(last, F.col("_top") + 1).otherwise(start + block_len).alias("_stop"),
-        (F.col("_block") == 0).alias("_first"), last.alias("_last"), F.coalesce("_cells", none).alias("_cells"),
+def _tail(chain: Chain) -> int:
+    """Steps that the last block needs, so that the end can be continued."""
+    return max((6 * len(sections) + 1 for sections, both in chain.passes if both), default=1)
+
+
+def _dealt(signal: DataFrame, block_len: int, before: int, tail: int, keys: Sequence[str], value: str) -> DataFrame:
+    """Samples by block, with `before` earlier and `tail` later steps, and a row per block that tells the last step and the width."""
+    i = F.col("idx")
+    wide = is_wide(signal, value)
+    width = F.max(F.size(value)) if wide else F.max(F.lit(1))
+    tops = signal.groupBy(*keys).agg(F.max("idx").cast("bigint").alias("_top"), width.alias("_width"))
+    every = scan.spread(tops, F.lit(0), F.floor(F.col("_top") / block_len), "_block")
+    kind = "array<double>" if wide else "double"
+    none = F.lit(None)
+    lo = F.greatest(F.lit(0), F.floor((i - tail) / block_len))
+    cells = signal.select(
+        *keys, F.explode(F.sequence(lo, F.floor((i + before) / block_len))).alias("_block"), i.cast("bigint").alias("_at"),
+        F.col(value).cast(kind).alias("_v"), none.cast("bigint").alias("_top"), none.cast("int").alias("_width"),
     )
+    marks = every.select(*keys, "_block", none.cast("bigint").alias("_at"), none.cast(kind).alias("_v"), "_top", "_width")
+    return cells.unionByName(marks).repartition(PARTS, *keys, "_block")
 
 
-def _samples(row: dict, chain: Chain) -> tuple[np.ndarray, np.ndarray]:
-    """Prepared samples of a block, missing ones as 0, and where they are missing."""
-    start, stop = row["_start"], row["_stop"]
+class Block(NamedTuple):
+    """Prepared samples [channels, steps] of a block, missing ones as 0, and where they are missing."""
+
+    x: np.ndarray
+    absent: np.ndarray
+    start: int
+    first: bool
+    last: bool
+
+
+def _block(table: pa.Table, chain: Chain, block_len: int, tail: int) -> Block | None:
+    """None for a block past the last step, or one whose few steps the block before it has taken."""
+    top, width = pc.max(table.column("_top")).as_py(), pc.max(table.column("_width")).as_py()
+    at = table.column("_block")[0].as_py()
+    start = at * block_len
+    if top is None or (at and top + 1 - start < tail):
+        return None
+    last = top + 1 < start + block_len + tail
+    stop = top + 1 if last else start + block_len
     origin = max(0, start - chain.before)
-    x = np.full(stop - origin, np.nan)
-    cells = row["_cells"].values
-    x[cells.field("idx").to_numpy() - origin] = cells.field("v").to_numpy(zero_copy_only=False)
+    step = table.column("_at")
+    held = table.filter(pc.and_(pc.and_(pc.is_valid(table.column("_v")), pc.greater_equal(step, origin)), pc.less(step, stop)))
+    values = held.column("_v").combine_chunks()
+    flat = values.flatten() if pa.types.is_list(values.type) else values
+    x = np.full((stop - origin, width), np.nan)
+    x[held.column("_at").to_numpy() - origin] = flat.to_numpy(zero_copy_only=False).reshape(-1, width)
+    x = np.ascontiguousarray(x.T)
     absent = np.isnan(x)
     x = np.where(absent, 0.0, x)
     if chain.prepared is not None:
         x = chain.prepared(x)
-    return x[start - origin :], absent[start - origin :]
-
+    return Block(x[:, start - origin :], absent[:, start - origin :], start, at == 0, last)
 
-def _rows(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[tuple[dict, pa.RecordBatch]]:
-    for batch in batches:
-        for r in range(batch.num_rows):
-            one = batch.slice(r, 1)
-            yield {c: (one.column(c)[0] if c == "_cells" else one.column(c)[0].as_py()) for c in names}, one
 
-
-_BLOCK = ["_start", "_stop", "_first", "_last", "_cells"]
+FAR = np.iinfo(np.int64).max // 4
 
 
 def filter_blocks(signal: DataFrame, chain: Chain, block_len: int = 1 << 16, keys: Sequence[str] = ("patient_num", "channel"), value: str = "value") -> DataFrame:
     """`keys, idx, value`: the signal through the chain, a row for every step from 0 to the last.
 
-    Samples are placed by `idx`. A block has `block_len` to twice as many steps. Between the two
-    passes one row of a few states per block is scanned for each key.
+    Samples are placed by `idx`; a wide signal, with the keys of a recording, gives a wide one. A Python
+    worker holds one block at a time, of `block_len` steps, the last one a little shorter or longer, as
+    both passes take the blocks from the same exchange. Between them one row of a few states per block
+    is scanned for each key.
     """
-    rows = _gathered(signal, block_len, chain.before, keys, value)
+    tail = min(_tail(chain), block_len)
+    rows = _dealt(signal, block_len, chain.before, tail, keys, value)
+    wide = is_wide(signal, value)
     fields = [f for f in rows.schema.fields if f.name in keys]
-    zero = [np.zeros(w) for w in chain.widths()]
-    cuts = np.cumsum(chain.widths())[:-1]
-    states = T.StructType([*fields, *T.StructType.fromDDL("_block bigint, _length bigint, sent array<double>, low bigint, high bigint").fields])
+    widths = chain.widths()
+    cuts = np.cumsum(widths)[:-1]
+    per_block = "_block bigint, _length bigint, _channels bigint, sent array<double>, low array<bigint>, high array<bigint>"
+    states = T.StructType([*fields, *T.StructType.fromDDL(per_block).fields])
     states_arrow = to_arrow_schema(states)
 
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, one in _rows(batches, _BLOCK):
-            x, absent = _samples(row, chain)
-            _, sent = filtered(x, chain, zero, row["_first"], row["_last"])
-            gaps = np.flatnonzero(absent) + row["_start"]
-            found = [len(x), np.concatenate(sent).tolist(), int(gaps[0]) if len(gaps) else None, int(gaps[-1]) if len(gaps) else None]
-            columns = [one.column(f.name) for f in fields] + [one.column("_block")] + [pa.array([v]) for v in found]
-            yield from pa.Table.from_arrays(columns, names=states_arrow.names).cast(states_arrow).to_batches()
-
-    given = T.StructType([*fields, *T.StructType.fromDDL("_block bigint, come array<double>, before bigint, after bigint").fields])
+    def keyed(table: pa.Table, n: int) -> list[pa.ChunkedArray]:
+        return [table.column(f.name).take(pa.array(np.zeros(n, "int64"))) for f in fields]
+
+    def ends(table: pa.Table) -> pa.Table:
+        block = _block(table, chain, block_len, tail)
+        if block is None or (block.first and block.last):  # nothing comes into a recording of one block
+            return states_arrow.empty_table()
+        channels, n = block.x.shape
+        _, sent = filtered(block.x, chain, [np.zeros((channels, w)) for w in widths], block.first, block.last)
+        step = np.arange(block.start, block.start + n)
+        low, high = np.where(block.absent, step, FAR).min(axis=1), np.where(block.absent, step, -FAR).max(axis=1)
+        found = [n, channels, np.concatenate(sent, axis=1).ravel(), low, high]
+        columns = keyed(table, 1) + [table.column("_block").slice(0, 1)] + [pa.array([v]) for v in found]
+        return pa.Table.from_arrays(columns, names=states_arrow.names).cast(states_arrow)
+
+    given = T.StructType([*fields, *T.StructType.fromDDL("_block bigint, come array<double>, before array<bigint>, after array<bigint>").fields])
     given_arrow = to_arrow_schema(given)
 
     def scanned(table: pa.Table) -> pa.Table:
         table = table.sort_by("_block")
-        sent = np.array(table.column("sent").to_pylist())
+        sent, low, high = (np.array(table.column(c).to_pylist()) for c in ("sent", "low", "high"))
+        sent = sent.reshape(len(sent), table.column("_channels")[0].as_py(), -1)
         come = carried(chain, sent, table.column("_length").to_numpy())
-        low, high = table.column("low").to_pylist(), table.column("high").to_pylist()
-        before, after, seen = [], [None] * len(low), None
-        for h in high:
-            before.append(seen)
-            seen = seen if h is None else h
-        seen = None
-        for k in range(len(low) - 1, -1, -1):
-            after[k] = seen
-            seen = seen if low[k] is None else low[k]
-        columns = [table.column(f.name) for f in fields] + [table.column("_block"), pa.array(come.tolist()), pa.array(before, pa.int64()), pa.array(after, pa.int64())]
+        before, after = np.full_like(high, -FAR), np.full_like(low, FAR)
+        before[1:] = np.maximum.accumulate(high)[:-1]
+        after[:-1] = np.minimum.accumulate(low[::-1])[::-1][1:]
+        columns = keyed(table, len(sent)) + [table.column("_block")]
+        columns += [pa.array(list(v.reshape(len(sent), -1))) for v in (come, before, after)]
         return pa.Table.from_arrays(columns, names=given_arrow.names).cast(given_arrow)
 
-    come = rows.mapInArrow(ends, states).groupBy(*keys).applyInArrow(scanned, given)
-    out_schema = T.StructType([*fields, T.StructField("_start", T.LongType()), T.StructField("out", T.ArrayType(T.DoubleType()))])
+    come = rows.groupBy(*keys, "_block").applyInArrow(ends, states).groupBy(*keys).applyInArrow(scanned, given)
+    kind = T.ArrayType(T.DoubleType()) if wide else T.DoubleType()
+    out_schema = T.StructType([*fields, T.StructField("idx", T.LongType()), T.StructField(value, kind)])
     out_arrow = to_arrow_schema(out_schema)
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, one in _rows(batches, [*_BLOCK, "come", "before", "after"]):
-            x, absent = _samples(row, chain)
-            y, _ = filtered(x, chain, np.split(np.array(row["come"]), cuts), row["_first"], row["_last"])
-            step = np.arange(row["_start"], row["_stop"])
-            far = np.iinfo(np.int64).max // 4
-            held = np.maximum.accumulate(np.where(absent, step, -far if row["before"] is None else row["before"]))
-            next_ = np.where(absent, step, far if row["after"] is None else row["after"])
-            next_ = np.minimum.accumulate(next_[::-1])[::-1]
-            y = np.where((step - held <= chain.back) | (next_ - step <= chain.ahead), np.nan, y)
-            columns = [one.column(f.name) for f in fields] + [one.column("_start"), pa.array([pa.array(y, from_pandas=True)], pa.list_(pa.float64()))]
-            yield from pa.Table.from_arrays(columns, names=out_arrow.names).cast(out_arrow).to_batches()
-
-    done = join_on(rows, come, [*keys, "_block"]).mapInArrow(finish, out_schema)
-    return done.select(*keys, "_start", F.posexplode("out").alias("_at", value)).select(*keys, (F.col("_start") + F.col("_at")).alias("idx"), value)
+    def finish(table: pa.Table, states: pa.Table) -> pa.Table:
+        block = _block(table, chain, block_len, tail) if table.num_rows else None
+        if block is None:
+            return out_arrow.empty_table()
+        channels, n = block.x.shape
+        state, before, after = np.zeros((channels, sum(widths))), np.full((channels, 1), -FAR), np.full((channels, 1), FAR)
+        if states.num_rows:
+            state, before, after = (np.array(states.column(c)[0].as_py()).reshape(channels, -1) for c in ("come", "before", "after"))
+        y, _ = filtered(block.x, chain, np.split(state, cuts, axis=1), block.first, block.last)
+        step = np.arange(block.start, block.start + n)
+        held = np.maximum.accumulate(np.where(block.absent, step, before), axis=1)
+        next_ = np.minimum.accumulate(np.where(block.absent, step, after)[:, ::-1], axis=1)[:, ::-1]
+        y = np.where((step - held <= chain.back) | (next_ - step <= chain.ahead), np.nan, y)
+        values = pa.array(np.ascontiguousarray(y.T).ravel(), from_pandas=True)
+        if wide:
+            values = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * channels, pa.int32()), values)
+        columns = [*keyed(table, n), pa.array(step), values]
+        return pa.Table.from_arrays(columns, names=out_arrow.names).cast(out_arrow)
+
+    return rows.groupBy(*keys, "_block").cogroup(come.groupBy(*keys, "_block")).applyInArrow(finish, out_schema)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.nulls import complete_frame
+from tracemill.functions.wide import by_channel, is_wide
 from tracemill.operators.scan import PARTS
 
 KEYS = ("patient_num", "channel")
@@ -74,13 +75,19 @@ def rolling_by(
     """Trailing windows of `k` steps by any function of the array of their values, in order of time.
 
     NULL unless all `k` steps are there and non-NULL. Every row gathers its window, so the work is
-    `k` per row; the statistics of `rolling` don't need that.
+    `k` per row; the statistics of `rolling` don't need that. The signal may be wide, with the keys of
+    a recording; the result is long.
     """
     size = _block_size(k, block_len)
     frame = Window.partitionBy(*keys, "_block").orderBy(idx).rangeBetween(-(k - 1), 0)
     gathered = _with_halo(df, keys, idx, size, k - 1).withColumn("_values", F.collect_list(value).over(frame))
     kept = gathered.filter(F.col("_block") == F.floor(F.col(idx) / size))
     columns = [c for c in df.columns if c != out]
+    if is_wide(df, value):
+        columns = [c for c in columns if c != value]
+        kept = kept.select(*columns, F.posexplode(by_channel(F.col("_values"), F.size(value))).alias("channel", "_values"))
+        kept = kept.withColumn("_values", F.filter("_values", lambda v: v.isNotNull()))
+        columns.append("channel")
     return kept.select(*columns, F.when(F.size("_values") == k, window_fn(F.col("_values"))).alias(out))
 
 

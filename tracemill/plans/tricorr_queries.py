@@ -247,8 +247,8 @@ def tc_segments_noise(spark, sf_dir):
 
 @query("tc_recording")
 def tc_recording(spark, sf_dir):
-    """Published setting, lags (8, 25) on whole recordings of 17 channels, in long form."""
-    found = tricorr.class_contributions(views.order_signal(spark, sf_dir), SECOND, (8, 25))
+    """Published setting, lags (8, 25) on whole recordings of 17 channels."""
+    found = tricorr.class_contributions(views.order_steps(spark, sf_dir), SECOND, (8, 25))
     return tricorr.named_classes(found).select(
         "patient_num", "idx", "channel", "motif", rounded("value").alias("value")
     )
@@ -425,7 +425,8 @@ FROM (SELECT patient_num, channel, CAST(unnest(range(0, len(xs))) AS BIGINT) AS
 )
 def dsp_clean(spark, sf_dir):
     """Zero-phase band-pass and mains removal of whole recordings."""
-    found = dsp.clean_channels(views.order_signal(spark, sf_dir), 256.0)
+    found = dsp.clean_channels(views.order_steps(spark, sf_dir), 256.0, keys=("patient_num",))
+    found = found.select("patient_num", "idx", F.posexplode("value").alias("channel", "value"))
     return found.select("patient_num", "channel", "idx", rounded("value", 3).alias("value"))
 
 
@@ -440,8 +441,9 @@ FROM (SELECT patient_num, channel, CAST(unnest(range(0, len(xs))) AS BIGINT) AS
 )
 def dsp_clean_null_keys(spark, sf_dir):
     """A recording without a number is one like any other; short blocks carry their states on."""
-    recording = views.order_signal(spark, sf_dir).withColumn("patient_num", F.expr("nullif(patient_num, 0)"))
-    found = dsp.clean_channels(recording, 256.0, block_len=1000)
+    recording = views.order_steps(spark, sf_dir).withColumn("patient_num", F.expr("nullif(patient_num, 0)"))
+    found = dsp.clean_channels(recording, 256.0, block_len=1000, keys=("patient_num",))
+    found = found.select("patient_num", "idx", F.posexplode("value").alias("channel", "value"))
     return found.select("patient_num", "channel", "idx", rounded("value", 3).alias("value"))
 
 
@@ -455,7 +457,7 @@ FROM osig GROUP BY 1, 2, 3 HAVING count(*) = {SECOND}""",
 )
 def aeeg_margins(spark, sf_dir):
     """Order statistics of tumbling windows, on the plain signal."""
-    found = dsp.margins(views.order_signal(spark, sf_dir), SECOND)
+    found = dsp.margins(views.order_steps(spark, sf_dir), SECOND, keys=("patient_num",))
     return found.select(
         "patient_num", "channel", "idx", rounded("lower").alias("lower"), rounded("upper").alias("upper")
     )
@@ -484,8 +486,7 @@ _LOUD = 1.05
 
 def _loud_seconds(spark, sf_dir):
     """Seconds in which a recording ships more than usual, as intervals."""
-    second = F.floor(F.col("idx") / 256).alias("idx")
-    sums = views.order_signal(spark, sf_dir).groupBy("patient_num", second).agg(F.sum("value").alias("q"))
+    sums = views.order_seconds(spark, sf_dir, 256).drop("group")
     usual = sums.groupBy("patient_num").agg(F.avg("q").alias("m"))
     return intervals.runs(sums.join(usual, "patient_num").select("patient_num", "idx", (F.col("q") > _LOUD * F.col("m")).alias("flag")))
 
@@ -517,7 +518,7 @@ FROM masked GROUP BY 1, 2, 3 HAVING count(*) = {SECOND}""",
 )
 def aeeg_lower_margin(spark, sf_dir):
     """Lower margin of the filtered amplitude envelope, artifacts masked after filtering."""
-    envelopes = dsp.envelope(views.order_signal(spark, sf_dir), 256.0).withColumn("t", F.col("idx") / 256.0)
+    envelopes = dsp.envelope(views.order_steps(spark, sf_dir), 256.0, keys=("patient_num",)).withColumn("t", F.col("idx") / 256.0)
     masked = signal.mask_covered(envelopes, _loud_seconds(spark, sf_dir))
-    lower = dsp.lower_margin(dsp.margins(masked, SECOND))
+    lower = dsp.lower_margin(dsp.margins(masked, SECOND, keys=("patient_num",)))
     return lower.select("patient_num", "channel", "idx", rounded("value", 5).alias("value"))
