@@ -63,7 +63,7 @@ def sig_rolling_std(spark, sf_dir):
 """ + _out("rolled"))
 def sig_rolling_median(spark, sf_dir):
     """Windows by a function of their values."""
-    return _shown(rolling.rolling_by(views.order_signal(spark, sf_dir), 15, rolling.median), *CELL)
+    return _shown(rolling.rolling_by(views.order_steps(spark, sf_dir), 15, rolling.median, keys=("patient_num",)), *CELL)
 
 
 @query("sig_rolling_seconds", with_views("signal", _rolled_sql("quantile_cont(value, 0.9)", 4)) + _out("rolled"))
