@@ -35,14 +35,14 @@ REVIEWERS = (3, 2, 1)
 
 def contribution_signal(spark, sf_dir) -> DataFrame:
     """Class contributions of every second as a signal of 14 channels."""
-    found = tricorr.class_contributions(views.order_signal(spark, sf_dir), RATE, LAGS)
+    found = tricorr.class_contributions(views.order_steps(spark, sf_dir), RATE, LAGS)
     return found.select("patient_num", F.col("channel").cast("string").alias("channel"), "idx", "value")
 
 
 def margin_signal(spark, sf_dir) -> DataFrame:
     """Lower amplitude margin of every second and channel."""
-    envelopes = dsp.envelope(views.order_signal(spark, sf_dir), 256.0)
-    lower = dsp.lower_margin(dsp.margins(envelopes, RATE))
+    envelopes = dsp.envelope(views.order_steps(spark, sf_dir), 256.0, keys=("patient_num",))
+    lower = dsp.lower_margin(dsp.margins(envelopes, RATE, keys=("patient_num",)))
     return lower.select("patient_num", F.col("channel").cast("string").alias("channel"), "idx", "value")
 
 
@@ -62,8 +62,7 @@ def consensus(spark, sf_dir, reviewers: int) -> DataFrame:
 
 def graded_artifacts(spark, sf_dir) -> DataFrame:
     """Seconds that ship little (grade 1) or much (grade 2), as intervals."""
-    second = F.floor(F.col("idx") / RATE).alias("idx")
-    sums = views.order_signal(spark, sf_dir).groupBy("patient_num", second).agg(F.sum("value").alias("q"))
+    sums = views.order_seconds(spark, sf_dir, RATE).drop("group")
     usual = sums.groupBy("patient_num").agg(F.avg("q").alias("m"))
     grade = F.explode(F.array(F.lit(1), F.lit(2))).alias("grade")
     marked = sums.join(usual, "patient_num").select("*", grade)
